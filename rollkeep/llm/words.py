@@ -153,3 +153,21 @@ def blocks(column: pa.Array, is_word: np.ndarray, block: int = BLOCK) -> Iterato
         part, local = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
         yield Block(i, part, local, *split_words(part, local, is_word))
         i = j
+
+
+def anchors(hashes: np.ndarray, text: np.ndarray, k: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Winnowing: the leftmost smallest k-gram of each window of ``span`` words of one text.
+
+    Returns the windows (number of their first word), the first word of each window's
+    k-gram, and the hashes of all k-grams by first word. Two windows with the same words
+    choose the same k-gram, so a shared span of ``span`` words always shares one.
+    """
+    if len(hashes) < span:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, np.zeros(0, dtype=_U)
+    at = np.arange(len(hashes) - k + 1)
+    grams = span_hash(prefix_hash(hashes), at, at + k)
+    low = _U((1 << int(len(grams)).bit_length()) - 1)
+    chosen = (sliding_min((grams & ~low) | at.astype(_U), span - k + 1) & low).astype(np.int64)
+    windows = np.flatnonzero(text[: len(text) - span + 1] == text[span - 1 :])
+    return windows, chosen[windows], grams
