@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rollkeep.llm.decontaminate import decontaminate
+from rollkeep.llm.html import main_texts
 from rollkeep.llm.mixing import mix_sources
+from rollkeep.llm.pii import find_personal_data
 from rollkeep.llm.sharding import shard_by_bytes
 from rollkeep.llm.simhash import near_duplicates
 from rollkeep.llm.substring import remove_repeats
@@ -34,6 +36,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +58,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op3_decontamination": op3_decontamination,
         "op4_substring_dedup": op4_substring_dedup,
+        "op6_pii": op6_pii,
+        "op7_html_text": op7_html_text,
         "op8_simhash": op8_simhash,
         "op10_mixing": op10_mixing,
     }
