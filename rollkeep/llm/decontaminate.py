@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollkeep.llm.storage import materialize
+from rollkeep.llm.storage import lean_batches, materialize
 from rollkeep.llm.words import ALNUM, LOWER, anchors, blocks
 
 WINDOW = 10
@@ -108,6 +108,7 @@ def contaminated_texts(docs: DataFrame, items: DataFrame) -> DataFrame:
     around it, which are joined with the items' windows word for word. Spark chooses
     how to join by the size of the items' side, so that a large benchmark shuffles.
     """
+    lean_batches(docs.sparkSession)
     texts = keyed(items).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text", "k1", "k2")
     windows = materialize(texts.select("item_id", "text").mapInArrow(item_windows, "item_id string, n int, words string").distinct())
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())

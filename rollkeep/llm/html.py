@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollkeep.llm.storage import materialize
+from rollkeep.llm.storage import lean_batches, materialize
 
 #: A subtree is part of a site's template if it stands on this share of the host's different pages, and on so many.
 SHARE, LEAST_PAGES = 0.5, 5
@@ -228,6 +228,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     host; broken markup is read as far as it goes. Repeated rows and ids give a row each;
     an empty table gives none; other columns are ignored.
     """
+    lean_batches(pages.sparkSession)
     kind = {f.name: f.dataType.simpleString() for f in pages.schema}
     known = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host(F.col("url")).alias("host"))
     found = materialize(templates(known))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollkeep.llm.graph import components
-from rollkeep.llm.storage import materialize
+from rollkeep.llm.storage import lean_batches, materialize
 
 SEGMENTS, WIDTH = 4, 16
 DISTANCE = 3
@@ -50,6 +50,7 @@ def add_fingerprints(docs: DataFrame, name: str) -> DataFrame:
             marks = np.array([fingerprint(t.as_py() or b"") for t in texts], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks.view(np.int64))], names=[*batch.schema.names, name])
 
+    lean_batches(docs.sparkSession)
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 

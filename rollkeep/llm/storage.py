@@ -30,3 +30,15 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows and bytes of an Arrow batch: whole texts can be long, and a worker holds a few copies of a batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold no more than the bounds above."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set(size, str(BATCH_BYTES))

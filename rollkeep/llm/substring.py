@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollkeep.llm.storage import materialize
+from rollkeep.llm.storage import lean_batches, materialize
 from rollkeep.llm.words import NOT_SPACE, anchors, blocks, mix, prefix_hash, span_hash
 
 WINDOW, GRAM = 50, 16
@@ -148,6 +148,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     same doc_id don't remove each other's words; of equal texts the smallest doc_id stays
     whole. An empty table gives no rows; other columns are ignored.
     """
+    lean_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"))
     spans = materialize(repeated_spans(keyed))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollkeep.llm.storage import materialize
+from rollkeep.llm.storage import lean_batches, materialize
 from rollkeep.llm.words import ALNUM, LOWER, VALUES, Block, blocks, mix, prefix_hash, span_hash
 
 #: Lengths in bytes of the beginnings of longer words that count as terms besides the words.
@@ -132,6 +132,7 @@ def _g2(toxic: Column, clean: Column, n1: int, n0: int) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, n_terms: int = TERMS) -> Machine:
     """Fit on a bounded sample: count its terms in Spark, keep the most telling, learn their weights."""
+    lean_batches(docs.sparkSession)
     sample = materialize(labelled_sample(docs, labels, bound))
     counts = sample.mapInArrow(count_terms, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -155,6 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, n_terms: int =
 
 def add_scores(docs: DataFrame, machine: Machine, name: str) -> DataFrame:
     """``docs`` with the score of ``text`` in a double column ``name``."""
+    lean_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(machine)  # of a fixed number of terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
