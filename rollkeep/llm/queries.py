@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rollkeep.llm.decontaminate import decontaminate
 from rollkeep.llm.html import main_texts
+from rollkeep.llm.lm import score_texts
 from rollkeep.llm.mixing import mix_sources
 from rollkeep.llm.pii import find_personal_data
 from rollkeep.llm.sharding import shard_by_bytes
@@ -48,6 +49,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pii": op6_pii,
         "op7_html_text": op7_html_text,
         "op8_simhash": op8_simhash,
+        "op9_lm_score": op9_lm_score,
         "op10_mixing": op10_mixing,
     }
 
