@@ -150,3 +150,10 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``docs`` without the documents that hold a window of an item."""
+    hit = materialize(contaminated_texts(keyed(docs.select("text")), items).select(F.col("k1").alias("_hit1"), F.col("k2").alias("_hit2")))
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return docs.join(hit, (F.xxhash64(text) == hit["_hit1"]) & (F.xxhash64(text, F.lit("second")) == hit["_hit2"]), "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollkeep.llm.prefix import RANK, prefix_sums
-from rollkeep.llm.storage import materialize
+from rollkeep.llm.storage import fresh, materialize
 
 SPACES = "[ \\x09-\\x0D]+"
 
@@ -77,3 +77,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: floa
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
     taken = systematic_copies(materialize(sized), weights, cap, seed)
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 10) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    row, times = fresh("_row", docs), fresh("_times", docs)
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    sized = numbered.select(F.col(row).alias("row"), "doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    copies = systematic_copies(materialize(sized), weights, cap, seed).where("copies > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(times))
+    taken = numbered.join(copies, row)
+    return taken.withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*docs.columns)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollkeep.llm.graph import components
-from rollkeep.llm.storage import lean_batches, materialize
+from rollkeep.llm.storage import fresh, lean_batches, materialize
 
 SEGMENTS, WIDTH = 4, 16
 DISTANCE = 3
@@ -146,3 +146,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_mark = rooted.join(named, "root").select("fp", "component_id")
     return marked.join(by_mark, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
+
+    A null doc_id comes last; of rows with equal ids the first read stays.
+    """
+    mark, row = fresh("_fp", docs), fresh("_row", docs)
+    marked = materialize(add_fingerprints(docs, mark).withColumn(row, F.monotonically_increasing_id()))
+    narrow = marked.select(F.col(mark).alias("fp"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(row).alias("row"))
+    firsts = materialize(narrow.groupBy("fp").agg(F.min(F.struct("unnamed", "doc_id", "row")).alias("first")))
+    kept = firsts.join(roots(firsts.select("fp")), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    return marked.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)

@@ -42,3 +42,11 @@ def lean_batches(spark: SparkSession) -> None:
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
     spark.conf.set(size, str(BATCH_BYTES))
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, with underscores before it until ``df`` has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollkeep.llm.storage import lean_batches, materialize
+from rollkeep.llm.storage import fresh, lean_batches, materialize
 from rollkeep.llm.words import ALNUM, LOWER, VALUES, Block, blocks, mix, prefix_hash, span_hash
 
 #: Lengths in bytes of the beginnings of longer words that count as terms besides the words.
@@ -150,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, n_terms: int =
                 yield pa.RecordBatch.from_arrays([batch.column("toxic")[b.offset : b.offset + b.n], *lists], names=["toxic", "terms", "values"])
 
     # At most ``bound`` rows of ``n_terms`` numbers come to the driver.
-    got = sample.mapInArrow(rows, "toxic int, terms array<int>, values array<double>").orderBy("toxic", F.xxhash64("terms"), "terms", "values").collect()
+    got = sample.mapInArrow(rows, "toxic int, terms array<int>, values array<double>").collect()
+    got.sort(key=lambda r: (r["toxic"], r["terms"], r["values"]))
     return fit_machine(known, [(np.array(r["terms"], dtype=np.int64), np.array(r["values"], dtype=float)) for r in got], np.array([r["toxic"] for r in got], dtype=float))
 
 
@@ -176,8 +177,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     and 1 and labels without a document are ignored; an id labelled twice is toxic if either
     label is; without labels every score is one half. Other columns are ignored.
     """
-    part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3
+    part = held_out_part(F.col("doc_id"))
     learn = labels.where(part != 1)
     machine = fit(docs.select("doc_id", "text"), learn)
     scored = add_scores(docs.select("doc_id", "text"), machine, "score")
     return scored.select("doc_id", (part == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def held_out_part(doc_id: Column) -> Column:
+    """The fold of a document: crc32 of its id as text, modulo 3."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without those that score ``threshold`` or more."""
+    score = fresh("_score", docs)
+    machine = fit(docs.select("doc_id", "text"), labels.where(held_out_part(F.col("doc_id")) != 1))
+    return add_scores(docs, machine, score).where(F.col(score) < threshold).select(*docs.columns)
