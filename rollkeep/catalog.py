@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from collections.abc import Callable
+from importlib import import_module
 
+FLAGSHIP = "search_name_similar"
+MODULES = ("register",)
 
-def queries() -> dict:
-    return {}
 
+def queries() -> dict[str, Callable]:
+    return {k: q for m in MODULES for k, q in import_module(f"rollkeep.queries.{m}").QUERIES.items()}
 
-def oracle_sql() -> dict:
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return {k: q for m in MODULES for k, q in import_module(f"rollkeep.queries.{m}").SQL.items()}
