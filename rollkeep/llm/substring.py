@@ -128,7 +128,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     nodes = found.groupBy("node").agg(least, most, unnamed, (F.min("path") != F.max("path")).alias("branching"))
     # Rows of one vertex meet only as minimum and maximum, so a vertex in a third of all rows is no burden.
     repeated = nodes.where((F.col("least") < F.col("most")) | (F.col("least").isNotNull() & F.col("unnamed")))
-    hits = materialize(found.join(repeated.select("node", "least", "branching"), "node"))
+    # Written first: a join of two plain exchanges can split a vertex that many rows share.
+    repeated = materialize(repeated.select("node", "least", "branching"))
+    hits = materialize(found.join(repeated, "node"))
     later = F.col("doc_id").isNull() | (F.col("least") < F.col("doc_id"))
     paths = hits.where(~F.col("branching") & later).select("doc_id", "text_key", F.col("lo").alias("start"), (F.col("hi") + WINDOW).alias("end"))
 
@@ -136,7 +138,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     around = docs.join(apart, _same_doc(docs, apart)).select(docs["doc_id"], docs["text_key"], "text", "runs")
     edges = materialize(around.mapInArrow(window_hashes, f"{form}, node long, edge long, start int"))
     first = edges.groupBy("node", "edge").agg(least, most, unnamed).where((F.col("least") < F.col("most")) | (F.col("least").isNotNull() & F.col("unnamed")))
-    ends = edges.join(first.select("node", "edge", "least"), ["node", "edge"]).where(later).select("doc_id", "text_key", "start", (F.col("start") + WINDOW).alias("end"))
+    ends = edges.join(materialize(first.select("node", "edge", "least")), ["node", "edge"]).where(later).select("doc_id", "text_key", "start", (F.col("start") + WINDOW).alias("end"))
     return paths.unionByName(ends).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
