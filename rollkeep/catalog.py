@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 FLAGSHIP = "search_name_similar"
-MODULES = ("register",)
+MODULES = ("register", "reading")
 
 
 def queries() -> dict[str, Callable]:

@@ -20,21 +20,21 @@ def plain(text: Column) -> Column:
 def _iso(year: Column, month: Column, day: Column) -> Column:
     """The date as ISO text, or null if there is no such day."""
     text = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return F.when(year.cast("int") >= 1, F.date_format(F.try_to_date(text, "yyyy-MM-dd"), "yyyy-MM-dd"))
+    return F.when(year.try_cast("int") >= 1, F.date_format(F.try_to_date(text, "yyyy-MM-dd"), "yyyy-MM-dd"))
 
 
-def read_date(printed: Column) -> Column:
-    """struct(iso, ambiguous, impossible) of a printed date.
+def read_date(printed: Column, normal: bool = False) -> Column:
+    """struct(iso, ambiguous, impossible) of a printed date; ``normal`` texts aren't normalised again.
 
     All-digit dates are read day first, or year first if the first part exceeds 31; month
     first only where day first is no date. Dates with a month's name, English or Urdu (in
     full or by its first three letters), need day, month and year. Years stay as printed.
     """
-    text = F.trim(plain(printed))
+    text = F.trim(F.coalesce(printed, F.lit("")) if normal else plain(printed))
     shape = "^\\s*([0-9]{1,4})\\s*[-/.]\\s*([0-9]{1,2})\\s*[-/.]\\s*([0-9]{1,4})\\s*$"
     numeric = text.rlike(shape)
     a, b, c = (F.regexp_extract(text, shape, i) for i in (1, 2, 3))
-    year_first = F.coalesce(F.expr("try_cast(null as int)"), a.try_cast("int")) > 31
+    year_first = F.coalesce(a.try_cast("int"), F.lit(0)) > 31
     by_year, by_day, by_month = _iso(a, b, c), _iso(c, b, a), _iso(c, a, b)
     names = "|".join(sorted({*MONTHS, *(m[:3] for m in MONTHS if m.isascii())}, key=len, reverse=True))
     lookup = F.create_map(*[F.lit(x) for k, v in ({m[:3]: n for m, n in MONTHS.items() if m.isascii()} | MONTHS).items() for x in (k, str(v))])
@@ -62,9 +62,9 @@ def read_time(printed: Column) -> Column:
     return F.when(bare_h != "", F.concat(bare_h, F.lit(":"), bare_m)).otherwise(clock)
 
 
-def read_sex(printed: Column) -> Column:
+def read_sex(printed: Column, normal: bool = False) -> Column:
     """'male' or 'female' by the first word that says so: the whole text, then each word."""
-    text = F.regexp_replace(F.trim(F.lower(normalize_text(F.coalesce(printed, F.lit(""))))), "^\\.+|\\.+$", "")
+    text = F.regexp_replace(F.trim(F.lower(F.coalesce(printed, F.lit("")) if normal else normalize_text(F.coalesce(printed, F.lit(""))))), "^\\.+|\\.+$", "")
     words = F.concat(F.array(text), F.split(text, "\\s+"))
     known = F.array(*[F.lit(w) for w in MALE + FEMALE])
     first = F.get(F.filter(words, lambda w: F.array_contains(known, w)), F.lit(0))

@@ -189,7 +189,7 @@ def delete_impact(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "search_number_exact": _search("reg/nation_3/1996/0000042"),
+    "search_number_exact": _search("c 10 / 1995"),
     "search_number_prefix": _search("REG/NATION_3/1996"),
     "search_name_exact": _search(NAME),
     "search_name_similar": _search(NEAR),
@@ -236,7 +236,7 @@ ranked AS (SELECT a_id, b_id, a_created, b_created, CASE WHEN by_number AND same
   by_number AND same_type AS strong, row_number() OVER (PARTITION BY a_id ORDER BY (by_number AND same_type) DESC, same_type DESC, b_created, b_id) AS place FROM t)"""
 
 SQL = {
-    "search_number_exact": _search_sql("reg/nation_3/1996/0000042"),
+    "search_number_exact": _search_sql("c 10 / 1995"),
     "search_number_prefix": _search_sql("REG/NATION_3/1996"),
     "search_name_exact": _search_sql(NAME),
     "search_name_similar": _search_sql(NEAR),
