@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 FLAGSHIP = "search_name_similar"
-MODULES = ("register", "reading")
+MODULES = ("register", "reading", "exchange")
 
 
 def queries() -> dict[str, Callable]:

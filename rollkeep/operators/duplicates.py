@@ -57,7 +57,7 @@ def classified(keyed: DataFrame) -> DataFrame:
 def first_copies(files: DataFrame, within: list[str], digest: str, order: list[str], id_column: str) -> DataFrame:
     """``files`` with ``duplicate_of``: the first row of the same bytes in the same batch, null for that row itself."""
     key = [*within, digest]
-    firsts = files.groupBy(*key).agg(F.min(F.struct(*order, id_column)).alias("first"))
+    firsts = files.groupBy(*key).agg(F.min(F.struct(*dict.fromkeys([*order, id_column]))).alias("first"))
     first = F.col(f"first.{id_column}")
     return files.join(firsts, key).withColumn("duplicate_of", F.when(first != F.col(id_column), first)).drop("first")
 

@@ -91,9 +91,9 @@ def read_rows(lines: DataFrame, plan: HeaderPlan, delimiter: str = ",") -> DataF
     """
     width = len(plan.columns)
     d = "\\" + delimiter if delimiter == "|" else delimiter
-    bare = f'(?:^|{d})(?:"((?:[^"]|"")*)"|([^{d}]*))'
-    quoted = F.regexp_extract_all("line", F.lit(bare), F.lit(1))
-    unquoted = F.regexp_extract_all("line", F.lit(bare), F.lit(2))
+    bare = f'{d}(?:"((?:[^"]|"")*)"|([^{d}]*))'
+    led = F.concat(F.lit(delimiter), F.col("line"))  # every cell follows a delimiter
+    quoted, unquoted = (F.regexp_extract_all(led, F.lit(bare), F.lit(i)) for i in (1, 2))
     cells = F.zip_with(quoted, unquoted, lambda q, u: F.trim(F.when(q != "", F.replace(q, F.lit('""'), F.lit('"'))).otherwise(u)))
     rows = lines.where("row_number > 1").withColumn("cells", cells).where(F.exists("cells", lambda c: c != ""))
     pairs = [F.struct(F.lit(name).alias("key"), F.substring(F.get("cells", F.lit(i)), 1, LONGEST_CELL).alias("value")) for i, name in enumerate(plan.columns) if name is not None]

@@ -1 +1,74 @@
+"""Structured Streaming forms: de-duplication, progress, limits, windows, imports."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from rollkeep.sources.delimited import HeaderPlan, read_rows
+
+
+def first_uploads(stream: DataFrame, within: str = "48 hours") -> DataFrame:
+    """The first upload of the same bytes in a batch; state is dropped once the watermark passes."""
+    return stream.withWatermark("ts", within).dropDuplicatesWithinWatermark(["batch_id", "sha256"])
+
+
+def progress_changes(stream: DataFrame) -> DataFrame:
+    """(batch_id, done, total, percent) whenever a batch's percent changes; the state is two counters a batch."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done, total, said = state.get if state.exists else (0, 0, -1.0)
+        for f in frames:
+            done, total = done + int(f["finished"].sum()), total + len(f)
+        percent = round(100.0 * done / total, 1) if total else 0.0
+        state.update((done, total, percent))
+        if percent != said:
+            yield pd.DataFrame({"batch_id": [key[0]], "done": [done], "total": [total], "percent": [percent]})
+
+    kind = stream.schema["batch_id"].dataType.simpleString()
+    return stream.groupBy("batch_id").applyInPandasWithState(step, f"batch_id {kind}, done long, total long, percent double", "done long, total long, percent double", "update", GroupStateTimeout.NoTimeout)
+
+
+def limited(stream: DataFrame, most: int = 5, seconds: int = 60) -> DataFrame:
+    """(user_id, ts, accepted): requests under a sliding limit; refused ones don't count. State is at most ``most`` times a user."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        for f in frames:
+            times, accepted = sorted(f["ts"].astype("int64") // 1000), []
+            for t in times:
+                held = [h for h in held if h > t - seconds * 1_000_000]
+                accepted.append(len(held) < most)
+                if accepted[-1]:
+                    held.append(t)
+            yield pd.DataFrame({"user_id": [key[0]] * len(times), "ts_us": times, "accepted": accepted})
+        state.update((held,))
+
+    kind = stream.schema["user_id"].dataType.simpleString()
+    return stream.groupBy("user_id").applyInPandasWithState(step, f"user_id {kind}, ts_us long, accepted boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def windowed(stream: DataFrame, length: str = "10 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """An extension: events and their value by tumbling or sliding window."""
+    w = F.window("ts", length, slide) if slide else F.window("ts", length)
+    return stream.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """An extension: sessions of a user's events."""
+    return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+
+
+def import_folder(spark: SparkSession, folder: str, plan: HeaderPlan, delimiter: str, sink: str, checkpoint: str) -> None:
+    """Import the files of a folder as they arrive, to parquet; a restart goes on where it stopped."""
+    lines = spark.readStream.text(folder).select(F.lit(2).cast("long").alias("row_number"), F.col("value").alias("line"))
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        rows = read_rows(batch, plan, delimiter).select(F.to_json("fields").alias("fields"), "too_many", "too_few")
+        rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+
+    lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
