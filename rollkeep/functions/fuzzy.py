@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -17,20 +18,18 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def best_window(short: str, long: str) -> float:
-    """100 times the best share of matching characters over all windows as long as the shorter text, ends included."""
+    """100 times the best share of matching characters over all windows as long as the shorter text."""
     if len(short) > len(long):
         short, long = long, short
     if not short:
         return 100.0 if not long else 0.0
     a, b = (np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in (short, long))
     n, best = len(a), 0.0
-    for start in range(1 - n, len(b)):
-        window = b[max(0, start) : start + n]
-        if len(window):
-            best = max(best, 200.0 * _common(a, window) / (n + len(window)))
+    for start in range(len(b) - n + 1):
+        best = max(best, 100.0 * _common(a, b[start : start + n]) / n)
     return best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def partial_ratio(short: pd.Series, long: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else best_window(a, b) for a, b in zip(short, long, strict=True)], dtype="float64")

@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Look-alike letters and hyphens, invisible characters, Eastern digits, Arabic-script ranges, titles.
 LOOKALIKES = "\u064a\u0649\u0643\u0647\u0629\u06bb\u2010\u2011\u2012\u2212"
@@ -27,7 +28,7 @@ TITLES = (
 KEY_LENGTH = 200
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

@@ -23,7 +23,7 @@ def sniff_encoding(head: bytes) -> str:
         try:
             head.decode(name)
         except UnicodeDecodeError as e:
-            if name == "utf-8" and e.start >= len(head) - 3 and e.reason == "unexpected end of data":
+            if name == "utf-8" and len(head) >= 65536 and e.start >= len(head) - 3 and e.reason == "unexpected end of data":
                 return name  # the block ends within a character
             continue
         return name
