@@ -80,5 +80,42 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS t FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS t FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw))),
+h AS (SELECT doc_id, p, dw.n AS n, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.t = iw.t),
+c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS x FROM h) GROUP BY 1),
+s AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+SUBSTRING = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+x AS (SELECT doc_id, p, sha256(array_to_string(w[p:p + 49], ' ')) AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+f AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY t) AS first FROM x),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS k FROM f WHERE first < doc_id),
+k AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM d),
+r AS (SELECT k.doc_id, count(g.k) AS n_removed, string_agg(word, ' ' ORDER BY k.k) FILTER (g.k IS NULL) AS kept FROM k LEFT JOIN g ON k.doc_id = g.doc_id AND k.k = g.k GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)"""
+
+MIXING = f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")}) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST) AS k, sum(source_size) OVER () AS t, sum(w) OVER () AS ws FROM s),
+c AS (SELECT *, CAST(t - 3.0::DOUBLE * coalesce(sum(source_size) OVER q, 0) AS DOUBLE) / (ws - coalesce(sum(w) OVER q, 0)) AS rate FROM o WINDOW q AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT rate FROM c WHERE w * rate <= 3 * source_size ORDER BY k LIMIT 1),
+g AS (SELECT source, source_size, CASE WHEN w * l.rate > 3 * source_size THEN 3.0::DOUBLE * source_size ELSE w * l.rate END AS target,
+ CAST('0x' || substr(md5('10:' || coalesce(source, '')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM c, l),
+r AS (SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY size, doc_id) - 1 AS k FROM d)
+SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor((k + 1) * (target / source_size) + u) - floor(k * (target / source_size) + u) AS BIGINT) * size ELSE 0 END AS taken
+FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can express: the others need trained models, SimHash, CRC-32 or parsing, and are tested against plain Python."""
+    return {"op3_decontamination": DECONTAMINATION, "op4_substring_dedup": SUBSTRING, "op10_mixing": MIXING}
