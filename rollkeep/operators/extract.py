@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 SEPARATORS = ":=.\\-–—"
 GENERIC = 7
 SAME_LINE, NEXT_LINE, PROSE = 1.0, 0.8, 0.85
+# What values of a kind look like.
 SHAPES = {
     "date": "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}\\s*[-/.]\\s*[0-9]{1,2}\\s*[-/.]\\s*[0-9]{2,4}|[0-9]{1,2}\\s+\\p{L}{3,9}\\.?,?\\s+[0-9]{4}",
     "time": "(?i)[0-9]{1,2}\\s*[:.]\\s*[0-9]{2}\\s*(?:am|pm|a\\.m\\.|p\\.m\\.)?",
