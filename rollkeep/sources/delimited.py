@@ -95,7 +95,7 @@ def read_rows(lines: DataFrame, plan: HeaderPlan, delimiter: str = ",") -> DataF
     led = F.concat(F.lit(delimiter), F.col("line"))  # every cell follows a delimiter
     quoted, unquoted = (F.regexp_extract_all(led, F.lit(bare), F.lit(i)) for i in (1, 2))
     cells = F.zip_with(quoted, unquoted, lambda q, u: F.trim(F.when(q != "", F.replace(q, F.lit('""'), F.lit('"'))).otherwise(u)))
-    rows = lines.where("row_number > 1").withColumn("cells", cells).where(F.exists("cells", lambda c: c != ""))
+    rows = lines.where("row_number > 1").withColumn("cells", cells).where(F.exists("cells", lambda c: c != "")).where(~((F.col("row_number") == 2) & F.get("cells", F.lit(0)).startswith("# ")))
     pairs = [F.struct(F.lit(name).alias("key"), F.substring(F.get("cells", F.lit(i)), 1, LONGEST_CELL).alias("value")) for i, name in enumerate(plan.columns) if name is not None]
     held = F.filter(F.array(*pairs), lambda p: F.coalesce(p["value"], F.lit("")) != "")
     return rows.select("row_number", F.map_from_entries(held).alias("fields"), (F.size("cells") > width).alias("too_many"), (F.size("cells") < width).alias("too_few"), F.exists("cells", lambda c: F.length(c) > LONGEST_CELL).alias("oversized"))
@@ -129,3 +129,9 @@ def counters(done: DataFrame) -> DataFrame:
 
 def first_errors(done: DataFrame, most: int = ERRORS_KEPT) -> DataFrame:
     return done.where("code is not null").orderBy("row_number").limit(most)
+
+
+def import_template(schema: Schema, delimiter: str = ",") -> str:
+    """The first two lines of an empty import file: headings, and a row of guidance that an import skips."""
+    marked = ["# " + ("required" if f.required else f.kind) if i == 0 else "required" if f.required else f.kind for i, f in enumerate(schema.fields)]
+    return delimiter.join(f.label for f in schema.fields) + "\r\n" + delimiter.join(marked) + "\r\n"
