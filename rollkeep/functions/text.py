@@ -7,6 +7,7 @@ function: only texts that aren't plain ASCII visit a vectorised Python function.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -103,11 +104,19 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(pieces))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def similarity(left: Column, right: Column) -> Column:
     """Shared trigrams over all trigrams of both."""
-    a, b = trigrams(left), trigrams(right)
-    both = F.size(F.array_union(a, b))
-    return F.when(both > 0, F.size(F.array_intersect(a, b)) / both).otherwise(F.lit(0.0))
+
+    def share(g: Column) -> Column:
+        both = F.size(F.array_union(g["a"], g["b"]))
+        return F.when(both > 0, F.size(F.array_intersect(g["a"], g["b"])) / both).otherwise(F.lit(0.0))
+
+    return bound(F.struct(trigrams(left).alias("a"), trigrams(right).alias("b")), share)
 
 
 def detect_language(text: Column) -> Column:

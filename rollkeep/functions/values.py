@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rollkeep.functions.text import normalize_text, western_digits
+from rollkeep.functions.text import bound, normalize_text, western_digits
 
 MALE = "m male boy man مرد لڑکا نر".split()
 FEMALE = "f female girl woman عورت لڑکی خاتون مادہ".split()
@@ -31,11 +31,11 @@ def read_date(printed: Column, normal: bool = False) -> Column:
     full or by its first three letters), need day, month and year. Years stay as printed.
     """
     text = F.trim(F.coalesce(printed, F.lit("")) if normal else plain(printed))
+    return bound(text, _date_of)
+
+
+def _date_of(text: Column) -> Column:
     shape = "^\\s*([0-9]{1,4})\\s*[-/.]\\s*([0-9]{1,2})\\s*[-/.]\\s*([0-9]{1,4})\\s*$"
-    numeric = text.rlike(shape)
-    a, b, c = (F.regexp_extract(text, shape, i) for i in (1, 2, 3))
-    year_first = F.coalesce(a.try_cast("int"), F.lit(0)) > 31
-    by_year, by_day, by_month = _iso(a, b, c), _iso(c, b, a), _iso(c, a, b)
     names = "|".join(sorted({*MONTHS, *(m[:3] for m in MONTHS if m.isascii())}, key=len, reverse=True))
     lookup = F.create_map(*[F.lit(x) for k, v in ({m[:3]: n for m, n in MONTHS.items() if m.isascii()} | MONTHS).items() for x in (k, str(v))])
     word = f"^([0-9]{{1,2}})(?:st|nd|rd|th)?[\\s,.-]+({names})[\\s,.-]+([0-9]{{4}})$"
@@ -44,9 +44,21 @@ def read_date(printed: Column, normal: bool = False) -> Column:
     named = F.when(low.rlike(word), _iso(F.regexp_extract(low, word, 3), F.try_element_at(lookup, F.regexp_extract(low, word, 2)), F.regexp_extract(low, word, 1))).when(
         low.rlike(back), _iso(F.regexp_extract(low, back, 3), F.try_element_at(lookup, F.regexp_extract(low, back, 1)), F.regexp_extract(low, back, 2))
     )
-    iso = F.when(numeric & year_first, by_year).when(numeric, F.coalesce(by_day, by_month)).otherwise(named)
-    ambiguous = numeric & ~year_first & by_day.isNotNull() & by_month.isNotNull() & (a.try_cast("int") != b.try_cast("int"))
-    return F.struct(iso.alias("iso"), F.coalesce(ambiguous, F.lit(False)).alias("ambiguous"), (numeric & iso.isNull()).alias("impossible"))
+
+    def of_digits(p: Column) -> Column:
+        a, b, c = p["a"], p["b"], p["c"]
+        year_first = F.coalesce(a.try_cast("int"), F.lit(0)) > 31
+        readings = F.struct(_iso(a, b, c).alias("y"), _iso(c, b, a).alias("d"), _iso(c, a, b).alias("m"))
+
+        def chosen(r: Column) -> Column:
+            iso = F.when(year_first, r["y"]).otherwise(F.coalesce(r["d"], r["m"]))
+            both = ~year_first & r["d"].isNotNull() & r["m"].isNotNull() & (a.try_cast("int") != b.try_cast("int"))
+            return F.struct(iso.alias("iso"), F.coalesce(both, F.lit(False)).alias("ambiguous"), iso.isNull().alias("impossible"))
+
+        return bound(readings, chosen)
+
+    digits = bound(F.struct(*[F.regexp_extract(text, shape, i).alias(n) for i, n in enumerate("abc", 1)]), of_digits)
+    return F.when(text.rlike(shape), digits).otherwise(F.struct(named.alias("iso"), F.lit(False).alias("ambiguous"), F.lit(False).alias("impossible")))
 
 
 def read_time(printed: Column) -> Column:

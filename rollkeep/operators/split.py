@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rollkeep.functions.text import bound
+
 # Titles of certificates and labels of their numbers.
 HEADINGS = ("(?i)\\bcertificate\\s+of\\s+(birth|death|marriage)\\b", "(?i)\\b(birth|death|marriage|nikah)\\s+certificate\\b", "(?i)\\bnikah\\s*nama\\b", "سرٹیفکیٹ", "نکاح نامہ|نکاحنامہ")
 NUMBERS = ("(?i)(?:certificate|registration|serial|reg)\\.?\\s*(?:no|number|#)\\.?\\s*[:\\-]?\\s*([A-Za-z0-9][A-Za-z0-9/\\-]{3,})", "(?:سرٹیفکیٹ|رجسٹریشن)\\s*نمبر\\s*[:\\-]?\\s*([A-Za-z0-9][A-Za-z0-9/\\-]{3,})")
@@ -114,16 +116,25 @@ def classify(text: Column, keywords: dict[str, dict[str, float]] = KEYWORDS, str
 
     The first type in order wins a tie; without a clear winner the type is OTHER.
     """
-    low = F.lower(text)
+    return bound(F.lower(text), lambda low: _classified(low, keywords, strong, margin, most))
+
+
+def _classified(low: Column, keywords: dict[str, dict[str, float]], strong: float, margin: float, most: float) -> Column:
     rows = lines(low)
     top_lines = F.array_join(F.slice(rows, F.lit(1), F.greatest(F.lit(1), F.least(F.lit(6), F.floor(F.size(rows) / 3).cast("int")))), "\n")
     heading = F.when(F.size(rows) >= 3, top_lines).otherwise("")
-    scores = []
-    for rank, (kind, phrases) in enumerate(keywords.items()):
-        total = sum((F.when(F.instr(heading, p) > 0, 2 * w).when(F.instr(low, p) > 0, w).otherwise(0.0) for p, w in phrases.items()), F.lit(0.0))
-        scores.append(F.struct(total.alias("score"), F.lit(-rank).alias("rank"), F.lit(kind).alias("type")))
-    ranked = F.reverse(F.array_sort(F.array(*scores)))
-    first, second = ranked[0], ranked[1]
+
+    def scores(head: Column) -> Column:
+        found = []
+        for rank, (kind, phrases) in enumerate(keywords.items()):
+            total = sum((F.when(F.instr(head, p) > 0, 2 * w).when(F.instr(low, p) > 0, w).otherwise(0.0) for p, w in phrases.items()), F.lit(0.0))
+            found.append(F.struct(total.alias("score"), F.lit(-rank).alias("rank"), F.lit(kind).alias("type")))
+        return F.reverse(F.array_sort(F.array(*found)))
+
+    return bound(bound(heading, scores), lambda ranked: _winner(ranked[0], ranked[1], strong, margin, most))
+
+
+def _winner(first: Column, second: Column, strong: float, margin: float, most: float) -> Column:
     clear = (first["score"] > 0) & (first["score"] - second["score"] >= margin)
     share = first["score"] / F.when(first["score"] > 0, first["score"] + second["score"]).otherwise(F.lit(1.0))
     confidence = F.least(F.lit(most), F.round(F.least(F.lit(1.0), first["score"] / strong) * (2 * share - 1), 4))
