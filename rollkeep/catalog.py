@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 FLAGSHIP = "search_name_similar"
-MODULES = ("register", "reading", "exchange")
+MODULES = ("register", "reading", "exchange", "ledger")
 
 
 def queries() -> dict[str, Callable]:
