@@ -96,17 +96,37 @@ def applied(lines: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``rules`` has fingerprint, field, anchor, where ('after' or 'below') and pattern (may
     be null); ``lines`` has the fingerprint of its document. The first line that holds the
-    anchor and gives a value counts.
+    anchor and gives a value counts; of a pattern, the part that matches is the value.
     """
     met = lines.join(rules, "fingerprint").where(F.instr(F.lower("text"), F.lower("anchor")) > 0)
     after = tidy(F.substring(F.col("text"), F.instr(F.lower("text"), F.lower("anchor")) + F.length("anchor"), F.length("text")))
     value = F.when(F.col("where") == "below", tidy(F.col("next_text"))).otherwise(after)
     fits = F.col("pattern").isNull() | F.expr("coalesce(value rlike pattern, false)")
-    rows = met.withColumn("value", value).where((F.col("value") != "") & fits)
+    part = F.when(F.col("pattern").isNull(), F.col("value")).otherwise(F.expr("regexp_substr(value, pattern)"))
+    rows = met.withColumn("value", value).where(fits).withColumn("value", part).where("value != ''")
     first = F.row_number().over(W.partitionBy("document_id", "field").orderBy("page_number", "line"))
     return rows.withColumn("place", first).where("place = 1").select("document_id", "field", "value", F.lit(0.95).alias("confidence"))
 
 
+def applied_cells(cells: DataFrame, rules: DataFrame) -> DataFrame:
+    """(document_id, field, value, confidence): what rules that look to the right in a table read.
+
+    ``cells`` has document_id, fingerprint, page_number, table, row, column (from 0) and
+    text; ``rules`` has fingerprint, field, anchor and pattern (may be null). Of each page
+    the first row counts whose first cell holds the anchor and which has another cell that
+    isn't blank; the first page counts whose value fits the pattern.
+    """
+    place = ["document_id", "fingerprint", "page_number", "table", "row"]
+    filled = F.when(F.trim("text") != "", F.struct("column", F.trim("text").alias("text")))
+    rows = cells.groupBy(*place).agg(F.max(F.when(F.col("column") == 0, F.lower("text"))).alias("head"), F.min(F.when(F.col("column") > 0, filled)).alias("right"))
+    met = rows.join(rules, "fingerprint").where(F.contains("head", F.lower("anchor")) & F.col("right").isNotNull())
+    pages = met.groupBy("document_id", "field", "pattern", "page_number").agg(F.min(F.struct("table", "row", F.col("right")["text"].alias("value")))["value"].alias("value"))
+    fits = F.col("pattern").isNull() | F.expr("coalesce(value rlike pattern, false)")
+    part = F.when(F.col("pattern").isNull(), F.col("value")).otherwise(F.expr("regexp_substr(value, pattern)"))
+    fitting = pages.where(fits).withColumn("value", part).where("value != ''")
+    return fitting.groupBy("document_id", "field").agg(F.min(F.struct("page_number", "value"))["value"].alias("value"), F.lit(0.95).alias("confidence"))
+
+
 def learned(lines: DataFrame, corrections: DataFrame) -> DataFrame:
     """(document_id, field, anchor, where): rules that would have read a corrected value.
 

@@ -153,10 +153,10 @@ QUERIES = {
 
 _ROWS = """r AS (SELECT s_suppkey + 2 AS row_number, s_suppkey % 17 = 0 AS blank, s_suppkey % 19 = 0 AS bare, s_suppkey % 23 = 0 AS more, 'S-' || s_suppkey % 60 AS number, s_name, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier),
 k AS (SELECT row_number, CASE WHEN NOT bare THEN number END AS number, CASE WHEN bare THEN s_name ELSE s_name || ', "x"' END AS name, CASE WHEN NOT bare THEN nation END AS nation, NOT bare AND more AS too_many, bare AS too_few FROM r WHERE NOT blank)"""
-_OUT = _ROWS + """, h AS (SELECT *, lower(replace(coalesce(number, ''), '-', '')) AS key, CASE WHEN too_many THEN 'too_many_columns' WHEN number IS NULL THEN 'no_identifier' END AS bad FROM k),
+_OUT = _ROWS + """, h AS (SELECT *, lower(replace(coalesce(number, ''), '-', '')) AS key, CASE WHEN too_many THEN 'extra_columns' WHEN number IS NULL THEN 'missing_identifier' END AS bad FROM k),
 f AS (SELECT *, min(row_number) FILTER (bad IS NULL) OVER (PARTITION BY key) AS first FROM h),
 o AS (SELECT row_number, key, CASE WHEN bad IS NOT NULL THEN 'failed' WHEN coalesce(row_number > first, false) OR key IN ('s0', 's1', 's2', 's3', 's4') THEN 'skipped' ELSE 'created' END AS outcome,
- coalesce(bad, CASE WHEN coalesce(row_number > first, false) OR key IN ('s0', 's1', 's2', 's3', 's4') THEN 'duplicate' END) AS code FROM f)"""
+ coalesce(bad, CASE WHEN coalesce(row_number > first, false) OR key IN ('s0', 's1', 's2', 's3', 's4') THEN 'duplicate_number' END) AS code FROM f)"""
 
 SQL = {
     "import_rows": f"WITH {_ROWS} SELECT * FROM k",

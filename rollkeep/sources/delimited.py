@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rollkeep.functions.text import number_key
 from rollkeep.plans.schema import Schema
+from rollkeep.sources.scratch import checkpointed
 
 DELIMITERS = ",;\t|"
 LONGEST_CELL, LONGEST_LINE, ERRORS_KEPT = 4000, 64000, 10_000
+#: Bytes that tell the encoding, and of how many lines at most.
+HEAD, HEAD_LINES = 65536, 1024
 
 
 def sniff_encoding(head: bytes) -> str:
@@ -72,7 +76,9 @@ def read_lines(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     Rows are numbered as a spreadsheet numbers them, the header being 1: each partition
     counts its lines, and the counts before it are added, so that no task reads them all.
     """
-    head = spark.read.format("binaryFile").load(path).select(F.expr("substring(content, 1, 65536)")).first()[0]
+    # The bytes of the first lines; a file may be too large to be read as one value.
+    first = spark.read.text(path).select(F.substring(F.col("value").cast("binary"), 1, HEAD)).limit(HEAD_LINES).collect()
+    head = b"\n".join(bytes(r[0]) for r in first)[:HEAD]
     encoding = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}[sniff_encoding(bytes(head))]
     read = spark.read.text(path) if encoding == "UTF-8" else spark.read.option("encoding", encoding).csv(path, sep="\u0001", quote="", schema="value string")
     at = read.select(F.regexp_replace("value", "^﻿|\r$", "").alias("line"), F.monotonically_increasing_id().alias("at"))
@@ -101,23 +107,72 @@ def read_rows(lines: DataFrame, plan: HeaderPlan, delimiter: str = ",") -> DataF
     return rows.select("row_number", F.map_from_entries(held).alias("fields"), (F.size("cells") > width).alias("too_many"), (F.size("cells") < width).alias("too_few"), F.exists("cells", lambda c: F.length(c) > LONGEST_CELL).alias("oversized"))
 
 
-def outcomes(rows: DataFrame, identifier: str, register: DataFrame, on_duplicate: str = "skip") -> DataFrame:
+def outcomes(rows: DataFrame, identifier: str, register: DataFrame, on_duplicate: str = "skip", second: str | None = None) -> DataFrame:
     """(row_number, key, outcome, code) of each row read.
 
-    Too many columns or no identifier fail a row. A number that an earlier row of the file
-    or the register (column number_key) has is skipped, or recorded all the same.
+    Too many columns or no identifier fail a row. With the policy 'skip' a row whose number
+    an earlier created row of the file or the register (column number_key) has is skipped;
+    any other policy records it. With ``second``, the field of a second number (register
+    column registration_key), a row is also skipped for the second number of an earlier
+    entry, and skipped rows hold back nobody.
     """
     keyed = rows.withColumn("key", number_key(F.try_element_at("fields", F.lit(identifier))))
-    bad = F.when(F.col("too_many"), "too_many_columns").when(F.col("key") == "", "no_identifier")
+    bad = F.when(F.col("too_many"), "extra_columns").when(F.col("key") == "", "missing_identifier")
     judged = keyed.withColumn("bad", bad)
-    # One key may fill a third of the file, so its first row is a minimum and not a window.
-    firsts = judged.where("bad is null").groupBy("key").agg(F.min("row_number").alias("first"))
-    held = register.select(F.col("number_key").alias("key")).distinct().withColumn("held", F.lit(True))
-    joined = judged.join(firsts, "key", "left").join(held, "key", "left")
-    again = F.col("held") | (F.col("row_number") > F.col("first"))
-    skipped = F.coalesce(again, F.lit(False)) & F.lit(on_duplicate == "skip")
+    if on_duplicate != "skip":
+        skipped = F.lit(False)
+        joined = judged
+    elif second is None:
+        # One key may fill a third of the file, so its first row is a minimum and not a window.
+        firsts = judged.where("bad is null").groupBy("key").agg(F.min("row_number").alias("first"))
+        held = register.select(F.col("number_key").alias("key")).distinct().withColumn("held", F.lit(True))
+        joined = judged.join(firsts, "key", "left").join(held, "key", "left")
+        skipped = F.coalesce(F.col("held") | (F.col("row_number") > F.col("first")), F.lit(False))
+    else:
+        other = number_key(F.try_element_at("fields", F.lit(second)))
+        repeats = repeated_numbers(judged.where("bad is null").select("row_number", F.col("key").alias("number_key"), other.alias("registration_key")), register)
+        joined = judged.join(repeats.withColumn("repeat", F.lit(True)), "row_number", "left")
+        skipped = F.coalesce("repeat", F.lit(False))
     outcome = F.when(F.col("bad").isNotNull(), "failed").when(skipped, "skipped").otherwise("created")
-    return joined.select("row_number", "key", outcome.alias("outcome"), F.coalesce("bad", F.when(F.coalesce(again, F.lit(False)), "duplicate")).alias("code"))
+    return joined.select("row_number", "key", outcome.alias("outcome"), F.coalesce("bad", F.when(skipped, "duplicate_number")).alias("code"))
+
+
+def repeated_numbers(rows: DataFrame, register: DataFrame) -> DataFrame:
+    """row_number of the rows that repeat an entry of the register or an earlier row that is kept itself.
+
+    A row repeats an entry if their numbers agree, their second numbers agree, or its number
+    is the entry's second number (columns number_key, registration_key; blank ones never
+    agree). Whether a row is kept depends on the rows before it, so they are decided in
+    rounds: a row with a kept entry before it goes, one with nothing undecided before it
+    stays. Each round is a minimum by number, so that a hot number makes no pairs; all
+    rows of one number are decided two rounds after its first.
+    """
+
+    def offered(df: DataFrame, row: Column) -> DataFrame:
+        """What entries hold: (slot, row)."""
+        slots = F.array(F.concat(F.lit("n:"), "number_key"), F.concat(F.lit("r:"), "registration_key"))
+        return df.select(F.explode(slots).alias("slot"), row.alias("row")).where("length(slot) > 2")
+
+    asked = F.array_distinct(F.array(F.concat(F.lit("n:"), "number_key"), F.concat(F.lit("r:"), "number_key"), F.concat(F.lit("r:"), "registration_key")))
+    before = lambda c: F.coalesce(F.max(F.col(c) < F.col("row_number")), F.lit(False))
+
+    def probes(df: DataFrame) -> DataFrame:
+        return df.select("row_number", F.explode(asked).alias("slot")).where("length(slot) > 2")
+
+    # The register is met once; the rounds are about the file's rows only.
+    known = checkpointed(probes(rows).join(offered(register, F.lit(0)).select("slot"), "slot", "left_semi").select("row_number").distinct())
+    left = checkpointed(rows.join(known, "row_number", "left_anti"))
+    gone, kept = [known], offered(left.limit(0), F.col("row_number"))
+    while not left.isEmpty():
+        first_kept = kept.groupBy("slot").agg(F.min("row").alias("kept"))
+        first_left = offered(left, F.col("row_number")).groupBy("slot").agg(F.min("row").alias("left"))
+        met = probes(left).join(first_kept, "slot", "left").join(first_left, "slot", "left")
+        judged = met.groupBy("row_number").agg(before("kept").alias("repeats"), before("left").alias("waits"))
+        decided = checkpointed(left.join(judged, "row_number"))
+        gone.append(decided.where("repeats").select("row_number"))
+        kept = checkpointed(kept.unionByName(offered(decided.where("not repeats and not waits"), F.col("row_number"))))
+        left = decided.where("not repeats and waits").select(rows.columns)
+    return reduce(DataFrame.unionByName, gone)
 
 
 def counters(done: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -76,6 +76,26 @@ def docx_pages(files: DataFrame) -> DataFrame:
     return files.select("id", "content").mapInPandas(read, f"document_id {kind}, page_number long, text string")
 
 
+def pages_with(files: DataFrame, engine: Callable[[bytes], Iterable[str]]) -> DataFrame:
+    """(document_id, page_number, text, problem) of files (columns id, content) by an engine of the caller's.
+
+    ``engine`` turns the bytes of one file into page texts: a PDF reader, a converter or OCR.
+    A file that it can't read is one empty page with the name of the error, not a failure.
+    """
+    kind = files.schema["id"].dataType.simpleString()
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i, content in zip(frame["id"], frame["content"], strict=True):
+                try:
+                    texts, problem = [str(t) for t in engine(content)] or [""], None
+                except Exception as e:  # noqa: BLE001 - whatever the engine raises belongs to this file
+                    texts, problem = [""], type(e).__name__
+                yield pd.DataFrame({"document_id": [i] * len(texts), "page_number": range(1, len(texts) + 1), "text": texts, "problem": [problem] * len(texts)})
+
+    return files.select("id", "content").mapInPandas(read, f"document_id {kind}, page_number long, text string, problem string")
+
+
 def newest_rules(rules: DataFrame) -> DataFrame:
     """One rule for each template and field: the newest."""
     newest = rules.groupBy("template_id", "field").agg(F.max("created_at").alias("created_at"))
