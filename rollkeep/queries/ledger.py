@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from rollkeep.functions import boxes
 from rollkeep.functions.text import slug
-from rollkeep.operators import export, publish, review
-from rollkeep.sources import readers
+from rollkeep.operators import export, extract, publish, review
+from rollkeep.sources import delimited, readers
 from rollkeep.sources.adapter import ENTRIES, frame, view
 
 LINKS = "SELECT DISTINCT l_orderkey AS certificate_id, l_orderkey * 10 + l_linenumber AS document_id, l_linenumber AS page_start, l_linenumber + 2 AS page_end, 'PRIMARY' AS state FROM {lineitem}"
@@ -19,6 +19,8 @@ QUEUE = """SELECT o_orderkey AS extraction_id, o_custkey % 25 AS batch_id, o_ord
  CASE o_orderstatus WHEN 'F' THEN 'FAILED' WHEN 'O' THEN 'NEEDS_REVIEW' ELSE 'APPROVED' END AS status FROM {orders}"""
 BATCHES = "SELECT n_nationkey AS batch_id, CASE WHEN n_regionkey = 1 THEN n_regionkey + 100 END AS pinned_type FROM {nation}"
 TYPES = "SELECT r_regionkey AS type_id, CASE r_regionkey WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '2-HIGH' WHEN 3 THEN '5-LOW' ELSE '3-MEDIUM' END AS class_key, r_regionkey <> 3 AS active FROM {region}"
+CELLS = """SELECT document_id, 'f' AS fingerprint, 1 AS page_number, 0 AS table, row, c.column, CASE c.column WHEN 0 THEN 'LINE ' || CAST(row AS STRING) WHEN 1 THEN ' ' ELSE 'no ' || CAST(part AS STRING) END AS text
+FROM (SELECT l_orderkey AS document_id, l_linenumber AS row, min(l_partkey) AS part FROM {lineitem} GROUP BY 1, 2) l CROSS JOIN (VALUES (0), (1), (2)) c(column)"""
 RULES = "SELECT DISTINCT user_id % 40 AS template_id, event_type AS field, event_id AS created_at, 'rule ' || CAST(event_id AS STRING) AS rule FROM {events}"
 
 
@@ -110,7 +112,22 @@ def cursors(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", "cursor", ((back["t"] == F.col("created_at")) & (back["i"] == F.col("id").cast("string"))).alias("same"))
 
 
+def import_second_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of an import that repeat either number of the register or of a row kept before them."""
+    rows = frame(spark, d, "SELECT o_orderkey AS row_number, 'n' || CAST(o_custkey AS STRING) AS number_key, CASE WHEN o_orderkey % 3 = 0 THEN 'n' || CAST(o_orderkey % 400 AS STRING) ELSE '' END AS registration_key FROM {orders}")
+    register = frame(spark, d, "SELECT 'n' || CAST(n_nationkey AS STRING) AS number_key, '' AS registration_key FROM {nation}")
+    return delimited.repeated_numbers(rows.groupBy("row_number").agg(F.min("number_key").alias("number_key"), F.min("registration_key").alias("registration_key")), register)
+
+
+def table_cells(spark: SparkSession, d: str) -> DataFrame:
+    cells = frame(spark, d, CELLS)
+    rules = "SELECT 'f' AS fingerprint, 'total' AS field, 'Line 2' AS anchor, NULL AS pattern FROM {region} WHERE r_regionkey = 0 UNION ALL SELECT 'f', 'part', 'line', '[1-9][0-9]*$' FROM {region} WHERE r_regionkey = 0"
+    return extract.applied_cells(cells, frame(spark, d, rules))
+
+
 QUERIES = {
+    "import_second_numbers": import_second_numbers,
+    "table_cells": table_cells,
     "units_split": units_split,
     "units_merged": units_merged,
     "replaced_documents": replaced_documents,
@@ -135,6 +152,9 @@ _TYPED = f"""t AS (SELECT q.*, coalesce(b.pinned_type, k.type_id) AS type_id FRO
 LEFT JOIN (SELECT class_key, min(type_id) AS type_id FROM {view(TYPES)} x WHERE active GROUP BY 1) k USING (class_key))"""
 
 SQL = {
+    "table_cells": """WITH l AS (SELECT l_orderkey AS document_id, l_linenumber AS row, min(l_partkey) AS part FROM lineitem GROUP BY 1, 2)
+SELECT document_id, 'total' AS field, 'no ' || part AS value, 0.95::DOUBLE AS confidence FROM l WHERE row = 2
+UNION ALL SELECT document_id, 'part', CAST(arg_min(part, row) AS VARCHAR), 0.95::DOUBLE FROM l GROUP BY 1 HAVING arg_min(part, row) <> 0""",
     "units_split": f"WITH {_SPLIT} SELECT document_id, page_start, page_end, ordinal FROM s",
     "units_merged": f"""WITH {_SPLIT}, g AS (SELECT document_id, min(page_start) AS page_start, max(page_end) AS page_end FROM s GROUP BY document_id, CASE WHEN ordinal = document_id % 2 + 1 THEN document_id % 2 ELSE ordinal END)
 SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_start, page_end) - 1 AS ordinal FROM g""",
