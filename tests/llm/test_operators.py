@@ -294,6 +294,15 @@ def test_language_model_beats_the_base_on_held_out_prose(spark):
     assert len(held) > 150 and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_language_model_uses_all_counts_however_few_are_handed_out(docs, monkeypatch):
+    whole = {(r["doc_id"], r["n_tokens"]): r for r in lm.score_texts(docs).collect()}
+    monkeypatch.setattr(lm, "FREQUENT", 64)
+    for r in lm.score_texts(docs).collect():
+        w = whole[r["doc_id"], r["n_tokens"]]
+        assert r["n_known"] == w["n_known"]
+        assert math.isclose(r["base_score"], w["base_score"], rel_tol=1e-9) and math.isclose(r["score"], w["score"], rel_tol=1e-9)
+
+
 def test_code_is_a_prefix_code():
     codes = {format(b, f"0{n}b") for b, n in zip(lm.CODE, lm.CODE_LENGTH, strict=True)}
     assert len(codes) == 256 and not any(a != b and b.startswith(a) for a in codes for b in codes)
