@@ -122,6 +122,31 @@ def landmarks(codes: Column) -> Column:
     return F.when(n > 0, F.transform(F.slice(codes, F.lit(1), F.greatest(n, F.lit(0))), lambda x, i: F.shiftleft(x, 32).bitwiseOR(F.get(codes, i + SPAN))))
 
 
+def _aligned(recordings: DataFrame, queries: Column, audio: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The readable recordings (id, key, codes), their classes (key, class_id, codes), and what :func:`align` returns with the query's key."""
+    lean_batches(recordings.sparkSession)
+    form = "id long, phase int, codes array<long>"
+    codes = recordings.select("id", audio).mapInArrow(fingerprints(audio), form).drop("phase")
+    found = materialize(codes.where(F.size("codes") > 0).withColumn("key", F.sha2(F.array_join(F.col("codes").cast("array<string>"), ","), 256)))
+    classes = materialize(found.groupBy("key").agg(F.min("id").alias("class_id"), F.first("codes").alias("codes")))
+    # Queries of equal bytes share the work; others of one class may differ in the other phases.
+    sounds = recordings.where(queries).select("id", F.sha2(audio, 256).alias("sound"))
+    mine = materialize(found.where(queries).select("id", "key").distinct().join(classes.select("key", "class_id"), "key").join(sounds, "id").select(F.col("id").alias("query_id"), F.col("class_id").alias("query_class"), "key", "sound"))
+    one = materialize(mine.groupBy("query_class", "sound").agg(F.min("query_id").alias("id")))
+    asked = mine.join(one.withColumnRenamed("id", "asked_id"), ["query_class", "sound"])
+    phased = recordings.where(queries).select("id", F.sha2(audio, 256).alias("sound"), audio).join(one, ["id", "sound"]).dropDuplicates(["id", "sound"]).select("id", audio).mapInArrow(fingerprints(audio, PHASES), form)
+    wanted = materialize(phased.join(one.select("id", "query_class"), "id").select(F.col("id").alias("asked_id"), "query_class", "phase", F.col("codes").alias("query_codes")))
+    at = wanted.select("asked_id", "query_class", "phase", F.posexplode(landmarks(F.col("query_codes"))).alias("i", "code"))
+    among = classes.select("class_id", F.posexplode(landmarks(F.col("codes"))).alias("j", "code"))
+    votes = at.join(among, "code").where("query_class <> class_id").groupBy("asked_id", "class_id", "phase", (F.col("j") - F.col("i")).alias("offset")).agg(F.count("*").alias("votes"))
+    best = votes.groupBy("asked_id", "class_id").agg(F.max(F.struct("votes", -F.abs("offset"), "offset", "phase")).alias("b")).where(F.col("b.votes") >= VOTES)
+    pairs = best.select("asked_id", "class_id", F.col("b.offset").alias("offset"), F.col("b.phase").alias("phase"), F.col("b.votes").alias("votes")).join(wanted, ["asked_id", "phase"]).join(classes.select("class_id", "codes"), "class_id")
+    frames, errors = bit_errors(F.col("query_codes"), F.col("codes"), F.col("offset"))
+    checked = pairs.select("asked_id", "class_id", "offset", frames.alias("frames"), "votes", errors.alias("errors"))
+    rated = checked.withColumn("error_rate", F.col("errors") / (32 * F.col("frames"))).where((F.col("frames") >= OVERLAP) & (F.col("error_rate") <= ERRORS))
+    return found, classes, asked.join(rated, "asked_id", "left").select("query_id", "query_class", "class_id", "offset", "frames", "votes", "errors", "error_rate", "key")
+
+
 def align(recordings: DataFrame, queries: Column, audio: str = "audio") -> DataFrame:
     """Where the recordings that meet ``queries`` (a condition on id) recur among all recordings.
 
@@ -129,28 +154,31 @@ def align(recordings: DataFrame, queries: Column, audio: str = "audio") -> DataF
     codes that a query and a class share vote for an offset; the offset with most votes is checked by
     bit errors over the whole overlap. Returns query_id, query_class, class_id, offset
     (frames), frames, votes, errors and error_rate; the query's own class is left out, and a
-query that nothing else matches has one row with nulls.
+    query that nothing else matches has one row with nulls. For the members of the classes
+    see :func:`align_members`.
     Recordings that can't be read or are too short have no codes and match nothing.
     """
-    lean_batches(recordings.sparkSession)
-    form = "id long, phase int, codes array<long>"
-    codes = recordings.select("id", audio).mapInArrow(fingerprints(audio), form).drop("phase")
-    found = materialize(codes.where(F.size("codes") > 0).withColumn("key", F.sha2(F.array_join(F.col("codes").cast("array<string>"), ","), 256)))
-    classes = materialize(found.groupBy("key").agg(F.min("id").alias("class_id"), F.first("codes").alias("codes")))
-    asked = materialize(found.where(queries).select("id", "key").join(classes, "key").select(F.col("id").alias("query_id"), F.col("class_id").alias("query_class")))
-    # Queries of one class share the work: the search runs once for each class that is asked for.
-    one = asked.groupBy("query_class").agg(F.min("query_id").alias("id"))
-    phased = recordings.where(queries).select("id", audio).join(one, "id").select("id", audio).mapInArrow(fingerprints(audio, PHASES), form)
-    wanted = materialize(phased.join(one, "id").select("query_class", "phase", F.col("codes").alias("query_codes")))
-    at = wanted.select("query_class", "phase", F.posexplode(landmarks(F.col("query_codes"))).alias("i", "code"))
-    among = classes.select("class_id", F.posexplode(landmarks(F.col("codes"))).alias("j", "code"))
-    votes = at.join(among, "code").where("query_class <> class_id").groupBy("query_class", "class_id", "phase", (F.col("j") - F.col("i")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("query_class", "class_id").agg(F.max(F.struct("votes", -F.abs("offset"), "offset", "phase")).alias("b")).where(F.col("b.votes") >= VOTES)
-    pairs = best.select("query_class", "class_id", F.col("b.offset").alias("offset"), F.col("b.phase").alias("phase"), F.col("b.votes").alias("votes")).join(wanted, ["query_class", "phase"]).join(classes.select("class_id", "codes"), "class_id")
-    frames, errors = bit_errors(F.col("query_codes"), F.col("codes"), F.col("offset"))
-    checked = pairs.select("query_class", "class_id", "offset", frames.alias("frames"), "votes", errors.alias("errors"))
-    rated = checked.withColumn("error_rate", F.col("errors") / (32 * F.col("frames"))).where((F.col("frames") >= OVERLAP) & (F.col("error_rate") <= ERRORS))
-    return asked.join(rated, "query_class", "left").select("query_id", "query_class", "class_id", "offset", "frames", "votes", "errors", "error_rate")
+    return _aligned(recordings, queries, audio)[2].drop("key")
+
+
+def align_members(recordings: DataFrame, queries: Column, audio: str = "audio") -> DataFrame:
+    """:func:`align` with a row for each recording that matches, named by ``id``.
+
+    All members of a matched class are there, and so are the other members of the query's
+    own class: at offset 0 without errors, and without votes as none were needed. A query
+    that no other recording matches has one row with nulls.
+    """
+    found, classes, met = _aligned(recordings, queries, audio)
+    met = materialize(met)
+    members = found.select("id", "key").join(classes.select("key", "class_id"), "key").select("id", "class_id")
+    others = met.where("class_id is not null").drop("key").join(members, "class_id")
+    length = classes.select(F.col("class_id").alias("query_class"), F.size("codes").alias("frames"))
+    none = F.lit(0).cast("long")
+    own = met.select("query_id", "query_class").distinct().join(length, "query_class").join(members.withColumnRenamed("class_id", "query_class"), "query_class").where("id <> query_id")
+    own = own.select("query_id", "query_class", F.col("query_class").alias("class_id"), F.lit(0).alias("offset"), "frames", F.lit(None).cast("long").alias("votes"), none.alias("errors"), F.lit(0.0).alias("error_rate"), "id")
+    both = materialize(others.select(*own.columns).unionByName(own))
+    alone = met.select("query_id", "query_class").distinct().join(both.select("query_id").distinct(), "query_id", "left_anti")
+    return both.unionByName(alone, allowMissingColumns=True).select("query_id", "query_class", "class_id", "id", "offset", "frames", "votes", "errors", "error_rate")
 
 
 RATE, NOTE = 4096, 512

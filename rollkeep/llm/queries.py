@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollkeep.llm.chroma import align, melodies
+from rollkeep.llm.chroma import align_members, melodies
 from rollkeep.llm.decontaminate import decontaminate
 from rollkeep.llm.html import main_texts
 from rollkeep.llm.lm import score_texts
@@ -42,7 +42,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no recordings: each vector of ``embeddings`` is played as a melody. Queries are the ids divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return align(vectors.mapInArrow(melodies, "id long, audio binary"), F.col("id") % 50 == 0)
+    return align_members(vectors.mapInArrow(melodies, "id long, audio binary"), F.col("id") % 50 == 0)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -326,3 +326,13 @@ def test_integral_image_filters_are_stable():
     x = chroma.melody(np.linspace(-1, 1, 64))
     a, b = chroma.fingerprint(x, chroma.RATE), chroma.fingerprint(0.3 * x, chroma.RATE)
     assert np.bitwise_count(a ^ b).mean() < 1
+
+
+def test_chroma_names_every_copy(spark):
+    rng = np.random.default_rng(4)
+    base = {i: chroma.write_wave(chroma.melody(rng.normal(size=64)), chroma.RATE) for i in (0, 7, 50)}
+    cut = chroma.write_wave(chroma.read_wave(base[0])[0][5000:], chroma.RATE)
+    rows = [*base.items(), (101, base[0]), (102, base[0]), (103, cut), (104, cut)]
+    got = chroma.align_members(spark.createDataFrame(rows, "id long, audio binary"), chroma.F.expr("id % 50 = 0")).collect()
+    assert {(r["query_id"], r["class_id"], r["id"]) for r in got} == {(0, 0, 101), (0, 0, 102), (0, 103, 103), (0, 103, 104), (50, None, None)}
+    assert len(got) == 5 and all(r["error_rate"] == 0 and r["offset"] == 0 for r in got if r["class_id"] == 0)
