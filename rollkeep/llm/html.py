@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from rollkeep.llm.storage import lean_batches, materialize
 
-#: A subtree is part of a site's template if it stands on this share of the host's different pages, and on so many.
-SHARE, LEAST_PAGES = 0.5, 5
+#: A subtree is part of a site's template if it stands on this share of the host's different pages and on so many, or on MANY_PAGES of them.
+SHARE, LEAST_PAGES, MANY_PAGES = 0.1, 5, 100
 
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -188,27 +188,28 @@ def host(url: Column) -> Column:
 
 
 def page_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, subtree, page): the different subtrees of each page, the page by its own hash."""
+    """(host, copy, page, subtree): the different subtrees of each page, and a null for the page itself; pages by the hash of their tree."""
     for batch in batches:
-        for h, page in zip(batch.column("host"), batch.column("html"), strict=True):
+        for h, copy, page in zip(batch.column("host"), batch.column("copy"), batch.column("html"), strict=True):
             root = parse(page.as_py() or "")
             digest(root)
             found: set[int] = set()
             subtrees(root, False, found)
-            yield pa.RecordBatch.from_arrays([pa.array([h.as_py()] * len(found), pa.string()), pa.array(list(found), pa.int64()), pa.array([root.digest] * len(found), pa.int64())], names=["host", "subtree", "page"])
+            n = len(found) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([h.as_py()] * n, pa.string()), pa.array([copy.as_py()] * n, pa.int64()), pa.array([root.digest] * n, pa.int64()), pa.array([*found, None], pa.int64())], names=["host", "copy", "page", "subtree"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the hashes of the subtrees that recur on many different pages of a host.
+    """(host, copy, template): for each different html of a host the hashes of its subtrees that recur on many different pages of the host.
 
-    Equal pages count once. At least half of a host's pages hold each hash, so that the
-    list is bounded by twice the elements of a page however many pages there are.
+    Pages with the same tree count once, among those that hold a subtree and among all. The
+    list of a page is no longer than the page, however many templates the host has.
     """
-    seen = pages.select("host", "html").mapInArrow(page_subtrees, "host string, subtree long, page long").distinct()
-    counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    sizes = pages.groupBy("host", F.xxhash64("html").alias("page")).agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
-    many = counts.where(F.col("n") >= LEAST_PAGES).join(sizes, "host").where(F.col("n") >= SHARE * F.col("pages"))
-    return many.groupBy("host").agg(F.collect_list("subtree").alias("template"))
+    seen = materialize(pages.select("host", "copy", "html").mapInArrow(page_subtrees, "host string, copy long, page long, subtree long").distinct())
+    counts = materialize(seen.select("host", "subtree", "page").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")))
+    sizes = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
+    many = counts.where((F.col("n") >= LEAST_PAGES) & F.col("subtree").isNotNull()).join(sizes, "host").where((F.col("n") >= SHARE * F.col("pages")) | (F.col("n") >= MANY_PAGES))
+    return seen.join(many.select("host", "subtree"), ["host", "subtree"]).groupBy("host", "copy").agg(F.collect_set("subtree").alias("template"))
 
 
 def extract_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,6 +231,6 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """
     lean_batches(pages.sparkSession)
     kind = {f.name: f.dataType.simpleString() for f in pages.schema}
-    known = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host(F.col("url")).alias("host"))
+    known = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host(F.col("url")).alias("host")).withColumn("copy", F.xxhash64("html"))
     found = materialize(templates(known))
-    return known.join(found, "host", "left").select("page_id", "url", "html", "template").mapInArrow(extract_text, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long")
+    return known.join(found, ["host", "copy"], "left").select("page_id", "url", "html", "template").mapInArrow(extract_text, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long")

@@ -336,3 +336,14 @@ def test_chroma_names_every_copy(spark):
     got = chroma.align_members(spark.createDataFrame(rows, "id long, audio binary"), chroma.F.expr("id % 50 = 0")).collect()
     assert {(r["query_id"], r["class_id"], r["id"]) for r in got} == {(0, 0, 101), (0, 0, 102), (0, 103, 103), (0, 103, 104), (50, None, None)}
     assert len(got) == 5 and all(r["error_rate"] == 0 and r["offset"] == 0 for r in got if r["class_id"] == 0)
+
+
+def test_template_of_near_copies_and_of_a_section(spark):
+    page = "<body><script>{0}</script><div><i>Company news and views</i></div>{1}<div>Story number {2} is here</div></body>"
+    rows = [(i, "http://h.example/x", page.format("a", "", i)) for i in range(8)]
+    rows += [(100 + i, "http://h.example/x", page.format(f"token {i}", "", 99)) for i in range(30)]
+    rows += [(200 + i, "http://s.example/x", page.format("a", "<div><i>Section menu</i></div>" if i < 8 else "", i)) for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(8)} == {f"Story number {i} is here" for i in range(8)}
+    assert {got[100 + i] for i in range(30)} == {"Story number 99 is here"}
+    assert all(got[200 + i] == f"Story number {i} is here" for i in range(60))
