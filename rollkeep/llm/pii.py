@@ -26,6 +26,8 @@ PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = np.array([0x30 <= b <= 0x39 for b in range(256)])
 RUN = np.array([chr(b) in "0123456789 ().+-" for b in range(256)])
 MARKED = np.array([0x30 <= b <= 0x39 or chr(b) == "@" for b in range(256)])
+#: What stands for an @ in labelled addresses, and the gap of a shortened IPv6 address.
+SPELLED_AT = re.compile(rb"[(\[{<]at[)\]}>]|::", re.I)
 
 #: The small labelled table: kind in brackets before what belongs to it. Lines without brackets are decoys.
 TRAINING = """
@@ -271,11 +273,13 @@ def fit_field(table: list[tuple[list[str], list[int]]], rounds: int = 150, decay
 
 
 def sequences_of(b: Block, around: int = 2) -> list[tuple[int, int]]:
-    """Runs of words (first, last + 1) within two words of one that holds a digit or an @, each of one text.
+    """Runs of words (first, last + 1) within two words of one that holds a digit, an @ or what stands for it, each of one text.
 
-    Other words have no shape that a kind of personal data has.
+    Every labelled word has such a word that near. The field may label others as well, such
+    as "address the.", which have no shape of personal data and are never read.
     """
-    at = np.flatnonzero(MARKED[b.data])
+    spelled = [m.start() for m in SPELLED_AT.finditer(b.data.tobytes())]
+    at = np.union1d(np.flatnonzero(MARKED[b.data]), np.array(spelled, dtype=np.int64))
     if not len(at):
         return []
     marked = np.unique(np.searchsorted(b.start, at, side="right") - 1)
@@ -287,28 +291,42 @@ def sequences_of(b: Block, around: int = 2) -> list[tuple[int, int]]:
     return list(zip(lo[head].tolist(), hi[np.append(head[1:], len(lo)) - 1].tolist(), strict=True))
 
 
-def added_spans(b: Block, field: Field, base: list[list[tuple[int, int, int]]], points: np.ndarray, longest: int = 64) -> list[list[tuple[int, int, int]]]:
-    """What the field finds besides the base spans of each text; spans that touch those are left out."""
-    pieces = [(i, min(i + longest, hi)) for lo, hi in sequences_of(b) for i in range(lo, hi, longest)]
-    words = [[b.data[b.start[w] : b.end[w]].tobytes().decode("utf-8", "replace") for w in range(lo, hi)] for lo, hi in pieces]
+def added_spans(b: Block, field: Field, base: list[list[tuple[int, int, int]]], points: np.ndarray, longest: int = 64, around: int = 32) -> list[list[tuple[int, int, int]]]:
+    """What the field finds besides the base spans of each text; spans that touch those are left out.
+
+    Runs longer than ``longest`` words are read in windows with ``around`` words more on
+    each side, which are read but not labelled, so that a span may cross from one to the next.
+    """
+    runs = sequences_of(b)
+    labelled = [np.zeros(hi - lo, dtype=np.int64) for lo, hi in runs]
+    pieces = [(k, i, min(i + longest, hi), max(i - around, lo), min(i + longest + around, hi)) for k, (lo, hi) in enumerate(runs) for i in range(lo, hi, longest)]
+    pieces.sort(key=lambda p: p[4] - p[3])
+    for i in range(0, len(pieces), 1024):
+        some = pieces[i : i + 1024]
+        words = [features([_word(b, w) for w in range(lo, hi)]) for *_, lo, hi in some]
+        for (k, first, last, lo, _), labels in zip(some, field.decode(words), strict=True):
+            labelled[k][first - runs[k][0] : last - runs[k][0]] = labels[first - lo : last - lo]
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(b.n)]
-    for i in range(0, len(pieces), 4096):
-        for (lo, _), row, labels in zip(pieces[i : i + 4096], words[i : i + 4096], field.decode([features(w) for w in words[i : i + 4096]]), strict=True):
-            j = 0
-            while j < len(labels):
-                label, start = int(labels[j]), j
-                j += 1
-                if label:
-                    kind = (label - 1) // 2
-                    while j < len(labels) and labels[j] == 2 * kind + 2:
-                        j += 1
-                    span = _trimmed(b, points, kind, lo + start, lo + j - 1, row[start], row[j - 1])
-                    text = int(np.searchsorted(b.first, lo + start, side="right")) - 1
-                    if span and not any(s < span[2] and span[1] < e for _, s, e in base[text]):
-                        out[text].append(span)
+    for (lo, _), labels in zip(runs, labelled, strict=True):
+        j = 0
+        while j < len(labels):
+            label, start = int(labels[j]), j
+            j += 1
+            if label:
+                kind = (label - 1) // 2
+                while j < len(labels) and labels[j] == 2 * kind + 2:
+                    j += 1
+                span = _trimmed(b, points, kind, lo + start, lo + j - 1, _word(b, lo + start), _word(b, lo + j - 1))
+                text = int(np.searchsorted(b.first, lo + start, side="right")) - 1
+                if span and not any(s < span[2] and span[1] < e for _, s, e in base[text]):
+                    out[text].append(span)
     return out
 
 
+def _word(b: Block, w: int) -> str:
+    return b.data[b.start[w] : b.end[w]].tobytes().decode("utf-8", "replace")
+
+
 def _trimmed(b: Block, points: np.ndarray, kind: int, first: int, last: int, head: str, tail: str) -> tuple[int, int, int] | None:
     """The span of words first..last in code points, without punctuation at its ends."""
     zero = points[b.bounds[int(np.searchsorted(b.first, first, side="right")) - 1]]

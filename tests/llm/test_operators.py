@@ -347,3 +347,24 @@ def test_template_of_near_copies_and_of_a_section(spark):
     assert {got[i] for i in range(8)} == {f"Story number {i} is here" for i in range(8)}
     assert {got[100 + i] for i in range(30)} == {"Story number 99 is here"}
     assert all(got[200 + i] == f"Story number {i} is here" for i in range(60))
+
+
+def test_field_reads_addresses_without_digits_or_at(spark):
+    texts = ["e-mail anna(at)example.net please", "address bob[at]mail.example.org only", "see e.g. that and/or this at an address"]
+    got = [r["spans"] for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["email:7:26", "email:8:31", ""]
+
+
+def test_field_reads_spans_across_its_windows(spark):
+    text = " ".join(["17"] * 61 + ["call", "me", "at", "(415)", "555-0137", "after", "six"])
+    for n in range(8):
+        t = "17 " * n + text
+        (r,) = pii.find_personal_data(spark.createDataFrame([(1, t)], "doc_id long, text string")).collect()
+        assert f"phone:{t.index('(415)')}:{t.index(' after')}" in r["spans"].split(",")
+
+
+def test_prefilter_covers_every_labelled_word():
+    table = pii.training_table()
+    (b,) = pii.blocks(pii.pa.array([" ".join(w) for w, _ in table]), pii.NOT_SPACE)
+    kept = {w for lo, hi in pii.sequences_of(b) for w in range(lo, hi)}
+    assert all(b.first[i] + j in kept for i, (_, labels) in enumerate(table) for j in np.flatnonzero(labels))
