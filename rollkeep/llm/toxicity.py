@@ -114,9 +114,23 @@ def fit_machine(known: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], la
     return m
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic, one row for each labelled id."""
+    return labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+
+
+def sampling_shift(known: DataFrame, bound: int) -> float:
+    """How much higher the log odds of toxicity are among all labels than among those that are sampled."""
+    n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    taken = {k: min(v, bound // 2) for k, v in n.items()}
+    if not taken.get(0) or not taken.get(1):
+        return 0.0
+    return float(np.log(n[1] / taken[1]) - np.log(n[0] / taken[0]))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     """text and toxic of at most ``bound`` labelled rows: up to half of it toxic, all by the hash of doc_id."""
-    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = known_labels(labels)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.where("toxic = 1").orderBy(*order).limit(bound // 2).unionByName(known.where("toxic = 0").orderBy(*order).limit(bound // 2))
     # At most ``bound`` ids are broadcast.
@@ -131,7 +145,11 @@ def _g2(toxic: Column, clean: Column, n1: int, n0: int) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, n_terms: int = TERMS) -> Machine:
-    """Fit on a bounded sample: count its terms in Spark, keep the most telling, learn their weights."""
+    """Fit on a bounded sample: count its terms in Spark, keep the most telling, learn their weights.
+
+    The sample thins the larger class alone once there are more labels than it holds; the
+    bias is moved back to the odds among all labels.
+    """
     lean_batches(docs.sparkSession)
     sample = materialize(labelled_sample(docs, labels, bound))
     counts = sample.mapInArrow(count_terms, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -152,7 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, n_terms: int =
     # At most ``bound`` rows of ``n_terms`` numbers come to the driver.
     got = sample.mapInArrow(rows, "toxic int, terms array<int>, values array<double>").collect()
     got.sort(key=lambda r: (r["toxic"], r["terms"], r["values"]))
-    return fit_machine(known, [(np.array(r["terms"], dtype=np.int64), np.array(r["values"], dtype=float)) for r in got], np.array([r["toxic"] for r in got], dtype=float))
+    machine = fit_machine(known, [(np.array(r["terms"], dtype=np.int64), np.array(r["values"], dtype=float)) for r in got], np.array([r["toxic"] for r in got], dtype=float))
+    machine.bias += sampling_shift(known_labels(labels), bound)
+    return machine
 
 
 def add_scores(docs: DataFrame, machine: Machine, name: str) -> DataFrame:

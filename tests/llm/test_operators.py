@@ -215,6 +215,16 @@ def test_toxicity(spark, docs, empty):
     assert {r["score"] for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_scores_keep_the_share_of_toxic_labels(spark):
+    """A term that stands in 40% of toxic and 10% of clean texts; one text in ten is toxic."""
+    data = [(i, int(i % 10 == 0), f"plain words {i}" + (" meh" if (i // 10) % 10 < 4 and i % 10 == 0 or i % 10 == 1 and (i // 10) % 10 < 9 else "")) for i in range(3000)]
+    docs, labels = spark.createDataFrame([(i, t) for i, _, t in data], "doc_id long, text string"), spark.createDataFrame([(i, k) for i, k, _ in data], "doc_id long, toxic int")
+    for bound in (8000, 300):
+        score = {r["doc_id"]: r["score"] for r in toxicity.add_scores(docs, toxicity.fit(docs, labels, bound), "score").collect()}
+        assert abs(sum(score.values()) / len(score) - 0.1) < 0.05
+        assert all(score[i] < toxicity.THRESHOLD for i, _, t in data if "meh" in t)
+
+
 def test_machine_learns_pairs():
     """Neither term alone tells; both together do."""
     rng = np.random.default_rng(0)
