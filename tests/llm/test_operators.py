@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from rollkeep.llm import chroma, html, lm, pii, toxicity
+from rollkeep.llm import chroma, lm, pii, toxicity
 from rollkeep.llm.decontaminate import decontaminate
 from rollkeep.llm.mixing import mix_sources
 from rollkeep.llm.sharding import shard_by_bytes
@@ -266,20 +266,6 @@ def test_field_finds_what_the_patterns_miss(spark):
     assert got[0] == "phone:18:32" and got[1].startswith("phone:13:25") and got[2] == "" and got[3] == ""
 
 
-def test_html(spark):
-    page = "<html><head><title>T</title></head><body><nav><a href=x>Home</a></nav><div class='cookie-notice'>We use</div><div id=promo1><span>Buy {0} now</span></div><article><h1>Title &amp; more</h1><p>One<br>two <b>three<p>Four&nbsp;{1}</p><ul><li>a<li>b</ul><div class=share>Share</div><form><p>Your mail</p></form><section class=comments><p>nice</p></section><script>var a='</p>';</script><!-- no --></article><div class=x1>Site wide words</div><footer>foot</footer></body>"
-    rows = [(i, "http://h.example/x", page.format("x", i)) for i in range(6)] + [(7, None, None), (8, "http://h.example/", "<p>plain &lt;b&gt; text<div>Site wide words</div>"), (9, "x", "<art")]
-    got = {r["page_id"]: r for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[2]["text"] == "Title & more\n\nOne two three\n\nFour 2\n\na\n\nb" and got[2]["n_chars"] == len(got[2]["text"])
-    assert got[7]["text"] == "" and got[9]["text"] == ""
-    assert got[8]["text"].split("\n\n")[0] == "plain <b> text"
-    assert html.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
-def test_template_removal(spark):
-    rows = [(i, "http://h.example/x", f"<body><div><div><i>Company news and views</i></div><div>Story number {i} is here</div></div></body>") for i in range(8)]
-    got = {r["text"] for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {f"Story number {i} is here" for i in range(8)}
 
 
 def test_language_model(rows, docs, empty):
@@ -348,16 +334,6 @@ def test_chroma_names_every_copy(spark):
     assert len(got) == 5 and all(r["error_rate"] == 0 and r["offset"] == 0 for r in got if r["class_id"] == 0)
 
 
-def test_template_of_near_copies_and_of_a_section(spark):
-    page = "<body><script>{0}</script><div><i>Company news and views</i></div>{1}<div>Story number {2} is here</div></body>"
-    rows = [(i, "http://h.example/x", page.format("a", "", i)) for i in range(8)]
-    rows += [(100 + i, "http://h.example/x", page.format(f"token {i}", "", 99)) for i in range(30)]
-    rows += [(200 + i, "http://s.example/x", page.format("a", "<div><i>Section menu</i></div>" if i < 8 else "", i)) for i in range(60)]
-    got = {r["page_id"]: r["text"] for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert {got[i] for i in range(8)} == {f"Story number {i} is here" for i in range(8)}
-    assert {got[100 + i] for i in range(30)} == {"Story number 99 is here"}
-    assert all(got[200 + i] == f"Story number {i} is here" for i in range(60))
-
 
 def test_field_reads_addresses_without_digits_or_at(spark):
     texts = ["e-mail anna(at)example.net please", "address bob[at]mail.example.org only", "see e.g. that and/or this at an address"]
