@@ -17,10 +17,12 @@ from rollkeep.llm.words import NOT_SPACE, Block, blocks, split_words
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
-# Fixed patterns; a match of the last three lies within a run of RUN bytes.
-EMAIL = re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(rb"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
-CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])+")
+# Fixed patterns; a match of the last three lies within a run of RUN bytes. A match of IP that
+# starts within a run of digits would start at the run's beginning as well.
+LOCAL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(rb"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(rb"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
+CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 
 DIGIT = np.array([0x30 <= b <= 0x39 for b in range(256)])
@@ -80,9 +82,11 @@ about 7 of 10 people
 pages 120-135 and 201
 ISBN 978-3-16-148410-0 in print
 tracking 1Z999AA10123456784 left
-thoner 1998 onthe 12 ringth
+born 1998 in the 12 districts
 """
 
+#: Words whose features are held at once, and words that are decoded together (a longer sequence alone).
+STEPS, TOGETHER = 256, 1 << 14
 CUES = set("call number phone tel tel. mobile fax ring contact mail e-mail email write address host server from card visa ip version license, serial order invoice isbn chapter page section release build".split())
 _EDGE = "([{<\"'"
 _TRAIL = ".,;:!?)]}>\"'"
@@ -98,6 +102,19 @@ def luhn(digits: bytes) -> bool:
     return total % 10 == 0
 
 
+def emails(word: bytes) -> Iterator[tuple[int, int]]:
+    """Spans of e-mail addresses, leftmost first: around each @ the longest local part after the last match, and a domain."""
+    done, at = 0, word.find(b"@")
+    while at >= 0:
+        before = word[done:at]
+        local = len(before) - len(before.rstrip(LOCAL))
+        m = DOMAIN.match(word, at + 1) if local else None
+        if m:
+            yield at - local, m.end()
+        done = m.end() if m else at + 1  # a local part holds no @
+        at = word.find(b"@", done)
+
+
 def base_spans(b: Block) -> tuple[list[list[tuple[int, int, int]]], np.ndarray]:
     """For each text (kind, start, end) in code points by the fixed patterns; and, for each byte, its code point."""
     points = np.zeros(len(b.data) + 1, dtype=np.int64)
@@ -111,8 +128,9 @@ def base_spans(b: Block) -> tuple[list[list[tuple[int, int, int]]], np.ndarray]:
     at = np.flatnonzero(b.data == 0x40)
     for w in np.unique(np.searchsorted(b.start, at, side="right") - 1) if len(at) else ():
         start = int(b.start[w])
-        for m in EMAIL.finditer(b.data[start : b.end[w]].tobytes()):
-            add(0, int(np.searchsorted(b.first, w, side="right")) - 1, start + m.start(), start + m.end())
+        text = int(np.searchsorted(b.first, w, side="right")) - 1
+        for lo, hi in emails(b.data[start : b.end[w]].tobytes()):
+            add(0, text, start + lo, start + hi)
     starts, ends, first = split_words(b.data, b.bounds, RUN)
     digits = np.zeros(len(b.data) + 1, dtype=np.int64)
     np.cumsum(DIGIT[b.data], out=digits[1:])
@@ -120,7 +138,7 @@ def base_spans(b: Block) -> tuple[list[list[tuple[int, int, int]]], np.ndarray]:
         start, text = int(starts[r]), int(np.searchsorted(first, r, side="right")) - 1
         run = b.data[start : ends[r]].tobytes()
         for m in IP.finditer(run):
-            if all(int(p) <= 255 for p in m[0].split(b".")):
+            if all(len(p) <= 3 and int(p) <= 255 for p in (x.lstrip(b"0") or b"0" for x in m[0].split(b"."))):
                 add(1, text, start + m.start(), start + m.end())
         for m in CARD.finditer(run):
             plain = m[0].replace(b" ", b"").replace(b"-", b"")
@@ -147,16 +165,21 @@ def _coarse(word: str) -> str:
     marks = "".join(sorted({c for c in word if c in "@.+-():/%,"}))
     card = "L" if 13 <= n <= 19 and luhn(digits.encode()) else ""
     parts = word.strip(_TRAIL).split(".")
-    octets = "O" if len(parts) == 4 and all(p.isdigit() and int(p) < 256 for p in parts if len(p) < 9) else ""
+    octets = "O" if len(parts) == 4 and all(p.isascii() and p.isdigit() and int(p) < 256 for p in parts if len(p) < 9) else ""
     return f"{min(n, 3) if n < 4 else 4 if n < 8 else 8 if n < 13 else 13}{'a' if any(c.isalpha() for c in word) else ''}{marks}{card}{octets}"
 
 
-def features(words: list[str]) -> list[list[str]]:
-    """The word-shape features of each word of a sequence."""
-    coarse = ["<", *(_coarse(w) for w in words), ">"]
-    plain = ["<", *(w.lower() for w in words), ">"]
+def features(words: list[str], first: int = 0, last: int | None = None) -> list[list[str]]:
+    """The word-shape features of each word of a sequence, or of some of its words."""
+    last = len(words) if last is None else min(last, len(words))
+    shown = [words[i] if 0 <= i < len(words) else "" for i in range(first - 1, last + 1)]
+    coarse, plain = [_coarse(w) for w in shown], [w.lower() for w in shown]
+    if first == 0:
+        coarse[0] = plain[0] = "<"
+    if last == len(words):
+        coarse[-1] = plain[-1] = ">"
     out = []
-    for i, w in enumerate(words, 1):
+    for i, w in enumerate(shown[1:-1], 1):
         f = ["b", "s=" + _shape(w.rstrip(_TRAIL)), "c=" + coarse[i], "p=" + coarse[i - 1], "n=" + coarse[i + 1], f"pc={coarse[i - 1]}|{coarse[i]}", f"cn={coarse[i]}|{coarse[i + 1]}"]
         if plain[i - 1] in CUES:
             f.append("q=" + plain[i - 1])
@@ -172,31 +195,37 @@ class Field:
     weight: np.ndarray
     pair: np.ndarray
 
-    def emissions(self, sequences: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
-        """Padded label scores (sequence, place, label), and the lengths."""
-        lengths = np.array([len(s) for s in sequences])
-        out = np.zeros((len(sequences), int(lengths.max(initial=0)), len(LABELS)))
+    def emissions(self, sequences: list[list[str]], first: int, last: int) -> np.ndarray:
+        """Label scores of the words first..last of each sequence (sequence, place, label), zero after its end."""
+        out = np.zeros((len(sequences), last - first, len(LABELS)))
         for i, s in enumerate(sequences):
-            for j, f in enumerate(s):
+            for j, f in enumerate(features(s, first, last) if first < len(s) else ()):
                 ids = [self.known[x] for x in f if x in self.known]
                 out[i, j] = self.weight[ids].sum(axis=0)
-        return out, lengths
-
-    def decode(self, sequences: list[list[list[str]]]) -> list[np.ndarray]:
-        """The likeliest labels of each sequence: Viterbi over all sequences at once."""
-        if not sequences:
-            return []
-        e, lengths = self.emissions(sequences)
-        best, back = e[:, 0], []
-        for t in range(1, e.shape[1]):
+        return out
+
+    def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
+        """The likeliest labels of each sequence of words: Viterbi over all sequences at once.
+
+        Features are made for STEPS words at a time; of those before only one byte for each
+        label is kept, so that a sequence may be as long as a text.
+        """
+        lengths = np.array([len(s) for s in sequences])
+        width, n = int(lengths.max(initial=0)), len(sequences)
+        best, back = np.zeros((n, len(LABELS))), []
+        for t in range(width):
+            if t % STEPS == 0:
+                e = self.emissions(sequences, t, min(t + STEPS, width))
+            if t == 0:
+                best = e[:, 0]
+                continue
             through = best[:, :, None] + self.pair
-            back.append(through.argmax(axis=1))
-            step = through.max(axis=1) + e[:, t]
-            best = np.where((t < lengths)[:, None], step, best)
+            back.append(through.argmax(axis=1).astype(np.int8))
+            best = np.where((t < lengths)[:, None], through.max(axis=1) + e[:, t % STEPS], best)
         label = best.argmax(axis=1)
-        path = np.zeros(e.shape[:2], dtype=np.int64)
-        rows = np.arange(len(e))
-        for t in range(e.shape[1] - 1, -1, -1):
+        path = np.zeros((n, width), dtype=np.int8)
+        rows = np.arange(n)
+        for t in range(width - 1, -1, -1):
             inside = t < lengths
             path[inside, t] = label[inside]
             if t:
@@ -213,10 +242,10 @@ def _words(text: str) -> list[tuple[str, int, int]]:
     return [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
 
 
-def training_table() -> list[tuple[list[str], list[int]]]:
-    """The labelled lines as words and label numbers."""
+def training_table(lines: str = TRAINING) -> list[tuple[list[str], list[int]]]:
+    """Labelled lines as words and label numbers."""
     out = []
-    for line in TRAINING.strip().split("\n"):
+    for line in lines.strip().split("\n"):
         words, labels = [], []
         for part in re.split(r"(\[(?:email|ip|card|phone):(?:[^\[\]]|\[at\])*\])", line):
             m = re.match(r"\[(\w+):(.*)\]\Z", part)
@@ -291,21 +320,17 @@ def sequences_of(b: Block, around: int = 2) -> list[tuple[int, int]]:
     return list(zip(lo[head].tolist(), hi[np.append(head[1:], len(lo)) - 1].tolist(), strict=True))
 
 
-def added_spans(b: Block, field: Field, base: list[list[tuple[int, int, int]]], points: np.ndarray, longest: int = 64, around: int = 32) -> list[list[tuple[int, int, int]]]:
-    """What the field finds besides the base spans of each text; spans that touch those are left out.
-
-    Runs longer than ``longest`` words are read in windows with ``around`` words more on
-    each side, which are read but not labelled, so that a span may cross from one to the next.
-    """
+def added_spans(b: Block, field: Field, base: list[list[tuple[int, int, int]]], points: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """What the field finds besides the base spans of each text; spans that touch those are left out. Runs of words are decoded whole."""
     runs = sequences_of(b)
-    labelled = [np.zeros(hi - lo, dtype=np.int64) for lo, hi in runs]
-    pieces = [(k, i, min(i + longest, hi), max(i - around, lo), min(i + longest + around, hi)) for k, (lo, hi) in enumerate(runs) for i in range(lo, hi, longest)]
-    pieces.sort(key=lambda p: p[4] - p[3])
-    for i in range(0, len(pieces), 1024):
-        some = pieces[i : i + 1024]
-        words = [features([_word(b, w) for w in range(lo, hi)]) for *_, lo, hi in some]
-        for (k, first, last, lo, _), labels in zip(some, field.decode(words), strict=True):
-            labelled[k][first - runs[k][0] : last - runs[k][0]] = labels[first - lo : last - lo]
+    labelled: list[np.ndarray] = [np.zeros(0)] * len(runs)
+    some: list[int] = []
+    for k in [*sorted(range(len(runs)), key=lambda k: runs[k][1] - runs[k][0]), None]:
+        if some and (k is None or (len(some) + 1) * (runs[k][1] - runs[k][0]) > TOGETHER):
+            for i, labels in zip(some, field.decode([[_word(b, w) for w in range(*runs[i])] for i in some]), strict=True):
+                labelled[i] = labels
+            some = []
+        some.append(k)
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(b.n)]
     for (lo, _), labels in zip(runs, labelled, strict=True):
         j = 0
