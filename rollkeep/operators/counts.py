@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rollkeep.operators.prefix import RANK, prefix_sums
+from rollkeep.sources.scratch import materialize
+
 
 def by_status(rows: DataFrame, batch: str, status: str, size: str) -> DataFrame:
     """Rows and bytes of each batch and status."""
@@ -25,8 +27,14 @@ def review_counts(entries: DataFrame) -> DataFrame:
 
 
 def serials(rows: DataFrame, batch: str, order: list[str]) -> DataFrame:
-    """``rows`` with the serial number of each row in its batch, from 1, before any filter."""
-    return rows.withColumn("serial", F.row_number().over(W.partitionBy(batch).orderBy(*order)).cast("long"))
+    """``rows`` with the serial number of each row in its batch, from 1, before any filter.
+
+    Rows are ranked over all batches by ranges, and the rank of a batch's first row is
+    taken off, so that a batch of any size is spread over tasks.
+    """
+    ranked = materialize(prefix_sums(rows, [F.col(c) for c in (batch, *order)], {})[0])
+    firsts = ranked.groupBy(F.col(batch).alias("_batch")).agg(F.min(RANK).alias("_first"))
+    return ranked.join(firsts, F.col(batch).eqNullSafe(F.col("_batch"))).withColumn("serial", F.col(RANK) - F.col("_first") + 1).drop(RANK, "_batch", "_first")
 
 
 def progress(rows: DataFrame, batch: str, done: str) -> DataFrame:

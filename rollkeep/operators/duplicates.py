@@ -8,39 +8,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: How many candidates an entry has at most: the oldest of each kind, then the best of both kinds.
 MOST = 20
 
 
-def union_of_keys(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], left_id: str, right_id: str) -> DataFrame:
-    """The id pairs of ``left`` and ``right`` that agree on any of several key pairs.
+def _oldest(rows: DataFrame, key: list[str], most: int) -> DataFrame:
+    """The ``most`` oldest rows of each key. Spark keeps no more of them in a task before the shuffle either."""
+    rank = F.row_number().over(W.partitionBy(*key).orderBy("created_at", "id"))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
+def _first_candidates(pairs: DataFrame) -> DataFrame:
+    """(a_id, b_id): the ``MOST`` oldest candidates of each entry."""
+    place = F.row_number().over(W.partitionBy("a_id").orderBy("b_created", "b_id"))
+    return pairs.distinct().withColumn("_place", place).where(F.col("_place") <= MOST).select("a_id", "b_id")
+
+
+def union_of_keys(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(a_id, b_id, b_created): entries of one workspace that agree on any of several key pairs, the oldest by key.
 
     A join on an OR of equalities can't be hashed; a union of one equi-join for each key
-    pair can, and gives the same pairs once duplicates are gone.
+    pair can. Of each key the oldest ``MOST`` and one more (the entry itself) are joined,
+    so that a number that many share doesn't make all its pairs.
     """
-    found = [
-        left.where(F.col(a) != "").select(F.col(left_id).alias("a_id"), F.col(a).alias("k")).join(right.where(F.col(b) != "").select(F.col(right_id).alias("b_id"), F.col(b).alias("k")), "k").select("a_id", "b_id")
-        for a, b in pairs
-    ]
-    return reduce(DataFrame.unionByName, found).where("a_id <> b_id").distinct()
+    found = []
+    for a, b in pairs:
+        old = _oldest(right.where(F.col(b) != ""), ["workspace_id", b], MOST + 1).select("workspace_id", F.col("id").alias("b_id"), F.col(b).alias("k"), F.col("created_at").alias("b_created"))
+        found.append(left.where(F.col(a) != "").select("workspace_id", F.col("id").alias("a_id"), F.col(a).alias("k")).join(old, ["workspace_id", "k"]).select("a_id", "b_id", "b_created"))
+    return reduce(DataFrame.unionByName, found).where("a_id <> b_id")
 
 
 def same_number(keyed: DataFrame) -> DataFrame:
-    """(a_id, b_id): entry b isn't void and shares a number with a, in either place."""
-    return union_of_keys(keyed, keyed.where("status <> 'VOID'"), [("number_key", "number_key"), ("registration_key", "registration_key"), ("number_key", "registration_key")], "id", "id")
+    """(a_id, b_id): entry b isn't void, is in a's workspace, and has a's number or registration number, or a's registration number as its number."""
+    return _first_candidates(union_of_keys(keyed, keyed.where("status <> 'VOID'"), [("number_key", "number_key"), ("registration_key", "registration_key"), ("registration_key", "number_key")]))
 
 
 def same_person(keyed: DataFrame) -> DataFrame:
-    """(a_id, b_id): entry b isn't void and has the type, name and event date of a, but another number."""
-    a = keyed.select(F.col("id").alias("a_id"), "type_id", "name_key", "event_date", F.col("number_key").alias("a_number"))
-    b = keyed.where("status <> 'VOID'").select(F.col("id").alias("b_id"), "type_id", "name_key", "event_date", F.col("number_key").alias("b_number"))
-    return a.join(b, ["type_id", "name_key", "event_date"]).where("a_id <> b_id and a_number <> b_number").select("a_id", "b_id")
+    """(a_id, b_id): entry b isn't void and has the workspace, type, name and event date of a, but another number. Blank names match nothing.
+
+    Of one number no more than ``MOST`` entries can be candidates, and an entry passes over
+    those of one number only: twice ``MOST`` of each person are enough.
+    """
+    person = ["workspace_id", "type_id", "name_key", "event_date"]
+    named = keyed.where("name_key <> '' and event_date is not null")
+    old = _oldest(_oldest(named.where("status <> 'VOID'"), [*person, "number_key"], MOST), person, 2 * MOST)
+    b = old.select(*person, F.col("id").alias("b_id"), F.col("number_key").alias("b_number"), F.col("created_at").alias("b_created"))
+    a = named.select(*person, F.col("id").alias("a_id"), F.col("number_key").alias("a_number"))
+    return _first_candidates(a.join(b, person).where("a_id <> b_id and a_number <> b_number").select("a_id", "b_id", "b_created"))
 
 
 def classified(keyed: DataFrame) -> DataFrame:
     """(a_id, b_id, reason, strong, place): the candidates of each entry, the first ``MOST`` in order.
 
     A shared number within one type is strong; a shared number of another type and a
-    shared name and date aren't. Strong ones come first, then the same type, then the oldest.
+    shared name and date aren't. Strong ones come first, then the same type, then those
+    by number, then the oldest.
     """
     types = keyed.select("id", "type_id", "created_at")
     numbers = same_number(keyed).withColumn("by_number", F.lit(True))
@@ -50,7 +72,7 @@ def classified(keyed: DataFrame) -> DataFrame:
     same = F.col("a_type") == F.col("b_type")
     reason = F.when(F.col("by_number") & same, "same_number").when(F.col("by_number"), "same_number_other_type").otherwise("same_name_and_event_date")
     ranked = typed.withColumns({"reason": reason, "strong": F.col("by_number") & same})
-    place = F.row_number().over(W.partitionBy("a_id").orderBy(F.desc("strong"), F.desc(same.cast("int")), "b_created", "b_id"))
+    place = F.row_number().over(W.partitionBy("a_id").orderBy(F.desc("strong"), F.desc(same.cast("int")), F.desc(F.col("by_number").cast("int")), "b_created", "b_id"))
     return ranked.withColumn("place", place).where(F.col("place") <= MOST).select("a_id", "b_id", "reason", "strong", "place")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rollkeep.functions.text import bound
 
 # Titles of certificates and labels of their numbers.
-HEADINGS = ("(?i)\\bcertificate\\s+of\\s+(birth|death|marriage)\\b", "(?i)\\b(birth|death|marriage|nikah)\\s+certificate\\b", "(?i)\\bnikah\\s*nama\\b", "سرٹیفکیٹ", "نکاح نامہ|نکاحنامہ")
+HEADINGS = ("(?i)\\bcertificate\\s+of\\s+(birth|death|marriage)\\b", "(?i)\\b(birth|death|marriage|nikah)\\s+certificate\\b", "(?i)\\bnikah\\s*nama\\b", "(?i)\\bcertificate\\s+of\\s+registration\\s+of\\s+(birth|death|marriage)\\b", "سرٹیفکیٹ", "نکاح نامہ|نکاحنامہ")
 NUMBERS = ("(?i)(?:certificate|registration|serial|reg)\\.?\\s*(?:no|number|#)\\.?\\s*[:\\-]?\\s*([A-Za-z0-9][A-Za-z0-9/\\-]{3,})", "(?:سرٹیفکیٹ|رجسٹریشن)\\s*نمبر\\s*[:\\-]?\\s*([A-Za-z0-9][A-Za-z0-9/\\-]{3,})")
 KEYWORDS = {
     "BIRTH": {"certificate of birth": 3.0, "birth certificate": 3.0, "registration of birth": 3.0, "name of child": 2.0, "child's name": 2.0, "place of birth": 2.0, "time of birth": 2.0, "date of birth": 1.0, "father's name": 1.0, "mother's name": 1.0, "پیدائش کا سرٹیفکیٹ": 3.0, "برتھ سرٹیفکیٹ": 3.0, "بچے کا نام": 2.0, "جائے پیدائش": 2.0, "تاریخ پیدائش": 1.0, "والد کا نام": 1.0, "والدہ کا نام": 1.0},

@@ -225,15 +225,16 @@ QUERIES = {
 
 E = view(ENTRIES)
 N = view(NAMES)
-SAME_NUMBER = f"""SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM k a JOIN k b ON a.id <> b.id AND b.status <> 'VOID'
-  AND ((a.number_key = b.number_key AND a.number_key <> '') OR (a.registration_key = b.registration_key AND a.registration_key <> '') OR (a.number_key = b.registration_key AND a.number_key <> ''))"""
-SAME_PERSON = """SELECT a.id AS a_id, b.id AS b_id FROM k a JOIN k b USING (type_id, name_key, event_date)
-  WHERE a.id <> b.id AND a.number_key <> b.number_key AND b.status <> 'VOID'"""
+_OLDEST = "QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.created_at, b.id) <= 20"
+SAME_NUMBER = f"""SELECT a.id AS a_id, b.id AS b_id FROM k a JOIN k b ON a.workspace_id = b.workspace_id AND a.id <> b.id AND b.status <> 'VOID'
+  AND (b.number_key = a.number_key AND a.number_key <> '' OR a.registration_key <> '' AND (b.registration_key = a.registration_key OR b.number_key = a.registration_key)) {_OLDEST}"""
+SAME_PERSON = f"""SELECT a.id AS a_id, b.id AS b_id FROM k a JOIN k b ON a.workspace_id = b.workspace_id AND a.type_id = b.type_id AND a.name_key = b.name_key AND a.event_date = b.event_date
+  WHERE a.id <> b.id AND a.name_key <> '' AND a.number_key <> b.number_key AND b.status <> 'VOID' {_OLDEST}"""
 CLASSIFIED = f"""k AS MATERIALIZED (SELECT * FROM {KEYED} z), num AS ({SAME_NUMBER}), per AS ({SAME_PERSON}),
 c AS (SELECT a_id, b_id, true AS by_number FROM num UNION ALL SELECT a_id, b_id, false FROM per WHERE (a_id, b_id) NOT IN (SELECT (a_id, b_id) FROM num)),
 t AS (SELECT c.*, a.type_id = b.type_id AS same_type, a.created_at AS a_created, b.created_at AS b_created FROM c JOIN k a ON a.id = a_id JOIN k b ON b.id = b_id),
 ranked AS (SELECT a_id, b_id, a_created, b_created, CASE WHEN by_number AND same_type THEN 'same_number' WHEN by_number THEN 'same_number_other_type' ELSE 'same_name_and_event_date' END AS reason,
-  by_number AND same_type AS strong, row_number() OVER (PARTITION BY a_id ORDER BY (by_number AND same_type) DESC, same_type DESC, b_created, b_id) AS place FROM t)"""
+  by_number AND same_type AS strong, row_number() OVER (PARTITION BY a_id ORDER BY (by_number AND same_type) DESC, same_type DESC, by_number DESC, b_created, b_id) AS place FROM t)"""
 
 SQL = {
     "search_number_exact": _search_sql("c 10 / 1995"),
