@@ -1,36 +1,12 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Bounds of Arrow batches, and names for columns added to a caller's table."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from rollkeep.sources.scratch import materialize
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext.getCheckpointDir()
-        if held is None:
-            held = "file://" + tempfile.mkdtemp(prefix="rollkeep-")
-            spark.sparkContext.setCheckpointDir(held)
-        base = held
-    return f"{base.rstrip('/')}/rollkeep-{spark.sparkContext.applicationId}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and read it back: the lineage ends here and survives lost executors.
-
-    Unlike ``checkpoint()`` the copy is columnar and compressed, its size is known to the
-    planner, and later readers take only the columns they need.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+__all__ = ["fresh", "lean_batches", "materialize"]
 
 #: Rows and bytes of an Arrow batch: whole texts can be long, and a worker holds a few copies of a batch.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20

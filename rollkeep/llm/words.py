@@ -76,14 +76,18 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * inverse[start])
 
 
-def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each ``width`` consecutive values (len(a) - width + 1 of them)."""
-    done, out = 1, a
+def sliding_argmin(a: np.ndarray, width: int) -> np.ndarray:
+    """Place of the leftmost smallest of each ``width`` consecutive values (len(a) - width + 1 of them)."""
+
+    def joined(step: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
+        left, right = least[:upto], least[step : step + upto]
+        return np.minimum(left, right), np.where(right < left, at[step : step + upto], at[:upto])
+
+    done, least, at = 1, a, np.arange(len(a), dtype=np.int32)
     while done * 2 <= width:
-        out = np.minimum(out[:-done], out[done:])
+        least, at = joined(done, len(at) - done)
         done *= 2
-    rest = width - done
-    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
+    return joined(width - done, len(at) - (width - done))[1] if width > done else at
 
 
 @dataclass
@@ -167,7 +171,6 @@ def anchors(hashes: np.ndarray, text: np.ndarray, k: int, span: int) -> tuple[np
         return none, none, np.zeros(0, dtype=_U)
     at = np.arange(len(hashes) - k + 1)
     grams = span_hash(prefix_hash(hashes), at, at + k)
-    low = _U((1 << int(len(grams)).bit_length()) - 1)
-    chosen = (sliding_min((grams & ~low) | at.astype(_U), span - k + 1) & low).astype(np.int64)
+    chosen = sliding_argmin(grams, span - k + 1).astype(np.int64)
     windows = np.flatnonzero(text[: len(text) - span + 1] == text[span - 1 :])
     return windows, chosen[windows], grams

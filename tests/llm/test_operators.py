@@ -13,6 +13,7 @@ import pytest
 import xxhash
 
 from rollkeep.llm import chroma, lm, toxicity
+from rollkeep.llm import words as words_of
 from rollkeep.llm.decontaminate import decontaminate
 from rollkeep.llm.mixing import mix_sources
 from rollkeep.llm.sharding import shard_by_bytes
@@ -51,6 +52,13 @@ def empty(spark):
     return spark.createDataFrame([], FORM)
 
 
+def test_winnowing_takes_the_leftmost_smallest():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 4, 300).astype(np.uint64)
+    for width in (1, 2, 3, 7, 16, 35):
+        assert words_of.sliding_argmin(a, width).tolist() == [i + int(np.argmin(a[i : i + width])) for i in range(len(a) - width + 1)]
+
+
 def test_sharding(rows, docs, empty):
     got = shard_by_bytes(docs, 4).collect()
     assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sorted((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
