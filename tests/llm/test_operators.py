@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from rollkeep.llm import chroma, lm, toxicity
+from rollkeep.llm import chroma, toxicity
 from rollkeep.llm import words as words_of
 from rollkeep.llm.decontaminate import decontaminate
 from rollkeep.llm.mixing import mix_sources
@@ -247,41 +247,8 @@ def test_machine_learns_pairs():
 
 
 
-def test_language_model(rows, docs, empty):
-    got = lm.score_texts(docs).collect()
-    count, toks = Counter(), {}
-    for r in rows:
-        t = words(low(r[1])) + ["\0"]
-        toks[r[0], len(t)] = t
-        if zlib.crc32(str(r[0]).encode()) % 5 != 1:
-            count.update(t)
-    n, v = sum(count.values()), len(count)
-    for r in got:
-        t = toks[r["doc_id"], r["n_tokens"]]
-        assert r["train_tokens"] == n and r["n_known"] == sum(count[w] > 0 for w in t)
-        assert math.isclose(r["base_score"], sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel_tol=1e-9)
-        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1) and r["score"] < 0
-    assert lm.score_texts(empty).count() == 0
-
-
-def test_language_model_beats_the_base_on_held_out_prose(spark):
-    held = lm.score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
-    assert len(held) > 150 and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-
-
-def test_language_model_uses_all_counts_however_few_are_handed_out(docs, monkeypatch):
-    whole = {(r["doc_id"], r["n_tokens"]): r for r in lm.score_texts(docs).collect()}
-    monkeypatch.setattr(lm, "FREQUENT", 64)
-    for r in lm.score_texts(docs).collect():
-        w = whole[r["doc_id"], r["n_tokens"]]
-        assert r["n_known"] == w["n_known"]
-        assert math.isclose(r["base_score"], w["base_score"], rel_tol=1e-9) and math.isclose(r["score"], w["score"], rel_tol=1e-9)
 
 
-def test_code_is_a_prefix_code():
-    codes = {format(b, f"0{n}b") for b, n in zip(lm.CODE, lm.CODE_LENGTH, strict=True)}
-    assert len(codes) == 256 and not any(a != b and b.startswith(a) for a in codes for b in codes)
-    assert sum(2.0**-n for n in lm.CODE_LENGTH.tolist()) <= 1
 
 
 def test_chroma(spark):
