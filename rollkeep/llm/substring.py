@@ -6,6 +6,11 @@ vertex form a run. A vertex is nonbranching if the run around it reads the same
 wherever the vertex occurs: all its windows then occur in just the same documents, and the
 run compacts to one row before anything is shuffled. Only vertices that branch, at the
 ends of a repeated span, are taken apart into their windows.
+
+Hashes of 64 bits only propose what may be repeated. Then each proposed span is read again
+at its coordinates in its source, and spans are the same only if a 128-bit cryptographic
+digest of their words agrees; runs that hashes held for the same but that differ are taken
+apart as well.
 """
 
 from __future__ import annotations
@@ -45,26 +50,41 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text_key, node, edge, start): the windows of each branching run, one by one."""
+def canonical(b) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a block, one space after each, and the place of each word there."""
+    length = b.end - b.start
+    at = np.cumsum(length + 1) - length - 1
+    out = np.full(int((length + 1).sum()), 0x20, dtype=np.uint8)
+    within = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    out[np.repeat(at, length) + within] = b.data[np.repeat(b.start, length) + within]
+    return out, at
+
+
+def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_key, node, whole, words, start, end): the digest of the words of each run; of a branching run, of each of its windows."""
     for batch in batches:
         lists = batch.column("runs")
         counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
         flat = lists.flatten()
-        node, lo, hi = (flat.field(c).to_numpy() for c in ("node", "lo", "hi"))
+        node, lo, hi, branching = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "lo", "hi", "branching"))
         ends = np.concatenate([[0], np.cumsum(counts)])
         for b in blocks(batch.column("text"), NOT_SPACE):
             part = slice(ends[b.offset], ends[b.offset + b.n])
-            width = (hi[part] - lo[part] + 1).astype(np.int64)
+            apart = branching[part].astype(bool)
+            width = np.where(apart, hi[part] - lo[part] + 1, 1).astype(np.int64)
             t = np.repeat(np.arange(b.n), counts[b.offset : b.offset + b.n])
             run = np.repeat(np.arange(len(width)), width)
             start = lo[part][run] + np.arange(len(run)) - np.repeat(np.cumsum(width) - width, width)
-            word = b.first[t[run]] + start
-            edge = span_hash(prefix_hash(b.hashes(lower=False)), word, word + WINDOW)
+            end = np.where(apart[run], start + WINDOW, hi[part][run] + WINDOW)
+            words, at = canonical(b)
+            view, first = memoryview(words), b.first[t[run]]
+            spans = zip(at[first + start].tolist(), np.append(at, len(words))[first + end].tolist(), strict=True)
+            found = b"".join(hashlib.blake2b(view[i:j], digest_size=16).digest() for i, j in spans)
             rows = pa.array(b.offset + t[run])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(node[part][run]), pa.array(edge.view(np.int64)), pa.array(start.astype(np.int32))],
-                names=["doc_id", "text_key", "node", "edge", "start"],
+                [batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(node[part][run]), pa.array(~apart[run])]
+                + [pa.Array.from_buffers(pa.binary(16), len(run), [None, pa.py_buffer(found)]).cast(pa.binary()), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))],
+                names=["doc_id", "text_key", "node", "whole", "words", "start", "end"],
             )
 
 
@@ -113,6 +133,14 @@ def _same_doc(a: DataFrame, b: DataFrame) -> Column:
     return (a["text_key"] == b["text_key"]) & a["doc_id"].eqNullSafe(b["doc_id"])
 
 
+def _read_again(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """The digests of the words of ``hits``, runs of documents."""
+    listed = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("node", "lo", "hi", "branching")).alias("runs"))
+    around = docs.join(listed, _same_doc(docs, listed)).select(docs["doc_id"], docs["text_key"], "text", "runs")
+    form = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, node long, whole boolean, words binary, start int, end int"
+    return materialize(around.mapInArrow(digests, form))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, spans): the words to remove from each document, as spans of word numbers.
 
@@ -121,25 +149,25 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     least, most = F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
     unnamed = F.max(F.col("doc_id").isNull()).alias("unnamed")
+    elsewhere = (F.col("least") < F.col("most")) | (F.col("least").isNotNull() & F.col("unnamed"))
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    form = f"doc_id {doc_type}, text_key long"
 
-    found = materialize(docs.select("doc_id", "text_key", "text").mapInArrow(runs, f"{form}, node long, path long, lo int, hi int"))
+    found = materialize(docs.select("doc_id", "text_key", "text").mapInArrow(runs, f"doc_id {doc_type}, text_key long, node long, path long, lo int, hi int"))
     nodes = found.groupBy("node").agg(least, most, unnamed, (F.min("path") != F.max("path")).alias("branching"))
     # Rows of one vertex meet only as minimum and maximum, so a vertex in a third of all rows is no burden.
-    repeated = nodes.where((F.col("least") < F.col("most")) | (F.col("least").isNotNull() & F.col("unnamed")))
     # Written first: a join of two plain exchanges can split a vertex that many rows share.
-    repeated = materialize(repeated.select("node", "least", "branching"))
-    hits = materialize(found.join(repeated, "node"))
+    repeated = materialize(nodes.where(elsewhere).select("node", "branching"))
+    hits = materialize(found.join(repeated, "node").drop("path"))
+    read = _read_again(docs, hits)
+    # Runs of a vertex that hashes took for the same although their words differ.
+    false = materialize(read.where("whole").groupBy("node").agg((F.min("words") != F.max("words")).alias("differ")).where("differ").select("node"))
+    if not false.isEmpty():
+        again = _read_again(docs, hits.join(false, "node", "left_semi").withColumn("branching", F.lit(True)))
+        read = read.join(false, "node", "left_anti").unionByName(again)
+    first = materialize(read.groupBy("words").agg(least, most, unnamed).where(elsewhere).select("words", "least"))
     later = F.col("doc_id").isNull() | (F.col("least") < F.col("doc_id"))
-    paths = hits.where(~F.col("branching") & later).select("doc_id", "text_key", F.col("lo").alias("start"), (F.col("hi") + WINDOW).alias("end"))
-
-    apart = hits.where("branching").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("node", "lo", "hi")).alias("runs"))
-    around = docs.join(apart, _same_doc(docs, apart)).select(docs["doc_id"], docs["text_key"], "text", "runs")
-    edges = materialize(around.mapInArrow(window_hashes, f"{form}, node long, edge long, start int"))
-    first = edges.groupBy("node", "edge").agg(least, most, unnamed).where((F.col("least") < F.col("most")) | (F.col("least").isNotNull() & F.col("unnamed")))
-    ends = edges.join(materialize(first.select("node", "edge", "least")), ["node", "edge"]).where(later).select("doc_id", "text_key", "start", (F.col("start") + WINDOW).alias("end"))
-    return paths.unionByName(ends).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = read.join(first, "words").where(later)
+    return spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
