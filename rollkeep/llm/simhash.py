@@ -114,15 +114,17 @@ def links(marks: DataFrame) -> DataFrame:
     edges = found.select(F.col("probe").alias("a"), F.col("fp").alias("b"))
     if hot.isEmpty():
         return edges
-    # Each side is cut into blocks; every block of one side meets every block of the other.
-    n_blocks = F.ceil(F.col("n") / BLOCK)
-    salt = F.pmod(F.xxhash64("fp"), n_blocks)
-    met = F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1))
+    # Each side is cut into blocks by its own count; every block of one side meets every block of the other.
+    probed = probe.withColumnRenamed("probe", "fp").join(hot.select("key"), "key")
+    hot = materialize(hot.join(probed.groupBy("key").agg(F.count("*").alias("m")), "key"))
+    n_index, n_probe = (F.ceil(F.col(c) / BLOCK) for c in ("n", "m"))
+    block = lambda n: F.pmod(F.xxhash64("fp"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     sides = [
-        index.join(hot, "key").select("key", "fp", F.lit(1).alias("side"), met.alias("i"), "n").withColumn("j", F.pmod(F.xxhash64("fp"), n_blocks)),
-        probe.withColumnRenamed("probe", "fp").join(hot, "key").select("key", "fp", F.lit(0).alias("side"), salt.alias("i"), "n", met.alias("j")),
+        index.join(hot, "key").select("key", "fp", F.lit(1).alias("side"), every(n_probe).alias("i"), block(n_index).alias("j")),
+        probed.join(hot, "key").select("key", "fp", F.lit(0).alias("side"), block(n_probe).alias("i"), every(n_index).alias("j")),
     ]
-    rows = sides[0].unionByName(sides[1]).select("key", "fp", "side", "i", "j")
+    rows = sides[0].unionByName(sides[1])
     return edges.unionByName(rows.groupBy("key", "i", "j").applyInPandas(_block_links, "a long, b long"))
 
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -132,7 +133,7 @@ def test_decontamination(spark, rows, docs, empty):
     assert not any(r["contaminated"] for r in decontaminate(docs.limit(20), spark.createDataFrame([], "item_id long, text string")).collect())
 
 
-def test_substring(rows, docs, empty):
+def check_repeats(rows, docs):
     got = {(r["doc_id"], r["n_words"]): r for r in remove_repeats(docs).collect()}
     first: dict = {}
     for r in sorted(rows, key=lambda r: r[0]):
@@ -145,9 +146,30 @@ def test_substring(rows, docs, empty):
         g = got[r[0], len(w)]
         assert (g["n_removed"], g["kept_sha256"]) == (sum(cover), hashlib.sha256(kept.encode()).hexdigest())
     assert got[9007, len(words(rows[0][1]))]["n_removed"] > 0
+
+
+def test_substring(rows, docs, empty):
+    check_repeats(rows, docs)
     assert remove_repeats(empty).count() == 0
 
 
+def test_substring_with_colliding_hashes(spark, rows, monkeypatch):
+    """Hashes of 5 bits: different spans look the same, and only their words tell them apart."""
+    from rollkeep.llm import substring
+
+    few = [r for r in rows if len(words(r[1])) < 400][:60] + [r for r in rows if r[0] in (9005, 9007)] + [rows[0]]
+
+    def weak(of, at):
+        def run(batches):
+            for batch in of(batches):
+                yield batch.set_column(at, batch.schema.names[at], pa.array(np.asarray(batch.column(at)) & 31))
+
+        return run
+
+    monkeypatch.setattr(substring, "runs", weak(weak(substring.runs, 2), 3))
+    check_repeats(few, spark.createDataFrame(few, FORM))
+
+
 def _mark(t):
     w = words(low(t))
     if not w:
@@ -206,6 +228,29 @@ def test_simhash_dense_groups(spark, monkeypatch):
         assert [got[m] for m in marks] == want
 
 
+def test_simhash_blocks_are_bounded_on_both_sides(spark, monkeypatch):
+    """65 fingerprints share a key that thousands of others probe: no block holds more than its bound allows."""
+    from rollkeep.llm import simhash
+
+    base = 0x123456789ABCDEF0
+    index = [base & ~0xFFFFFFFF | i * 0x10003 for i in range(65)]
+    others = [(base ^ (1 << 32 + i % 16)) & ~0xFFFFFFFF | (i * 40503 & 0xFFFFFFFF) for i in range(1, 4000)]
+    marks = sorted(set(index + others))
+    plain = simhash._block_links
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    df = spark.createDataFrame([(m,) for m in marks], "fp long")
+    sizes = spark.sparkContext.accumulator(0)
+
+    def watched(pdf):
+        if len(pdf) > 64 * 8:
+            sizes.add(1)
+        return plain(pdf)
+
+    monkeypatch.setattr(simhash, "_block_links", watched)
+    got = {r["fp"]: r["root"] for r in simhash.roots(df).collect()}
+    assert [got[m] for m in marks] == _components(marks, marks) and sizes.value == 0
+
+
 def test_toxicity(spark, docs, empty):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
