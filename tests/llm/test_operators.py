@@ -219,15 +219,33 @@ def test_simhash_dense_groups(spark, monkeypatch):
                 at ^= 1 << int(rng.integers(0, 63))
             marks.add(at)
     marks = sorted(marks)
-    df = spark.createDataFrame([(m,) for m in marks], "fp long")
+    df = spark.createDataFrame([(m, [m]) for m in marks], "node long, marks array<long>")
     want = _components(marks, marks)
     for hot, block in ((64, 256), (2, 3)):
         monkeypatch.setattr(simhash, "HOT", hot)
         monkeypatch.setattr(simhash, "BLOCK", block)
-        got = {r["fp"]: r["root"] for r in simhash.roots(df).collect()}
+        got = {r["node"]: r["root"] for r in simhash.roots(df).collect()}
         assert [got[m] for m in marks] == want
 
 
+def test_similar_marks_against_plain_counting(rows):
+    """Each bit of each fingerprint is what most shingles say."""
+    from rollkeep.llm import simhash
+    from rollkeep.llm.words import NOT_SPACE, blocks, mix, prefix_hash, span_hash
+
+    texts = [r[1] for r in rows[:40]] + [None, "", "One", "one", "a b c d e"]
+    got = simhash.similar_marks(pa.array(texts, pa.large_string()), 5, 3)
+    for i, t in enumerate(texts):
+        (b,) = blocks(pa.array([t], pa.string()), NOT_SPACE, 1 << 30)
+        h, n = b.hashes(lower=True), len(b.start)
+        spans = [(j, min(j + 5, n)) for j in range(max(1, n - 4))] if n else []
+        grams = [int(span_hash(prefix_hash(h), np.array([x]), np.array([y]))[0]) for x, y in spans]
+        for k in range(3):
+            each = [int(mix(np.array([g], dtype=np.uint64) + np.uint64(k))[0]) for g in grams]
+            assert got[i, k] == sum(1 << bit for bit in range(64) if 2 * sum(x >> bit & 1 for x in each) > len(each))
+    assert (got[-3] == got[-2]).all() and not got[40:42].any()
+
+
 def test_simhash_blocks_are_bounded_on_both_sides(spark, monkeypatch):
     """65 fingerprints share a key that thousands of others probe: no block holds more than its bound allows."""
     from rollkeep.llm import simhash
@@ -236,9 +254,9 @@ def test_simhash_blocks_are_bounded_on_both_sides(spark, monkeypatch):
     index = [base & ~0xFFFFFFFF | i * 0x10003 for i in range(65)]
     others = [(base ^ (1 << 32 + i % 16)) & ~0xFFFFFFFF | (i * 40503 & 0xFFFFFFFF) for i in range(1, 4000)]
     marks = sorted(set(index + others))
-    plain = simhash._block_links
+    plain = simhash._block_links(simhash.DISTANCE)
     monkeypatch.setattr(simhash, "BLOCK", 64)
-    df = spark.createDataFrame([(m,) for m in marks], "fp long")
+    df = spark.createDataFrame([(m, [m]) for m in marks], "node long, marks array<long>")
     sizes = spark.sparkContext.accumulator(0)
 
     def watched(pdf):
@@ -246,8 +264,8 @@ def test_simhash_blocks_are_bounded_on_both_sides(spark, monkeypatch):
             sizes.add(1)
         return plain(pdf)
 
-    monkeypatch.setattr(simhash, "_block_links", watched)
-    got = {r["fp"]: r["root"] for r in simhash.roots(df).collect()}
+    monkeypatch.setattr(simhash, "_block_links", lambda distance: watched)
+    got = {r["node"]: r["root"] for r in simhash.roots(df).collect()}
     assert [got[m] for m in marks] == _components(marks, marks) and sizes.value == 0
 
 
