@@ -20,6 +20,9 @@ STEMS = (4, 5, 6, 7, 8, 9)
 SAMPLE, TERMS = 8000, 1024
 #: The least log-likelihood ratio (G squared) of a term against the label, so that chance finds among many terms stay out.
 TELLING = 20.0
+#: Terms that may tell only beside another: those in at least so many texts, counted beside the most telling and the most
+#: frequent anchors. The ratio must be higher, as there are more pairs for chance to find.
+LEAST_TEXTS, ANCHORS, TELLING_PAIR = 10, (64, 16), 30.0
 RANK = 4
 THRESHOLD = 0.7
 
@@ -48,6 +51,33 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (term.view(np.int64), np.bincount(at[toxic], minlength=len(term)), np.bincount(at[~toxic], minlength=len(term)))], names=["term", "toxic", "clean"])
 
 
+def count_pairs(anchors: np.ndarray, frequent: np.ndarray):
+    """Arrow function: (anchor, term, toxic, clean): in how many toxic and clean texts an anchor and a frequent term stand together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label = batch.column("toxic").to_numpy()
+            for b in blocks(batch.column("text"), ALNUM):
+                t, h = terms(b)
+                at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+                held = np.unique(t[frequent[at] == h] * len(frequent) + at[frequent[at] == h])
+                text, term = held // len(frequent), held % len(frequent)
+                found, out = np.searchsorted(anchors, frequent[term]), []
+                is_anchor = anchors[np.minimum(found, len(anchors) - 1)] == frequent[term]
+                first = np.searchsorted(text, np.arange(b.n + 1))
+                for i in range(b.n):
+                    mine = slice(first[i], first[i + 1])
+                    beside = found[mine][is_anchor[mine]]
+                    out.append(((beside[:, None] * len(frequent) + term[mine][None, :]) * 2 + int(label[b.offset + i] == 1)).reshape(-1))
+                pairs, n = np.unique(np.concatenate(out), return_counts=True)
+                pair, toxic = pairs // 2, pairs % 2 == 1
+                which, back = np.unique(pair, return_inverse=True)
+                sums = [np.bincount(back, np.where(x, n, 0), minlength=len(which)).astype(np.int64) for x in (toxic, ~toxic)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ((which // len(frequent)).astype(np.int32), frequent[which % len(frequent)].view(np.int64), *sums)], names=["anchor", "term", "toxic", "clean"])
+
+    return run
+
+
 def active(known: np.ndarray, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, place in the sorted ``known``, value) of the distinct known terms of each text.
 
@@ -133,31 +163,57 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame
     known = known_labels(labels)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.where("toxic = 1").orderBy(*order).limit(bound // 2).unionByName(known.where("toxic = 0").orderBy(*order).limit(bound // 2))
-    # At most ``bound`` ids are broadcast.
-    return docs.join(F.broadcast(some), "doc_id").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "toxic")
+    # At most ``bound`` ids are broadcast; an id that stands on many rows gives one of them.
+    held = docs.join(F.broadcast(some), "doc_id").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "toxic")
+    return held.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).select("text", "toxic")
 
 
-def _g2(toxic: Column, clean: Column, n1: int, n0: int) -> Column:
-    """The log-likelihood ratio of a term's presence and the label."""
+def _g2(toxic: Column, clean: Column, n1: int | Column, n0: int | Column) -> Column:
+    """The log-likelihood ratio of a term's presence and the label among n1 toxic and n0 clean texts."""
+    n1, n0 = (x if isinstance(x, Column) else F.lit(x) for x in (n1, n0))
     xlogx = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
     cells = xlogx(toxic) + xlogx(clean) + xlogx(n1 - toxic) + xlogx(n0 - clean)
-    return 2 * (cells + xlogx(F.lit(float(n1 + n0))) - xlogx(toxic + clean) - xlogx(n1 + n0 - toxic - clean) - xlogx(F.lit(float(n1))) - xlogx(F.lit(float(n0))))
+    return 2 * (cells + xlogx(n1 + n0) - xlogx(toxic + clean) - xlogx(n1 + n0 - toxic - clean) - xlogx(n1) - xlogx(n0))
+
+
+def _telling_pairs(sample: DataFrame, counts: DataFrame, telling: list[int], n: int) -> list[int]:
+    """Terms that tell beside an anchor, and these anchors, the most telling pair first."""
+    texts = F.col("toxic") + F.col("clean")
+    # Of a bounded sample; terms in nearly all texts set none of them apart.
+    frequent = counts.where((texts >= LEAST_TEXTS) & (texts <= 0.9 * n)).select("term", texts.alias("n"))
+    common = [r["term"] for r in frequent.orderBy(F.desc("n"), "term").limit(ANCHORS[1]).collect()]
+    known = np.sort(np.array(frequent.select("term").toArrow().column(0), dtype=np.int64).view(np.uint64))
+    anchors = np.intersect1d(np.array(sorted({*telling, *common}), dtype=np.int64).view(np.uint64), known)
+    if not len(anchors):
+        return []
+    pairs = sample.mapInArrow(count_pairs(anchors, known), "anchor int, term long, toxic long, clean long").groupBy("anchor", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    pairs = materialize(pairs)
+    own = sample.sparkSession.createDataFrame(list(enumerate(anchors.view(np.int64).tolist())), "anchor int, term long")
+    alone = pairs.join(F.broadcast(own), ["anchor", "term"]).select("anchor", F.col("toxic").alias("n1"), F.col("clean").alias("n0"))  # a row for each anchor
+    ratio = _g2(F.col("toxic"), F.col("clean"), F.col("n1"), F.col("n0"))
+    found = pairs.join(F.broadcast(alone), "anchor").withColumn("ratio", ratio).where(F.col("ratio") >= TELLING_PAIR).orderBy(F.desc("ratio"), "anchor", "term").limit(TERMS).collect()
+    return list(dict.fromkeys(x for r in found for x in (int(anchors.view(np.int64)[r["anchor"]]), r["term"])))
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, n_terms: int = TERMS) -> Machine:
     """Fit on a bounded sample: count its terms in Spark, keep the most telling, learn their weights.
 
+    Half of the terms may be such that tell only beside another: among the texts with an
+    anchor their ratio is high, whatever it is among all; their anchors are kept too.
     The sample thins the larger class alone once there are more labels than it holds; the
     bias is moved back to the odds among all labels.
     """
     lean_batches(docs.sparkSession)
     sample = materialize(labelled_sample(docs, labels, bound))
-    counts = sample.mapInArrow(count_terms, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = materialize(sample.mapInArrow(count_terms, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     telling = _g2(F.col("toxic"), F.col("clean"), n1, n0)
     best = counts.where(telling >= TELLING).orderBy(telling.desc(), "term").limit(n_terms).select("term").collect()
-    known = np.sort(np.array([r["term"] for r in best], dtype=np.int64).view(np.uint64))
+    beside = _telling_pairs(sample, counts, [r["term"] for r in best[: ANCHORS[0]]], n1 + n0)
+    chosen = dict.fromkeys(beside[: n_terms // 2])
+    chosen |= dict.fromkeys([r["term"] for r in best][: n_terms - len(chosen)])
+    known = np.sort(np.array(list(chosen), dtype=np.int64).view(np.uint64))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -296,6 +296,27 @@ def test_scores_keep_the_share_of_toxic_labels(spark):
         assert all(score[i] < toxicity.THRESHOLD for i, _, t in data if "meh" in t)
 
 
+def test_fit_keeps_terms_that_tell_only_together(spark):
+    """An insult or a group alone is as often toxic as any text; together they always are, apart never."""
+    rng = np.random.default_rng(11)
+    filler = [f"word{i}" for i in range(300)]
+    data = []
+    for i in range(1600):
+        a, b = rng.random(2) < 0.5
+        text = list(rng.choice(filler, 12)) + ["zorgs"] * int(a) + ["blemmy"] * int(b)
+        data.append((i, " ".join(rng.permutation(text)), int(a == b)))
+    docs, labels = spark.createDataFrame([r[:2] for r in data], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in data], "doc_id long, toxic int")
+    for bound in (8000, 1000):
+        score = {r["doc_id"]: r["score"] for r in toxicity.add_scores(docs, toxicity.fit(docs, labels, bound), "score").collect()}
+        assert sum((score[i] >= 0.5) == bool(k) for i, _, k in data) >= 0.95 * len(data)
+
+
+def test_sample_is_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0), (None, 1), (4, 1)], "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.labelled_sample(docs, labels, 10).collect())) == [("", 0), ("other", 0), ("text 0", 1)]
+
+
 def test_machine_learns_pairs():
     """Neither term alone tells; both together do."""
     rng = np.random.default_rng(0)
