@@ -100,15 +100,13 @@ def _chain(fp, i: int, flip: int = 0):
     return F.lit(i << 2 * WIDTH).cast("long") + F.shiftleft(_segment(fp, i), WIDTH) + second
 
 
-def _linked(a, b, i, ahead: int, distance: int):
-    """Chain budgets from segment i: 0, 1 and ``ahead`` differing bits after 1, 2, 3 segments; then the whole fingerprint.
+def _chained(apart, i, ahead: int):
+    """Chain budgets from segment i: 0, 1 and ``ahead`` differing bits after 1, 2, 3 segments; the key grants the first two.
 
     Of 4 segments with 3 differing bits in all, some chain around the ring keeps within 0, 1 and 2.
     """
-    apart = F.col(a).bitwiseXOR(F.col(b))
     bits = [F.bit_count(_segment(apart, k) + F.shiftleft(_segment(apart, k + 1), WIDTH) + F.shiftleft(_segment(apart, k + 2), 2 * WIDTH)) <= ahead for k in range(SEGMENTS)]
-    within = F.when(i == 0, bits[0]).when(i == 1, bits[1]).when(i == 2, bits[2]).otherwise(bits[3])
-    return within & (F.bit_count(apart) <= distance)
+    return F.when(i == 0, bits[0]).when(i == 1, bits[1]).when(i == 2, bits[2]).otherwise(bits[3])
 
 
 def _block_links(distance: int):
@@ -151,18 +149,19 @@ def links(nodes: DataFrame, distance: int = DISTANCE, ahead: int = 2) -> DataFra
     flips = [0, *(1 << k for k in range(WIDTH))]
     each = nodes.select("node", F.posexplode("marks").alias("part", "mark"))
     whose = lambda key: F.shiftleft(F.col("part").cast("long"), 2 * WIDTH + 2) + key
-    index = each.select("node", "mark", F.explode(F.array(*[whose(_chain(F.col("mark"), i)) for i in range(SEGMENTS)])).alias("key"))
-    probe = each.select(F.col("node").alias("probe"), F.col("mark").alias("asked"), F.explode(F.array(*[whose(_chain(F.col("mark"), i, f)) for i in range(SEGMENTS) for f in flips])).alias("key"))
+    index = each.select("node", F.explode(F.array(*[whose(_chain(F.col("mark"), i)) for i in range(SEGMENTS)])).alias("key"))
+    probe = each.select(F.col("node").alias("probe"), F.explode(F.array(*[whose(_chain(F.col("mark"), i, f)) for i in range(SEGMENTS) for f in flips])).alias("key"))
     hot = materialize(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT))
     cool = index if hot.isEmpty() else index.join(hot, "key", "left_anti")
-    segment = F.shiftright("key", 2 * WIDTH).bitwiseAND(SEGMENTS - 1)
-    found = probe.join(cool, "key").where((F.col("probe") < F.col("node")) & _linked("asked", "mark", segment, ahead, distance)).select(F.col("probe").alias("a"), F.col("node").alias("b"))
-    # All fingerprints of a candidate pair count together.
-    found = materialize(found.distinct())
+    # Rows hold no more than key and node; the fingerprints of a candidate pair are looked up and count together.
+    chain = F.shiftright("key", 2 * WIDTH).cast("int").alias("chain")
+    found = materialize(probe.join(cool, "key").where("probe < node").select(F.col("probe").alias("a"), F.col("node").alias("b"), chain).distinct())
     for side in ("a", "b"):
         found = found.join(nodes.select(F.col("node").alias(side), F.col("marks").alias(f"marks_{side}")), side)
-    apart = F.aggregate(F.zip_with("marks_a", "marks_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    edges = found.where(apart <= distance).select("a", "b")
+    differ = found.select("a", "b", "chain", F.zip_with("marks_a", "marks_b", lambda x, y: x.bitwiseXOR(y)).alias("apart"))
+    whole = F.aggregate("apart", F.lit(0), lambda x, y: x + F.bit_count(y))
+    part = F.get("apart", F.shiftright("chain", 2))
+    edges = differ.where((whole <= distance) & _chained(part, F.col("chain").bitwiseAND(SEGMENTS - 1), ahead)).select("a", "b").distinct()
     if hot.isEmpty():
         return edges
     # Each side is cut into blocks by its own count; every block of one side meets every block of the other.
