@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+#: Shorter labels are only found undamaged.
+SHORTEST = 3
+
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence."""
@@ -33,3 +38,40 @@ def best_window(short: str, long: str) -> float:
 @F.pandas_udf(DoubleType())
 def partial_ratio(short: pd.Series, long: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else best_window(a, b) for a, b in zip(short, long, strict=True)], dtype="float64")
+
+
+def damaged_place(name: str, line: str, least: float) -> tuple[int, int, float] | None:
+    """(start, length, likeness from 0 to 1) of the first best window of a line that is at least so like a name.
+
+    A line shorter than the name is compared with the name's windows and counts whole.
+    Windows whose characters alone can't reach the likeness aren't compared.
+    """
+    short, long = (name, line) if len(name) <= len(line) else (line, name)
+    n = len(short)
+    if not n or sum((Counter(short) & Counter(long)).values()) * 100 < least * n:
+        return None
+    a, b = (np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in (short, long))
+    shared = np.concatenate([[0], np.cumsum(np.isin(b, a))])
+    best, place = least, None
+    for start in np.flatnonzero((shared[n:] - shared[:-n]) * 100 >= least * n):
+        likeness = 100.0 * _common(a, b[start : start + n]) / n
+        if likeness >= best and (place is None or likeness > best):
+            best, place = likeness, int(start)
+    if place is None:
+        return None
+    return (place, n, best / 100) if long is line else (0, len(line), best / 100)
+
+
+def damaged_labels(pairs: list[tuple[str, str]], least: float):
+    """Column function: array<struct<field, name, at, length, ratio>> of the names (field, lower-case name) that a lower-case line holds damaged only."""
+
+    @F.pandas_udf("array<struct<field: string, name: string, at: int, length: int, ratio: double>>")
+    def found(lines: pd.Series) -> pd.Series:
+        def of(line: str | None) -> list[dict]:
+            met = [(f, n, damaged_place(n, line, least)) for f, n in pairs if len(n) >= SHORTEST and n not in line] if line else []
+            return [{"field": f, "name": n, "at": p[0] + 1, "length": p[1], "ratio": p[2]} for f, n, p in met if p]
+
+        some = {line: of(line) for line in lines.unique()}  # forms repeat their printed lines
+        return lines.map(some)
+
+    return found

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,18 +49,25 @@ def wide(rows: DataFrame, fields: list[str], extras: list[str], values: str = "f
     return rows.select("id", *named)
 
 
-def write_csv(rows: DataFrame, path: str, delimiter: str = "comma") -> None:
-    """RFC 4180 CSV with CRLF line ends, a heading in each part file; the parts keep the writer distributed."""
+def write_csv(rows: DataFrame, path: str, delimiter: str = "comma", bom: bool = False, one_heading: bool = False) -> None:
+    """RFC 4180 CSV with CRLF line ends; the parts keep the writer distributed.
+
+    Each part file has a heading, with ``one_heading`` only the first, so that the parts in
+    order are one file. ``bom`` puts a byte-order mark before each heading.
+    """
     guarded = cells(rows)
-    quoted = [F.when(F.col(c).rlike('[\\r\\n"]') | F.col(c).contains(DELIMITERS[delimiter]), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c)) for c in guarded.columns]
-    heading = DELIMITERS[delimiter].join(guarded.columns)
+    special = lambda c: c.rlike('[\\r\\n"]') | c.contains(DELIMITERS[delimiter])
+    quoted = [F.when(special(F.col(c)), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c)) for c in guarded.columns]
+    names = ['"' + c.replace('"', '""') + '"' if any(x in c for x in ('"', "\r", "\n", DELIMITERS[delimiter])) else c for c in guarded.columns]
+    heading = "\ufeff" * bom + DELIMITERS[delimiter].join(names)
     lines = guarded.select(F.concat_ws(DELIMITERS[delimiter], *quoted).alias("value"))
     # The text writer takes CRLF, which the CSV writer doesn't; the heading leads each part.
-    lines.mapInPandas(lambda frames: _headed(frames, heading), "value string").write.option("lineSep", "\r\n").text(path)
+    lines.mapInPandas(lambda frames: _headed(frames, heading, one_heading), "value string").write.option("lineSep", "\r\n").text(path)
 
 
-def _headed(frames: Iterator[pd.DataFrame], heading: str) -> Iterator[pd.DataFrame]:
-    yield pd.DataFrame({"value": [heading]})
+def _headed(frames: Iterator[pd.DataFrame], heading: str, once: bool) -> Iterator[pd.DataFrame]:
+    if not once or TaskContext.get().partitionId() == 0:
+        yield pd.DataFrame({"value": [heading]})
     yield from frames
 
 

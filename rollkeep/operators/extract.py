@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rollkeep.functions.fuzzy import damaged_labels
+
 SEPARATORS = ":=.\\-–—"
 GENERIC = 7
 SAME_LINE, NEXT_LINE, PROSE = 1.0, 0.8, 0.85
+#: What is left of the confidence of a scan that nothing can be read in, and how far off a label in the other script may follow.
+OCR_FLOOR, CHAIN = 0.6, 40
 # What values of a kind look like.
 SHAPES = {
     "date": "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}\\s*[-/.]\\s*[0-9]{1,2}\\s*[-/.]\\s*[0-9]{2,4}|[0-9]{1,2}\\s+\\p{L}{3,9}\\.?,?\\s+[0-9]{4}",
@@ -39,35 +45,64 @@ def shaped(value: Column, kind: str) -> Column:
     return F.when(found != "", found)
 
 
-def labelled(lines: DataFrame, labels: dict[str, tuple[str, ...]], kinds: dict[str, str] | None = None) -> DataFrame:
+def _other_script(name: str, names: tuple[str, ...]) -> list[str]:
+    """The names of a field that are written in the other script (Arabic or not) than one of them."""
+    arabic = lambda t: sum("\u0600" <= c <= "\u06ff" for c in t) * 2 > sum(c.isalpha() for c in t)
+    return [n for n in names if arabic(n) != arabic(name)]
+
+
+def labelled(lines: DataFrame, labels: dict[str, tuple[str, ...]], kinds: dict[str, str] | None = None, damaged: float | None = None) -> DataFrame:
     """(document_id, field, value, confidence, page_number, line): the best labelled value of each field.
 
-    On each line the label that explains most of it counts; short labels only at its
-    start. The value is the rest of the line, else the next line. Of several readings the
-    surest wins, then the earliest page and line. All lines are scanned once for all labels.
+    On each line the label that explains most of it counts (likeness times length), at its
+    last place; short labels only at the line's start. With ``damaged``, a likeness from 0
+    to 100, labels that a line doesn't hold are also looked for as poor scans leave them.
+    The same label in the other script right after it is stepped over. The value is the
+    rest of the line, else the next line unless that holds a label. A column
+    ``ocr_confidence`` (0 to 100) of ``lines``, where there is one, scales the confidence
+    of scanned lines. Of several readings those with an undamaged label come first, then
+    those that explain most, the surest, and the earliest page and line. All lines are
+    scanned once for all labels.
     """
-    low = F.lower("text")
-    candidates = []
+    low, edge = F.lower("text"), f"[\\s{SEPARATORS}/|()\\[\\]]"
+    pairs = [(field, name.lower()) for field, names in labels.items() for name in names]
+    found = []
+    for field, name in pairs:
+        at = F.length(low) - F.instr(F.reverse(low), name[::-1]) - len(name) + 2
+        found.append(F.when(F.instr(low, name) > 0, F.struct(F.lit(field).alias("field"), F.lit(name).alias("name"), at.alias("at"), F.lit(len(name)).alias("length"), F.lit(1.0).alias("ratio"))))
+    exact = F.filter(F.array(*found), lambda c: c.isNotNull())
+    every = exact if damaged is None else F.concat(exact, damaged_labels(pairs, damaged)(low))
+    own = lambda c: F.trim(F.regexp_replace(F.substring(low, F.lit(1), c["at"] - 1), f"{edge}+", "")) == ""
+    held = lines.withColumn("labels", every)
+    met = held.select("*", F.inline(F.filter("labels", lambda c: (F.length(c["name"]) > GENERIC) | own(c)))).drop("labels")
+    met = met.withColumn("evidence", F.col("ratio") * F.length("name"))
+    longest = F.row_number().over(W.partitionBy("document_id", "page_number", "line", "field").orderBy(F.desc("evidence"), "at", "name"))
+    met = met.withColumn("place", longest).where("place = 1")
+
+    rest = F.substring(F.col("text"), F.col("at") + F.col("length"), F.length("text"))
+    stepped = rest
     for field, names in labels.items():
         for name in names:
-            at = F.instr(low, name.lower())
-            start_only = F.trim(F.regexp_replace(F.substring(low, F.lit(1), at - 1), f"[\\s{SEPARATORS}/|()\\[\\]]+", "")) == ""
-            usable = (at > 0) & (start_only if len(name) <= GENERIC else F.lit(True))
-            candidates.append(F.when(usable, F.struct(F.lit(field).alias("field"), F.lit(len(name)).alias("length"), (at + len(name)).alias("after"), F.lit((kinds or {}).get(field, "text")).alias("kind"))))
-    found = lines.select("*", F.inline(F.filter(F.array(*candidates), lambda c: c.isNotNull())))
-    longest = F.row_number().over(W.partitionBy("document_id", "page_number", "line", "field").orderBy(F.desc("length"), "after"))
-    found = found.withColumn("place", longest).where("place = 1")
-    rest = F.substring(F.col("text"), F.col("after"), F.length("text"))
-    separated = rest.rlike(f"^\\s*[{SEPARATORS}/|]")
-    here, below = tidy(rest), tidy(F.col("next_text"))
-    value = F.when(here != "", here).otherwise(F.when(below != "", below))
-    confidence = F.when(here == "", NEXT_LINE).when(separated, SAME_LINE).otherwise(PROSE)
+            others = _other_script(name, names)
+            if others:
+                either = "|".join(re.escape(n) for n in sorted(others, key=len, reverse=True))
+                stepped = F.when((F.col("field") == field) & (F.col("name") == name.lower()), F.regexp_replace(rest, f"(?i)^{edge}{{0,{CHAIN}}}(?:{either})", "")).otherwise(stepped)
+    met = met.withColumn("rest", stepped)
+    separated = F.col("rest").rlike(f"^\\s*[{SEPARATORS}/|]") | (F.col("rest") != rest)
+    under = F.lower("next_text")
+    free = ~F.exists(F.array(*[F.lit(name) for _, name in pairs]), lambda n: F.contains(under, n))
+    here, below = tidy(F.col("rest")), tidy(F.col("next_text"))
+    value = F.when(here != "", here).when((below != "") & free, below)
+    place = F.when(here == "", NEXT_LINE).when(separated, SAME_LINE).otherwise(PROSE)
+    read = F.coalesce(F.round(OCR_FLOOR + (1 - OCR_FLOOR) * F.col("ocr_confidence") / 100, 4), F.lit(1.0)) if "ocr_confidence" in lines.columns else F.lit(1.0)
     by_kind = value
     for k in SHAPES:
-        by_kind = F.when(F.col("kind") == k, shaped(value, k)).otherwise(by_kind)
-    rows = found.select("document_id", "field", by_kind.alias("value"), confidence.alias("confidence"), "length", "page_number", "line").where("value is not null")
-    best = F.row_number().over(W.partitionBy("document_id", "field").orderBy(F.desc("confidence"), F.desc("length"), "page_number", "line"))
-    return rows.withColumn("place", best).where("place = 1").drop("place", "length")
+        some = [f for f, kind in (kinds or {}).items() if kind == k]
+        if some:
+            by_kind = F.when(F.col("field").isin(some), shaped(value, k)).otherwise(by_kind)
+    rows = met.select("document_id", "field", by_kind.alias("value"), F.round(place * F.col("ratio") * read, 4).alias("confidence"), "ratio", "evidence", "page_number", "line").where("value is not null")
+    best = F.row_number().over(W.partitionBy("document_id", "field").orderBy(F.desc(F.col("ratio") >= 1), F.desc("evidence"), F.desc("confidence"), "page_number", "line"))
+    return rows.withColumn("place", best).where("place = 1").drop("place", "ratio", "evidence")
 
 
 def extra_fields(lines: DataFrame, known: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from rollkeep.sources.delimited import HeaderPlan, read_rows
+from rollkeep.plans.schema import Schema
+from rollkeep.sources.delimited import plan_headers, read_lines, read_rows
 
 
 def first_uploads(stream: DataFrame, within: str = "48 hours") -> DataFrame:
@@ -63,12 +66,30 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 
 
-def import_folder(spark: SparkSession, folder: str, plan: HeaderPlan, delimiter: str, sink: str, checkpoint: str) -> None:
-    """Import the files of a folder as they arrive, to parquet; a restart goes on where it stopped."""
-    lines = spark.readStream.text(folder).select(F.lit(2).cast("long").alias("row_number"), F.col("value").alias("line"))
+def import_folder(spark: SparkSession, folder: str, schema: Schema, sink: str, checkpoint: str, at_once: int = 16) -> None:
+    """Import the delimited files of a folder as they arrive; a restart goes on where it stopped.
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        rows = read_rows(batch, plan, delimiter).select(F.to_json("fields").alias("fields"), "too_many", "too_few")
-        rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+    Each file is an import of its own, with its own encoding, delimiter and headings, and
+    its rows are numbered as a spreadsheet numbers them. Rows go to ``sink``/rows and a row
+    of counters to ``sink``/files, both in a folder by the hash of the file's path, so that
+    a file that is read again replaces what it gave before. At most ``at_once`` files are
+    taken together; their paths are all that comes to the driver. Files without bytes are
+    passed over.
+    """
+    form = "path string, modificationTime timestamp, length long, content binary"
+    paths = spark.readStream.format("binaryFile").schema(form).option("maxFilesPerTrigger", at_once).load(folder).select("path")
 
-    lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    def write(batch: DataFrame, epoch: int) -> None:
+        for path in [r["path"] for r in batch.collect()]:
+            lines, delimiter = read_lines(batch.sparkSession, path)
+            first = lines.where("row_number = 1").first()
+            plan = plan_headers(schema, next(csv.reader([first["line"]], delimiter=delimiter)) if first else [])
+            name = f"import={hashlib.sha256(path.encode()).hexdigest()}"
+            rows = read_rows(lines, plan, delimiter).select("row_number", F.to_json("fields").alias("fields"), "too_many", "too_few", "oversized")
+            rows.write.mode("overwrite").parquet(f"{sink}/rows/{name}")
+            done = batch.sparkSession.read.schema(rows.schema).parquet(f"{sink}/rows/{name}")
+            sums = done.agg(F.count("*").alias("total"), F.count_if("too_many").alias("too_many"), F.count_if("too_few").alias("too_few"))
+            told = [F.array(*[F.lit(x) for x in names]).cast("array<string>").alias(kind) for kind, names in (("unknown", plan.unknown), ("repeated", plan.repeated), ("missing", plan.missing))]
+            sums.select(F.lit(path).alias("path"), "total", "too_many", "too_few", *told).write.mode("overwrite").parquet(f"{sink}/files/{name}")
+
+    paths.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

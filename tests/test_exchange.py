@@ -45,6 +45,12 @@ def test_csv_export(spark, tmp_path):
     assert body == "a,b,c\r\n'=1+1,2.50,yes\r\n\"say \"\"x\"\"\",,no\r\n"
 
 
+def test_csv_in_parts(spark, tmp_path):
+    export.write_csv(spark.range(0, 6, 1, 3).toDF("a,b"), str(tmp_path / "out"), bom=True, one_heading=True)
+    body = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert body.decode() == "\ufeff\"a,b\"\r\n" + "".join(f"{i}\r\n" for i in range(6))
+
+
 def test_archives(spark):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
@@ -100,3 +106,25 @@ def test_progress(spark, tmp_path):
 def test_first_uploads(spark, tmp_path):
     s = stream_of(spark, tmp_path, [(1, "a", 1), (1, "a", 2), (2, "a", 3)], "batch_id long, sha256 string, s long").withColumn("ts", F.timestamp_seconds("s"))
     assert len(run(streaming.first_uploads(s), "uploads", "append", spark, tmp_path)) == 2
+
+
+def test_import_folder(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Full name;Certificate number\r\n# guidance;required\r\nAli;A-1\r\n# not guidance;A-2;more\r\n")
+    (folder / "b.csv").write_text("Certificate number,note\nB-1,x\n")
+    (folder / "empty.csv").write_text("")  # Spark passes over files without bytes
+    (folder / "head.csv").write_text("Full name\n")
+    go = lambda: streaming.import_folder(spark, str(folder), SCHEMA, str(tmp_path / "out"), str(tmp_path / "cp"))
+    go()
+    rows = spark.read.parquet(str(tmp_path / "out/rows"))
+    assert sorted((r["row_number"], r["fields"], r["too_many"]) for r in rows.collect()) == [
+        (2, '{"number":"B-1"}', False),
+        (3, '{"name":"Ali","number":"A-1"}', False),
+        (4, '{"name":"# not guidance","number":"A-2"}', True),
+    ]
+    told = {r["path"][-5:]: (r["total"], r["unknown"], r["missing"]) for r in spark.read.parquet(str(tmp_path / "out/files")).collect()}
+    assert told == {"a.csv": (2, [], []), "b.csv": (1, ["note"], []), "d.csv": (0, [], ["number"])}
+    (folder / "c.csv").write_text("number\nC-1\n")
+    go()
+    assert spark.read.parquet(str(tmp_path / "out/rows")).count() == 4
