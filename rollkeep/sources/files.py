@@ -38,12 +38,15 @@ def pdf_verdict(content: Column) -> Column:
 
 
 def archive_members(files: DataFrame) -> DataFrame:
-    """(id, member, bytes, content, problem): the members of ZIP files (columns id, content, depth); bad ones are reported, not fatal."""
+    """(id, member, bytes, content, problem): the members of ZIP files (columns id, content, depth); bad ones are reported, not fatal.
+
+    Members are handed on one at a time, so that an archive is never unpacked whole in memory.
+    """
+    names = ["id", "member", "bytes", "content", "problem"]
 
     def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for i, content, depth in zip(frame["id"], frame["content"], frame["depth"], strict=True):
-                rows: list[tuple] = []
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         total = 0
@@ -57,10 +60,9 @@ def archive_members(files: DataFrame) -> DataFrame:
                                 else None
                             )
                             if not m.is_dir():
-                                rows.append((i, m.filename, m.file_size, None if problem else z.read(m), problem))
+                                yield pd.DataFrame([(i, m.filename, m.file_size, None if problem else z.read(m), problem)], columns=names)
                 except (zipfile.BadZipFile, RuntimeError):
-                    rows.append((i, None, None, None, "unreadable"))
-                yield pd.DataFrame(rows, columns=["id", "member", "bytes", "content", "problem"])
+                    yield pd.DataFrame([(i, None, None, None, "unreadable")], columns=names)
 
     id_type = files.schema["id"].dataType.simpleString()
     return files.select("id", "content", "depth").mapInPandas(members, f"id {id_type}, member string, bytes long, content binary, problem string")
