@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollkeep.llm.anagram import spelling_variants
+from rollkeep.llm.audit import filter_audit
 from rollkeep.llm.chroma import align_members, melodies
 from rollkeep.llm.decontaminate import decontaminate
 from rollkeep.llm.html import main_texts
@@ -65,6 +67,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -77,6 +87,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_lm_score": op9_lm_score,
         "op10_mixing": op10_mixing,
+        "op11_spelling": op11_spelling,
+        "op12_filter_audit": op12_filter_audit,
     }
 
 
@@ -116,6 +128,42 @@ SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN CAST(fl
 FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source"""
 
 
+#: CRC-32 from its polynomial: the 256 remainders of one byte, then a fold over the bytes of a text.
+_CRC_TABLE = "SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS z FROM range(256) t(b)"
+_BYTES = "list_transform(range(CAST(strlen({0}) AS BIGINT)), lambda i: CAST('0x' || substr(hex({0}), 2 * i + 1, 2) AS BIGINT))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, " + _BYTES + "), lambda c, b: xor(c >> 8, z[1 + (xor(c, b) & 255)])), 4294967295)"
+
+SPELLING = f"""
+WITH RECURSIVE z AS ({_CRC_TABLE}),
+t AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\u00C0-\u00FF]{{7,}}')) AS run FROM documents),
+c AS (SELECT run, k, {_CRC.format("(d || ':' || run)")} AS h FROM (SELECT d, run, count(*) AS k FROM t GROUP BY ALL), z),
+w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM c) WHERE length(word) >= 7 GROUP BY 1 HAVING sum(k) >= 2),
+v AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS v FROM (SELECT word, n, unnest(range(1, CAST(length(word) AS BIGINT) + 1)) AS p FROM w)),
+e AS (SELECT a.word AS x, b.word AS y, b.n AS m FROM v a JOIN v b ON a.v = b.v AND a.p = b.p AND a.word <> b.word
+ UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.v = w.word UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.v = w.word),
+b AS (SELECT x, count(*) AS n_near, first(y ORDER BY m DESC, y) AS y, max(m) AS m FROM e GROUP BY x),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN y END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM w LEFT JOIN b ON word = x),
+r AS (SELECT word, form AS top FROM f WHERE form IS NOT NULL UNION ALL SELECT r.word, f.form FROM r JOIN f ON r.top = f.word WHERE f.form IS NOT NULL)
+SELECT word, form, coalesce(top, word) AS root, n, n_near, form_n FROM f LEFT JOIN (SELECT r.word AS of, top FROM r JOIN f ON top = f.word WHERE f.form IS NULL) ON word = of"""
+
+FILTER_AUDIT = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, good, toxic, CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+ + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN d.doc_id > first THEN 16 ELSE 0 END AS mask
+ FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m GROUP BY 1, 2),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT o, step, substr(o, step, 1) AS letter, CAST(1 << (ascii(substr(o, step, 1)) - 65) AS BIGINT) AS bit,
+ CAST(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(o, i, 1)) - 65))) AS BIGINT) AS held FROM (SELECT o, unnest(range(1, 6)) AS step FROM o)),
+q AS (SELECT part, o, step, letter, sum(CASE WHEN mask & (bit | coalesce(held, 0)) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & bit <> 0 AND mask & coalesce(held, 0) = 0 THEN n ELSE 0 END) AS removed,
+ sum(CASE WHEN mask & bit <> 0 AND mask & coalesce(held, 0) <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+ sum(CASE WHEN mask & bit <> 0 AND mask & coalesce(held, 0) = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & bit <> 0 AND mask & coalesce(held, 0) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+ FROM s, c GROUP BY 1, 2, 3, 4)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, {", ".join(f"CAST({x} AS BIGINT) AS {x}" for x in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))}, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM q"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """What SQL can express: the others need trained models, SimHash, CRC-32 or parsing, and are tested against plain Python."""
-    return {"op3_decontamination": DECONTAMINATION, "op4_substring_dedup": SUBSTRING, "op10_mixing": MIXING}
+    """What SQL can express: the others need trained models, SimHash or parsing, and are tested against plain Python."""
+    return {"op3_decontamination": DECONTAMINATION, "op4_substring_dedup": SUBSTRING, "op10_mixing": MIXING, "op11_spelling": SPELLING, "op12_filter_audit": FILTER_AUDIT}
