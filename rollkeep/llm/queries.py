@@ -12,6 +12,7 @@ from rollkeep.llm.audit import filter_audit
 from rollkeep.llm.chroma import align_members, melodies
 from rollkeep.llm.decontaminate import decontaminate
 from rollkeep.llm.html import main_texts
+from rollkeep.llm.language import predict_languages
 from rollkeep.llm.lm import score_texts
 from rollkeep.llm.mixing import mix_sources
 from rollkeep.llm.pii import find_personal_data
@@ -75,6 +76,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mixing": op10_mixing,
         "op11_spelling": op11_spelling,
         "op12_filter_audit": op12_filter_audit,
+        "op13_language": op13_language,
     }
 
 
