@@ -10,7 +10,7 @@ from rollkeep.functions.text import formula_guard
 from rollkeep.operators import duplicates, export, review
 from rollkeep.plans.schema import Field, Schema
 from rollkeep.queries import sqltext as S
-from rollkeep.sources import delimited, files
+from rollkeep.sources import delimited, files, records
 from rollkeep.sources.adapter import ENTRIES, frame, view
 
 IMPORT = '''
@@ -30,6 +30,21 @@ def import_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows(spark, d).select("row_number", get("number"), get("name"), get("nation"), "too_many", "too_few")
 
 
+RECORDS = """
+SELECT 'documents' AS path, CAST(floor((doc_id * 2 + CASE WHEN pos >= 2 THEN 1 ELSE 0 END) / 9.0) AS BIGINT) AS block, doc_id * 1000000 + pos AS at, line, ',' AS delimiter FROM (
+  SELECT doc_id, posexplode(split(CAST(doc_id AS STRING) || ',"' || source || '",' || CASE WHEN doc_id % 7 = 0 THEN 'bare ""' || lang || '"' ELSE '"' || replace(coalesce(text, ''), '"', '""') || '"' END, '\n')) AS (pos, line) FROM {documents})
+UNION ALL SELECT 'documents', CAST(-1 AS BIGINT), CAST(0 AS BIGINT), 'number,"nation",name', ','
+"""
+DOCUMENT_PLAN = delimited.HeaderPlan(("number", "nation", "name"), (), (), ())
+
+
+def import_records(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as a delimited file whose cells hold line breaks, cut into blocks in the middle of records."""
+    held = records.records(frame(spark, d, RECORDS)).withColumnRenamed("record", "line")
+    get = lambda n: F.try_element_at("fields", F.lit(n)).alias(n)
+    return delimited.read_rows(held, DOCUMENT_PLAN).select("row_number", get("number"), get("nation"), get("name"), "too_many", "too_few", "oversized")
+
+
 def _done(spark: SparkSession, d: str) -> DataFrame:
     register = frame(spark, d, "SELECT 's' || CAST(r_regionkey AS STRING) AS number_key FROM {region}")
     return delimited.outcomes(rows(spark, d), "number", register)
@@ -146,7 +161,7 @@ def revision_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "import_rows": import_rows, "import_outcomes": import_outcomes, "import_counters": import_counters, "import_errors": import_errors, "formula_guard": formula_guarded, "export_rows": export_rows, "export_cells": export_cells, "export_json": export_json,
+    "import_rows": import_rows, "import_records": import_records, "import_outcomes": import_outcomes, "import_counters": import_counters, "import_errors": import_errors, "formula_guard": formula_guarded, "export_rows": export_rows, "export_cells": export_cells, "export_json": export_json,
     "extra_keys": extra_keys, "audit_sanitise": audit_sanitised, "rate_window": rate_window, "event_windows": event_windows, "user_sessions": user_sessions, "content_dedupe": content_dedupe, "duplicate_fan_out": duplicate_fan_out,
     "file_kinds": file_kinds, "upload_chunks": upload_chunks, "image_frames": image_frames, "answer_cache": answer_cache, "review_actions": review_actions, "revision_changes": revision_changes,
 }
@@ -160,6 +175,9 @@ o AS (SELECT row_number, key, CASE WHEN bad IS NOT NULL THEN 'failed' WHEN coale
 
 SQL = {
     "import_rows": f"WITH {_ROWS} SELECT * FROM k",
+    "import_records": """WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) + 1 AS row_number, CAST(doc_id AS VARCHAR) AS number, source AS nation,
+ trim(CASE WHEN doc_id % 7 = 0 THEN 'bare ""' || lang || '"' ELSE coalesce(text, '') END, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS name FROM documents)
+SELECT row_number, number, nation, nullif(substr(name, 1, 4000), '') AS name, false AS too_many, false AS too_few, length(name) > 4000 AS oversized FROM d""",
     "import_outcomes": f"WITH {_OUT} SELECT * FROM o",
     "import_counters": f"WITH {_OUT} SELECT count(*) AS total, count(*) FILTER (outcome = 'created') AS created, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'failed') AS failed, CASE WHEN count(*) FILTER (outcome <> 'created') > 0 THEN 'PARTIAL' ELSE 'COMPLETED' END AS status FROM o",
     "import_errors": f"WITH {_OUT} SELECT row_number, code FROM o WHERE code IS NOT NULL ORDER BY row_number LIMIT 20",

@@ -2,41 +2,26 @@
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rollkeep.functions.text import number_key
 from rollkeep.plans.schema import Schema
-from rollkeep.sources.scratch import checkpointed
+from rollkeep.sources.records import detect_delimiter, read_records, sniff_encoding
+from rollkeep.sources.scratch import checkpointed, materialize
 
-DELIMITERS = ",;\t|"
-LONGEST_CELL, LONGEST_LINE, ERRORS_KEPT = 4000, 64000, 10_000
-#: Bytes that tell the encoding, and of how many lines at most.
-HEAD, HEAD_LINES = 65536, 1024
+__all__ = ["HeaderPlan", "counters", "detect_delimiter", "first_errors", "import_files", "import_template", "outcomes", "plan_headers", "read_lines", "read_rows", "repeated_numbers", "sniff_encoding"]
 
-
-def sniff_encoding(head: bytes) -> str:
-    """By the first block of a file: a byte-order mark, UTF-8, Windows-1252, else Latin-1."""
-    if head[:3] == b"\xef\xbb\xbf":
-        return "utf-8-sig"
-    for name in ("utf-8", "cp1252"):
-        try:
-            head.decode(name)
-        except UnicodeDecodeError as e:
-            if name == "utf-8" and len(head) >= 65536 and e.start >= len(head) - 3 and e.reason == "unexpected end of data":
-                return name  # the block ends within a character
-            continue
-        return name
-    return "latin-1"
-
-
-def detect_delimiter(header: str) -> str:
-    """The one of the four that the header holds most of; a comma if none."""
-    return max(DELIMITERS, key=lambda d: (header.count(d), -DELIMITERS.index(d))) if any(d in header for d in DELIMITERS) else ","
+LONGEST_CELL, ERRORS_KEPT = 4000, 10_000
+#: A template's second row begins with this; an import skips it.
+GUIDANCE = "#"
+WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 @dataclass(frozen=True)
@@ -71,44 +56,89 @@ def plan_headers(schema: Schema, headings: list[str]) -> HeaderPlan:
 
 
 def read_lines(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """(import_id, row_number, line) of a file, and its delimiter.
+    """(row_number, line) of a file's records, headings first, and its delimiter; quoted cells may hold line breaks."""
+    held, heads = read_records(spark, path)
+    head = heads.first()
+    return held.select("row_number", F.col("record").alias("line")), head["delimiter"] if head else ","
+
+
+def cells_of(line: Column, delimiter: Column) -> Column:
+    """The cells of a record, trimmed: quoted ones without their quotes, and what follows a closing quote as it is."""
+    d = delimiter
+    # Possessive throughout: no backtracking, and no recursion over long cells.
+    pattern = F.concat(F.lit("["), d, F.lit(r'](?:"([^"]*+(?:""[^"]*+)*+)"?([^'), d, F.lit(r"]*+)|([^"), d, F.lit('"][^'), d, F.lit("]*+)?)"))
+    led = F.concat(d, line)  # every cell follows a delimiter
+    quoted, after, bare = (F.regexp_extract_all(led, pattern, F.lit(i)) for i in (1, 2, 3))
+    joined = F.zip_with(F.zip_with(quoted, after, lambda q, a: F.concat(F.replace(q, F.lit('""'), F.lit('"')), a)), bare, lambda x, b: F.concat(x, b))
+    cells = F.when(line.contains('"'), joined).otherwise(F.split(line, F.concat(F.lit("["), d, F.lit("]")), -1))
+    return F.transform(cells, lambda c: F.btrim(c, F.lit(WHITESPACE)))
+
+
+def read_rows(lines: DataFrame, plan: HeaderPlan | Column, delimiter: str | Column = ",", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row_number, fields, too_many, too_few, oversized) of the records (row_number, line) that aren't blank, and the columns ``keep``.
 
-    Rows are numbered as a spreadsheet numbers them, the header being 1: each partition
-    counts its lines, and the counts before it are added, so that no task reads them all.
+    ``plan`` may be a column with the field of each cell (null: none), where files differ. Cells
+    are trimmed, cut and dropped if empty. The heading is record 1; guidance in record 2 is passed over.
     """
-    # The bytes of the first lines; a file may be too large to be read as one value.
-    first = spark.read.text(path).select(F.substring(F.col("value").cast("binary"), 1, HEAD)).limit(HEAD_LINES).collect()
-    head = b"\n".join(bytes(r[0]) for r in first)[:HEAD]
-    encoding = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}[sniff_encoding(bytes(head))]
-    read = spark.read.text(path) if encoding == "UTF-8" else spark.read.option("encoding", encoding).csv(path, sep="\u0001", quote="", schema="value string")
-    at = read.select(F.regexp_replace("value", "^﻿|\r$", "").alias("line"), F.monotonically_increasing_id().alias("at"))
-    part = F.shiftright("at", 33)
-    counts = at.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)))  # a row for each file block
-    numbered = at.withColumn("part", part).join(F.broadcast(before), "part").withColumn("row_number", F.coalesce("before", F.lit(0)) + F.col("at") - F.shiftleft("part", 33) + 1)
-    return numbered.select("row_number", F.substring("line", 1, LONGEST_LINE).alias("line")), detect_delimiter(read.first()[0] if not read.isEmpty() else "")
-
-
-def read_rows(lines: DataFrame, plan: HeaderPlan, delimiter: str = ",") -> DataFrame:
-    """(row_number, fields, too_many, too_few, oversized) of the rows that aren't blank.
-
-    Cells may be quoted; they are trimmed, cut and dropped if empty. Line breaks inside
-    quotes aren't supported by this reader: each line is a row.
+    names = F.array(*[F.lit(c) for c in plan.columns]).cast("array<string>") if isinstance(plan, HeaderPlan) else plan
+    rows = lines.where("row_number > 1").withColumn("cells", cells_of(F.col("line"), F.lit(delimiter) if isinstance(delimiter, str) else delimiter))
+    first = F.get(F.filter("cells", lambda c: c != ""), F.lit(0))
+    rows = rows.where(first.isNotNull() & ~((F.col("row_number") == 2) & first.startswith(GUIDANCE)))
+    named = F.filter(F.zip_with(names, "cells", lambda n, c: F.struct(n.alias("key"), c.alias("value"))), lambda p: p["key"].isNotNull() & (F.coalesce(p["value"], F.lit("")) != ""))
+    rows = rows.withColumn("named", named)
+    fields = F.map_from_entries(F.transform("named", lambda p: F.struct(p["key"], F.substring(p["value"], 1, LONGEST_CELL))))
+    return rows.select(*keep, "row_number", fields.alias("fields"), (F.size("cells") > F.size(names)).alias("too_many"), (F.size("cells") < F.size(names)).alias("too_few"), F.exists("named", lambda p: F.length(p["value"]) > LONGEST_CELL).alias("oversized"))
+
+
+def header_failure(plan: HeaderPlan) -> str | None:
+    """Why a file with these headings can't be imported."""
+    if plan.missing:
+        return "missing_columns"
+    if plan.repeated:
+        return "duplicate_columns"
+    if plan.unknown:
+        return "unknown_columns"
+    return None if any(plan.columns) else "no_columns"
+
+
+def planned(heads: DataFrame, schema: Schema, refuse: bool = True) -> DataFrame:
+    """Adds to heads of files the plan of their columns (columns, unknown, repeated, missing) and ``failure``, null unless ``refuse``."""
+    lists = ("columns", "unknown", "repeated", "missing")
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [plan_headers(schema, next(csv.reader([h], delimiter=d), [])) for h, d in zip(batch.column("header").to_pylist(), batch.column("delimiter").to_pylist(), strict=True)]
+            told = [pa.array([list(getattr(p, c)) for p in held], pa.list_(pa.string())) for c in lists]
+            failure = pa.array([header_failure(p) if refuse else None for p in held], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told, failure], names=[*batch.schema.names, *lists, "failure"])
+
+    kept = heads.select("path", "encoding", "delimiter", "header")
+    return kept.mapInArrow(plan, "path string, encoding string, delimiter string, header string, " + ", ".join(f"{c} array<string>" for c in lists) + ", failure string")
+
+
+def import_files(spark: SparkSession, paths: str | list[str], schema: Schema, register: DataFrame, on_duplicate: str = "skip", refuse: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Import files together, each as an import of its own, in the order of their paths.
+
+    Gives (path, row_number, key, fields, too_many, too_few, oversized, outcome, code) and, for each
+    file, (path, encoding, delimiter, columns, unknown, repeated, missing, failure, total, created,
+    skipped, failed, status). A row is skipped if the ``register`` (column number_key), an earlier row of
+    its file or an earlier file has its number. With ``refuse`` a file with missing, repeated or unknown
+    headings has no rows and the status FAILED. Files without a byte aren't seen by Spark's readers.
     """
-    width = len(plan.columns)
-    d = "\\" + delimiter if delimiter == "|" else delimiter
-    bare = f'{d}(?:"((?:[^"]|"")*)"|([^{d}]*))'
-    led = F.concat(F.lit(delimiter), F.col("line"))  # every cell follows a delimiter
-    quoted, unquoted = (F.regexp_extract_all(led, F.lit(bare), F.lit(i)) for i in (1, 2))
-    cells = F.zip_with(quoted, unquoted, lambda q, u: F.trim(F.when(q != "", F.replace(q, F.lit('""'), F.lit('"'))).otherwise(u)))
-    rows = lines.where("row_number > 1").withColumn("cells", cells).where(F.exists("cells", lambda c: c != "")).where(~((F.col("row_number") == 2) & F.get("cells", F.lit(0)).startswith("# ")))
-    pairs = [F.struct(F.lit(name).alias("key"), F.substring(F.get("cells", F.lit(i)), 1, LONGEST_CELL).alias("value")) for i, name in enumerate(plan.columns) if name is not None]
-    held = F.filter(F.array(*pairs), lambda p: F.coalesce(p["value"], F.lit("")) != "")
-    return rows.select("row_number", F.map_from_entries(held).alias("fields"), (F.size("cells") > width).alias("too_many"), (F.size("cells") < width).alias("too_few"), F.exists("cells", lambda c: F.length(c) > LONGEST_CELL).alias("oversized"))
+    held, heads = read_records(spark, paths)
+    plans = materialize(planned(heads, schema, refuse))
+    lines = held.withColumnRenamed("record", "line").join(plans.where("failure IS NULL").select("path", "columns", "delimiter"), "path")
+    rows = materialize(read_rows(lines, F.col("columns"), F.col("delimiter"), ("path",)))
+    done = outcomes(rows, schema.identifier.name if schema.identifier else "", register, on_duplicate, order=("path", "row_number"))
+    told = materialize(rows.join(done, ["path", "row_number"]))
+    sums = counters(told, "path").withColumnRenamed("status", "_status")
+    status = F.when(F.col("failure").isNotNull(), "FAILED").otherwise(F.coalesce("_status", F.lit("COMPLETED")))
+    files = plans.drop("header").join(sums, "path", "left").withColumn("status", status).drop("_status").fillna(0, ["total", "created", "skipped", "failed"])
+    return told, files
 
 
-def outcomes(rows: DataFrame, identifier: str, register: DataFrame, on_duplicate: str = "skip", second: str | None = None) -> DataFrame:
-    """(row_number, key, outcome, code) of each row read.
+def outcomes(rows: DataFrame, identifier: str, register: DataFrame, on_duplicate: str = "skip", second: str | None = None, order: tuple[str, ...] = ("row_number",)) -> DataFrame:
+    """(row_number, key, outcome, code) of each row read; ``order`` names the columns that identify and order rows, where row_number isn't all.
 
     Too many columns or no identifier fail a row. With the policy 'skip' a row whose number
     an earlier created row of the file or the register (column number_key) has is skipped;
@@ -118,23 +148,23 @@ def outcomes(rows: DataFrame, identifier: str, register: DataFrame, on_duplicate
     """
     keyed = rows.withColumn("key", number_key(F.try_element_at("fields", F.lit(identifier))))
     bad = F.when(F.col("too_many"), "extra_columns").when(F.col("key") == "", "missing_identifier")
-    judged = keyed.withColumn("bad", bad)
+    judged = keyed.withColumn("bad", bad).withColumn("_row", F.struct(*order))
     if on_duplicate != "skip":
         skipped = F.lit(False)
         joined = judged
     elif second is None:
         # One key may fill a third of the file, so its first row is a minimum and not a window.
-        firsts = judged.where("bad is null").groupBy("key").agg(F.min("row_number").alias("first"))
+        firsts = judged.where("bad is null").groupBy("key").agg(F.min("_row").alias("first"))
         held = register.select(F.col("number_key").alias("key")).distinct().withColumn("held", F.lit(True))
         joined = judged.join(firsts, "key", "left").join(held, "key", "left")
-        skipped = F.coalesce(F.col("held") | (F.col("row_number") > F.col("first")), F.lit(False))
+        skipped = F.coalesce(F.col("held") | (F.col("_row") > F.col("first")), F.lit(False))
     else:
         other = number_key(F.try_element_at("fields", F.lit(second)))
-        repeats = repeated_numbers(judged.where("bad is null").select("row_number", F.col("key").alias("number_key"), other.alias("registration_key")), register)
-        joined = judged.join(repeats.withColumn("repeat", F.lit(True)), "row_number", "left")
+        repeats = repeated_numbers(judged.where("bad is null").select(F.col("_row").alias("row_number"), F.col("key").alias("number_key"), other.alias("registration_key")), register)
+        joined = judged.join(repeats.select(F.col("row_number").alias("_row"), F.lit(True).alias("repeat")), "_row", "left")
         skipped = F.coalesce("repeat", F.lit(False))
     outcome = F.when(F.col("bad").isNotNull(), "failed").when(skipped, "skipped").otherwise("created")
-    return joined.select("row_number", "key", outcome.alias("outcome"), F.coalesce("bad", F.when(skipped, "duplicate_number")).alias("code"))
+    return joined.select(*order, "key", outcome.alias("outcome"), F.coalesce("bad", F.when(skipped, "duplicate_number")).alias("code"))
 
 
 def repeated_numbers(rows: DataFrame, register: DataFrame) -> DataFrame:
@@ -175,10 +205,10 @@ def repeated_numbers(rows: DataFrame, register: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, gone)
 
 
-def counters(done: DataFrame) -> DataFrame:
-    """One row: total, created, skipped, failed and the import's status."""
+def counters(done: DataFrame, *by: str) -> DataFrame:
+    """One row (for each value of ``by``): total, created, skipped, failed and the import's status."""
     n = lambda o: F.count_if(F.col("outcome") == o)
-    sums = done.agg(F.count("*").alias("total"), n("created").alias("created"), n("skipped").alias("skipped"), n("failed").alias("failed"))
+    sums = done.groupBy(*by).agg(F.count("*").alias("total"), n("created").alias("created"), n("skipped").alias("skipped"), n("failed").alias("failed"))
     return sums.withColumn("status", F.when((F.col("failed") > 0) | (F.col("skipped") > 0), "PARTIAL").otherwise("COMPLETED"))
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import csv
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rollkeep.plans.schema import Schema
-from rollkeep.sources.delimited import plan_headers, read_lines, read_rows
+from rollkeep.sources.delimited import import_files
+from rollkeep.sources.scratch import materialize
 
 
 def first_uploads(stream: DataFrame, within: str = "48 hours") -> DataFrame:
@@ -66,30 +65,33 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 
 
-def import_folder(spark: SparkSession, folder: str, schema: Schema, sink: str, checkpoint: str, at_once: int = 16) -> None:
+def import_folder(spark: SparkSession, folder: str, schema: Schema, sink: str, checkpoint: str, at_once: int = 1000, register: Callable[[SparkSession], DataFrame] | None = None, on_duplicate: str = "skip", refuse: bool = True) -> None:
     """Import the delimited files of a folder as they arrive; a restart goes on where it stopped.
 
-    Each file is an import of its own, with its own encoding, delimiter and headings, and
-    its rows are numbered as a spreadsheet numbers them. Rows go to ``sink``/rows and a row
-    of counters to ``sink``/files, both in a folder by the hash of the file's path, so that
-    a file that is read again replaces what it gave before. At most ``at_once`` files are
-    taken together; their paths are all that comes to the driver. Files without bytes are
-    passed over.
+    The files of a batch are read as one table, each an import of its own with its own
+    encoding, delimiter and headings (see :func:`import_files`). Rows go to ``sink``/rows and a row
+    of counters for each file to ``sink``/files, both in folders by the hash of the file's path, which
+    a batch replaces, so that a batch that is delivered again gives the same result. A row is
+    skipped for a number in the ``register`` or of a row created from another file before. The paths
+    of at most ``at_once`` files are all that comes to the driver. Files without bytes are passed over.
     """
     form = "path string, modificationTime timestamp, length long, content binary"
     paths = spark.readStream.format("binaryFile").schema(form).option("maxFilesPerTrigger", at_once).load(folder).select("path")
+    row_schema = "path string, row_number long, key string, fields string, too_many boolean, too_few boolean, oversized boolean, outcome string, code string, import string"
 
     def write(batch: DataFrame, epoch: int) -> None:
-        for path in [r["path"] for r in batch.collect()]:
-            lines, delimiter = read_lines(batch.sparkSession, path)
-            first = lines.where("row_number = 1").first()
-            plan = plan_headers(schema, next(csv.reader([first["line"]], delimiter=delimiter)) if first else [])
-            name = f"import={hashlib.sha256(path.encode()).hexdigest()}"
-            rows = read_rows(lines, plan, delimiter).select("row_number", F.to_json("fields").alias("fields"), "too_many", "too_few", "oversized")
-            rows.write.mode("overwrite").parquet(f"{sink}/rows/{name}")
-            done = batch.sparkSession.read.schema(rows.schema).parquet(f"{sink}/rows/{name}")
-            sums = done.agg(F.count("*").alias("total"), F.count_if("too_many").alias("too_many"), F.count_if("too_few").alias("too_few"))
-            told = [F.array(*[F.lit(x) for x in names]).cast("array<string>").alias(kind) for kind, names in (("unknown", plan.unknown), ("repeated", plan.repeated), ("missing", plan.missing))]
-            sums.select(F.lit(path).alias("path"), "total", "too_many", "too_few", *told).write.mode("overwrite").parquet(f"{sink}/files/{name}")
-
+        here = batch.sparkSession
+        found = [r["path"] for r in batch.collect()]
+        if not found:
+            return
+        own = F.sha2("path", 256).alias("import")
+        mine = here.createDataFrame([(p,) for p in found], "path string").select(own)
+        known = here.read.schema(row_schema).parquet(f"{sink}/rows").where("outcome = 'created'").join(mine, "import", "left_anti").select(F.col("key").alias("number_key"))
+        known = known if register is None else known.unionByName(register(here).select("number_key"))
+        rows, files = import_files(here, found, schema, materialize(known), on_duplicate, refuse)
+        out = rows.withColumn("fields", F.to_json("fields"))
+        for name, table in (("rows", out), ("files", files)):
+            table.select("*", own).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("import").parquet(f"{sink}/{name}")
+
+    spark.createDataFrame([], row_schema).write.mode("append").partitionBy("import").parquet(f"{sink}/rows")  # so that the first batch finds the table
     paths.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -115,7 +115,7 @@ def test_import_folder(spark, tmp_path):
     (folder / "b.csv").write_text("Certificate number,note\nB-1,x\n")
     (folder / "empty.csv").write_text("")  # Spark passes over files without bytes
     (folder / "head.csv").write_text("Full name\n")
-    go = lambda: streaming.import_folder(spark, str(folder), SCHEMA, str(tmp_path / "out"), str(tmp_path / "cp"))
+    go = lambda: streaming.import_folder(spark, str(folder), SCHEMA, str(tmp_path / "out"), str(tmp_path / "cp"), refuse=False)
     go()
     rows = spark.read.parquet(str(tmp_path / "out/rows"))
     assert sorted((r["row_number"], r["fields"], r["too_many"]) for r in rows.collect()) == [
@@ -125,6 +125,21 @@ def test_import_folder(spark, tmp_path):
     ]
     told = {r["path"][-5:]: (r["total"], r["unknown"], r["missing"]) for r in spark.read.parquet(str(tmp_path / "out/files")).collect()}
     assert told == {"a.csv": (2, [], []), "b.csv": (1, ["note"], []), "d.csv": (0, [], ["number"])}
-    (folder / "c.csv").write_text("number\nC-1\n")
+    (folder / "c.csv").write_text("number\nC-1\nB 1\n")
     go()
-    assert spark.read.parquet(str(tmp_path / "out/rows")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "out/rows")).count() == 5
+    last = spark.read.parquet(str(tmp_path / "out/files")).where("path like '%c.csv'").first()
+    assert (last["total"], last["created"], last["skipped"], last["failed"], last["status"]) == (2, 1, 1, 0, "PARTIAL")
+
+
+def test_import_folder_delivers_a_batch_again(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text("number,full name\nA-1,\"two\nlines\"\nA-2,x\n")
+    held = lambda: sorted((r["row_number"], r["fields"], r["outcome"]) for r in spark.read.parquet(str(tmp_path / "out/rows")).collect())
+    go = lambda cp: streaming.import_folder(spark, str(folder), SCHEMA, str(tmp_path / "out"), str(tmp_path / cp), register=lambda s: s.createDataFrame([("a2",)], "number_key string"))
+    go("cp")
+    once = held()
+    assert once == [(2, '{"number":"A-1","name":"two\\nlines"}', "created"), (3, '{"number":"A-2","name":"x"}', "skipped")]
+    go("another")  # without the first checkpoint the batch comes again
+    assert held() == once
