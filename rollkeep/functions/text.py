@@ -27,6 +27,8 @@ TITLES = (
     "محترم محترمہ جناب سید سیدہ حاجی بیگم مرحوم مرحومہ"
 ).split()
 KEY_LENGTH = 200
+#: All blanks of Unicode.
+WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 @F.pandas_udf(StringType())

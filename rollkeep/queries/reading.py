@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rollkeep.functions import text as T
 from rollkeep.functions import values as V
-from rollkeep.operators import counts, extract, split, validate
+from rollkeep.operators import counts, extract, layout, split, validate
 from rollkeep.plans.schema import Field, Schema, changed_keys, draft, draft_problems, exploded, patched
 from rollkeep.queries import sqltext as S
 from rollkeep.sources.adapter import ENTRIES, PAGES, frame, view
@@ -141,6 +141,17 @@ def page_lines(spark: SparkSession, d: str) -> DataFrame:
     return extract.lines_of(as_pages(spark, d)).groupBy("document_id").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"), F.count("next_text").alias("followed"))
 
 
+def page_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Messages set in rows of six words in two columns, English, Urdu and numbers mixed."""
+    words = frame(spark, d, "SELECT conv_id AS document_id, turn AS page_number, posexplode(filter(split(text, '[ \\\\t\\\\n]+'), w -> w <> '')) AS (k, word) FROM {conversations}")
+    row, slot = F.floor(F.col("k") / 6), F.col("k") % 6
+    urdu = F.when((F.col("k") + F.col("page_number")) % 5 == 0, "نام").when((F.col("k") + F.col("page_number")) % 5 == 3, "علی").when((F.col("k") + F.col("page_number")) % 5 == 4, F.col("k").cast("string"))
+    top = (row * 20 + F.floor(row / 11) * 40 + F.col("k") * 7 % 3).cast("double")
+    left = (slot * 40 + F.when(slot >= 3, 60).otherwise(0)).cast("double")
+    placed = words.select("document_id", "page_number", F.coalesce(urdu, "word").alias("text"), left.alias("x0"), top.alias("y0"), (left + 30).alias("x1"), (top + 10).alias("y1"))
+    return layout.lines(placed)
+
+
 def labelled_fields(spark: SparkSession, d: str) -> DataFrame:
     lines = extract.lines_of(as_pages(spark, d))
     return extract.labelled(lines, {"licence": ("licensed under the", "licensed under"), "licence_version": ("license, version",)}, {"licence_version": "number"}).select("document_id", "field", "value", "confidence")
@@ -242,7 +253,7 @@ def accuracy_scoreboard(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "date_normalise": date_normalise, "time_normalise": time_normalise, "cnic_normalise": cnic_normalise, "number_normalise": number_normalise, "sex_normalise": sex_normalise, "age_years": age_years,
     "language_tag": language_tag, "normal_text": normal_text, "name_keys": name_keys, "shared_names": shared_names, "redacted_documents": redacted_documents, "text_quality": text_quality,
-    "form_fingerprints": fingerprints, "page_lines": page_lines, "labelled_fields": labelled_fields, "extra_fields": extra_fields, "template_fields": template_fields, "learned_rules": learned_rules,
+    "form_fingerprints": fingerprints, "page_lines": page_lines, "page_layout": page_layout, "labelled_fields": labelled_fields, "extra_fields": extra_fields, "template_fields": template_fields, "learned_rules": learned_rules,
     "split_boundaries": boundaries, "page_range_join": page_range_join, "unit_renumber": unit_renumber, "classify_keywords": classify, "unit_reading": unit_reading, "ocr_selection": ocr_selection,
     "merge_layers": merge_layers, "verified_answers": verified_answers, "row_score_route": row_score_route, "row_issues": row_issues, "register_draft": register_draft, "dates_exploded": dates_exploded,
     "row_correction": row_correction, "schema_problems": schema_problems, "accuracy_scoreboard": accuracy_scoreboard,
@@ -352,6 +363,19 @@ SELECT doc_id AS document_id, CAST(n AS BIGINT) AS char_count, CASE WHEN v > 0 T
     "page_range_join": f"WITH {_SUMMARY} SELECT u.document_id, ordinal, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS chars FROM u JOIN p ON u.document_id = p.document_id AND p.page_number BETWEEN page_start AND page_end GROUP BY 1, 2",
     "unit_renumber": f"WITH p AS (SELECT * FROM {view(PAGES)} q WHERE role = 'user') SELECT document_id, row_number() OVER w - 1 AS ordinal, page_number AS page_start, coalesce(lead(page_number) OVER w - 1, max(page_number) OVER (PARTITION BY document_id)) AS page_end FROM p WINDOW w AS (PARTITION BY document_id ORDER BY page_number)",
     "classify_keywords": _class_sql(),
+    "page_layout": """WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ \\t\\n]+'), lambda x: x <> '') AS w FROM conversations),
+k AS (SELECT conv_id, turn, k, k // 6 AS r, k % 6 AS s, k % 6 // 3 AS c, CASE (k + turn) % 5 WHEN 0 THEN 'نام' WHEN 3 THEN 'علی' WHEN 4 THEN CAST(k AS VARCHAR) ELSE word END AS word
+ FROM (SELECT conv_id, turn, unnest(range(len(w))) AS k, unnest(w) AS word FROM w)),
+d AS (SELECT *, CASE WHEN regexp_matches(word, '\\p{L}') THEN word IN ('نام', 'علی') END AS kind, s * 40 + CASE WHEN s >= 3 THEN 60 ELSE 0 END AS x, r * 20 + r // 11 * 40 + k * 7 % 3 AS y FROM k),
+b AS (SELECT *, first_value(kind IGNORE NULLS) OVER (PARTITION BY conv_id, turn, r, c ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS base FROM d),
+q AS (SELECT *, CASE WHEN base THEN -s ELSE s END AS q FROM b),
+n AS (SELECT *, coalesce(last_value(kind IGNORE NULLS) OVER (PARTITION BY conv_id, turn, r, c ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), base) AS l,
+ coalesce(first_value(kind IGNORE NULLS) OVER (PARTITION BY conv_id, turn, r, c ORDER BY q ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), base) AS f FROM q),
+a AS (SELECT *, coalesce(coalesce(kind <> base, l <> base AND f <> base), false) AS against FROM n),
+t AS (SELECT *, CASE WHEN against <> lag(against) OVER (PARTITION BY conv_id, turn, r, c ORDER BY q) THEN 1 ELSE 0 END AS turned, coalesce(min(base) OVER (PARTITION BY conv_id, turn, r), false) AS leftwards FROM a),
+i AS (SELECT *, sum(turned) OVER (PARTITION BY conv_id, turn, r, c ORDER BY q) AS stretch FROM t)
+SELECT conv_id AS document_id, turn AS page_number, r AS line, r // 11 AS block, string_agg(word, ' ' ORDER BY CASE WHEN leftwards THEN -c ELSE c END, stretch, CASE WHEN against THEN -q ELSE q END) AS text,
+ CAST(min(x) AS DOUBLE) AS x0, CAST(min(y) AS DOUBLE) AS y0, CAST(max(x) + 30 AS DOUBLE) AS x1, CAST(max(y) + 10 AS DOUBLE) AS y1 FROM i GROUP BY conv_id, turn, r""",
     "unit_reading": "SELECT conv_id AS unit_id, round(avg(CASE WHEN turn % 3 = 0 THEN NULL ELSE length(text) * 1.0::DOUBLE END), 2) AS confidence, bool_or(turn = 5) AS ocr_used, arg_min(role, turn) FILTER (turn <> 0) AS language FROM conversations GROUP BY 1",
     "ocr_selection": "WITH a AS (SELECT user_id, event_id AS attempt, value + 40 * (event_id % 10 / 10.0::DOUBLE) AS w FROM events) SELECT user_id, attempt, round(w, 4) AS worth FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY w DESC, attempt) AS r FROM a) WHERE r = 1",
     "merge_layers": "WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_returnflag || l_linenumber END AS a, round(l_tax * 10, 4) AS ca, l_linestatus || l_partkey AS b, round(l_discount * 10, 4) AS cb FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN a = '' OR cb > ca + 0.2::DOUBLE THEN b ELSE a END AS value, CASE WHEN a = '' OR cb > ca + 0.2::DOUBLE THEN cb ELSE ca END AS confidence FROM x",

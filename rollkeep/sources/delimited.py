@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollkeep.functions.text import number_key
+from rollkeep.functions.text import WHITESPACE, number_key
 from rollkeep.plans.schema import Schema
 from rollkeep.sources.records import detect_delimiter, read_records, sniff_encoding
 from rollkeep.sources.scratch import checkpointed, materialize
@@ -21,7 +21,6 @@ __all__ = ["HeaderPlan", "counters", "detect_delimiter", "first_errors", "import
 LONGEST_CELL, ERRORS_KEPT = 4000, 10_000
 #: A template's second row begins with this; an import skips it.
 GUIDANCE = "#"
-WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 @dataclass(frozen=True)
