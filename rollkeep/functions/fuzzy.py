@@ -1,41 +1,83 @@
-"""Best-window similarity of a short text in a longer one, for damaged labels."""
+"""Likeness of a short text to the best window of a longer one, for damaged labels and titles.
+
+The likeness of two texts is twice the characters they share in order over the characters of
+both, times 100. Windows are as long as the shorter text; at the ends of the longer one
+they may be cut, as where a scan has lost the first letters of a label.
+"""
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from math import ceil
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql import types as T
 
 #: Shorter labels are only found undamaged.
 SHORTEST = 3
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence."""
-    row = np.zeros(len(b) + 1, dtype=np.int64)
-    for x in a:
-        step = np.where(b == x, row[:-1] + 1, row[1:])
-        row[1:] = np.maximum.accumulate(step)
-    return int(row[-1])
+def _masks(text: str) -> dict[str, int]:
+    """For each character the places where it stands, as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def _common(masks: dict[str, int], n: int, window: str) -> int:
+    """Length of the longest common subsequence of a text of n characters, given by its masks, and a window."""
+    left = full = (1 << n) - 1  # bits of places not yet used
+    for c in window:
+        met = left & masks.get(c, 0)
+        left = (left + met | left - met) & full
+    return n - left.bit_count()
+
+
+def _windows(n: int, text: str, letters: set[str]) -> Iterator[tuple[int, int]]:
+    """(start, end) of cut windows at the start, whole ones, and cut ones at the end.
+
+    Windows that end (at the end of the text: begin) with a character the other text doesn't hold are
+    left out: one that is moved or cut by a character is never less like it.
+    """
+    for end in range(1, n):
+        if text[end - 1] in letters:
+            yield 0, end
+    for start in range(len(text) - n):
+        if text[start + n - 1] in letters:
+            yield start, start + n
+    for start in range(len(text) - n, len(text)):
+        if text[start] in letters:
+            yield start, len(text)
+
+
+def best_place(short: str, long: str, least: float = 0.0) -> tuple[int, int, float] | None:
+    """(start, end, likeness) of the first best window of the longer text; null under ``least`` or without a common character."""
+    n, masks = len(short), _masks(short)
+    best, place = least, None
+    for start, end in _windows(n, long, set(masks)):
+        whole = n + end - start
+        if 200.0 * min(n, end - start) / whole < best:
+            continue
+        likeness = 200.0 * _common(masks, n, long[start:end]) / whole
+        if likeness >= best and (place is None or likeness > place[2]):
+            best, place = likeness, (start, end, likeness)
+    return place
 
 
 def best_window(short: str, long: str) -> float:
-    """100 times the best share of matching characters over all windows as long as the shorter text."""
+    """100 times the likeness of the best window, whichever text is the shorter."""
     if len(short) > len(long):
         short, long = long, short
     if not short:
         return 100.0 if not long else 0.0
-    a, b = (np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in (short, long))
-    n, best = len(a), 0.0
-    for start in range(len(b) - n + 1):
-        best = max(best, 100.0 * _common(a, b[start : start + n]) / n)
-    return best
+    place = best_place(short, long)
+    return place[2] if place else 0.0
 
 
-@F.pandas_udf(DoubleType())
+@F.pandas_udf(T.DoubleType())
 def partial_ratio(short: pd.Series, long: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else best_window(a, b) for a, b in zip(short, long, strict=True)], dtype="float64")
 
@@ -44,34 +86,41 @@ def damaged_place(name: str, line: str, least: float) -> tuple[int, int, float]
     """(start, length, likeness from 0 to 1) of the first best window of a line that is at least so like a name.
 
     A line shorter than the name is compared with the name's windows and counts whole.
-    Windows whose characters alone can't reach the likeness aren't compared.
+    Texts whose characters alone can't reach the likeness aren't compared.
     """
     short, long = (name, line) if len(name) <= len(line) else (line, name)
     n = len(short)
-    if not n or sum((Counter(short) & Counter(long)).values()) * 100 < least * n:
+    # Of n characters and a window of m, at most min(n, m) and at most the shared ones stand in both.
+    shared = sum((Counter(short) & Counter(long)).values()) if n else 0
+    if not n or 200.0 * shared < least * (n + min(n, shared)):
         return None
-    a, b = (np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in (short, long))
-    shared = np.concatenate([[0], np.cumsum(np.isin(b, a))])
-    best, place = least, None
-    for start in np.flatnonzero((shared[n:] - shared[:-n]) * 100 >= least * n):
-        likeness = 100.0 * _common(a, b[start : start + n]) / n
-        if likeness >= best and (place is None or likeness > best):
-            best, place = likeness, int(start)
+    place = best_place(short, long, least)
     if place is None:
         return None
-    return (place, n, best / 100) if long is line else (0, len(line), best / 100)
+    return (place[0], place[1] - place[0], place[2] / 100) if long is line else (0, len(line), place[2] / 100)
 
 
-def damaged_labels(pairs: list[tuple[str, str]], least: float):
-    """Column function: array<struct<field, name, at, length, ratio>> of the names (field, lower-case name) that a lower-case line holds damaged only."""
+def lost_grams(n: int, least: float) -> int:
+    """How many pairs of neighbouring characters a text of n may lose at most in a window that is at least so like it.
+
+    A character that the window lacks takes two pairs at most, one that it adds parts one.
+    """
+    worst = 0
+    for m in range(1, n + 1):
+        common = ceil(least * (n + m) / 200 - 1e-9)
+        if common <= m:
+            worst = max(worst, 2 * (n - common) + (m - common))
+    return worst
+
 
-    @F.pandas_udf("array<struct<field: string, name: string, at: int, length: int, ratio: double>>")
-    def found(lines: pd.Series) -> pd.Series:
-        def of(line: str | None) -> list[dict]:
-            met = [(f, n, damaged_place(n, line, least)) for f, n in pairs if len(n) >= SHORTEST and n not in line] if line else []
-            return [{"field": f, "name": n, "at": p[0] + 1, "length": p[1], "ratio": p[2]} for f, n, p in met if p]
+def grams(text: str) -> list[str]:
+    """The different pairs of neighbouring characters."""
+    return sorted({text[i : i + 2] for i in range(len(text) - 1)})
 
-        some = {line: of(line) for line in lines.unique()}  # forms repeat their printed lines
-        return lines.map(some)
 
-    return found
+@F.pandas_udf(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("ratio", T.DoubleType())]))
+def placed(name: pd.Series, line: pd.Series, least: pd.Series) -> pd.DataFrame:
+    """Where a line holds a damaged name (at from 1), or nulls."""
+    found = [damaged_place(a, b, c) for a, b, c in zip(name, line, least, strict=True)]
+    rows = [(None, None, None) if p is None else (p[0] + 1, p[1], p[2]) for p in found]
+    return pd.DataFrame(rows, columns=["at", "length", "ratio"]).astype({"at": "Int32", "length": "Int32", "ratio": "float64"})

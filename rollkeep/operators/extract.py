@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rollkeep.functions.fuzzy import damaged_labels
+from rollkeep.operators.likeness import damaged_names
 
+FOUND = "array<struct<field:string,name:string,at:int,length:int,ratio:double>>"
 SEPARATORS = ":=.\\-–—"
 GENERIC = 7
 SAME_LINE, NEXT_LINE, PROSE = 1.0, 0.8, 0.85
@@ -51,6 +52,16 @@ def _other_script(name: str, names: tuple[str, ...]) -> list[str]:
     return [n for n in names if arabic(n) != arabic(name)]
 
 
+def damaged_by_line(low: DataFrame, pairs: list[tuple[str, str]], least: float) -> DataFrame:
+    """(_low, _damaged): for each different line the labels (field, name) that it holds damaged only."""
+    found = damaged_names(low, [name for _, name in pairs], least)
+    fields = {name: [f for f, n in pairs if n == name] for _, name in pairs}
+    of = F.map_from_entries(F.array(*[F.struct(F.lit(n), F.array(*[F.lit(f) for f in fs])) for n, fs in fields.items()]))
+    each = found.withColumn("field", F.explode(F.element_at(of, F.col("name"))))
+    # At most one for each label.
+    return each.groupBy(F.col("low").alias("_low")).agg(F.collect_list(F.struct("field", "name", "at", "length", "ratio")).cast(FOUND).alias("_damaged"))
+
+
 def labelled(lines: DataFrame, labels: dict[str, tuple[str, ...]], kinds: dict[str, str] | None = None, damaged: float | None = None) -> DataFrame:
     """(document_id, field, value, confidence, page_number, line): the best labelled value of each field.
 
@@ -71,10 +82,13 @@ def labelled(lines: DataFrame, labels: dict[str, tuple[str, ...]], kinds: dict[s
         at = F.length(low) - F.instr(F.reverse(low), name[::-1]) - len(name) + 2
         found.append(F.when(F.instr(low, name) > 0, F.struct(F.lit(field).alias("field"), F.lit(name).alias("name"), at.alias("at"), F.lit(len(name)).alias("length"), F.lit(1.0).alias("ratio"))))
     exact = F.filter(F.array(*found), lambda c: c.isNotNull())
-    every = exact if damaged is None else F.concat(exact, damaged_labels(pairs, damaged)(low))
+    every = exact
+    if damaged is not None:
+        lines = lines.join(damaged_by_line(lines.select(low.alias("low")), pairs, damaged), low == F.col("_low"), "left")
+        every = F.concat(exact, F.coalesce("_damaged", F.array().cast(FOUND)))
     own = lambda c: F.trim(F.regexp_replace(F.substring(low, F.lit(1), c["at"] - 1), f"{edge}+", "")) == ""
     held = lines.withColumn("labels", every)
-    met = held.select("*", F.inline(F.filter("labels", lambda c: (F.length(c["name"]) > GENERIC) | own(c)))).drop("labels")
+    met = held.select("*", F.inline(F.filter("labels", lambda c: (F.length(c["name"]) > GENERIC) | own(c))))
     met = met.withColumn("evidence", F.col("ratio") * F.length("name"))
     longest = F.row_number().over(W.partitionBy("document_id", "page_number", "line", "field").orderBy(F.desc("evidence"), "at", "name"))
     met = met.withColumn("place", longest).where("place = 1")
@@ -87,6 +101,16 @@ def labelled(lines: DataFrame, labels: dict[str, tuple[str, ...]], kinds: dict[s
             if others:
                 either = "|".join(re.escape(n) for n in sorted(others, key=len, reverse=True))
                 stepped = F.when((F.col("field") == field) & (F.col("name") == name.lower()), F.regexp_replace(rest, f"(?i)^{edge}{{0,{CHAIN}}}(?:{either})", "")).otherwise(stepped)
+    if damaged is not None:
+        # The other script's name may be damaged as well: then it isn't found by its spelling but among the line's labels.
+        other = F.map_from_entries(F.array(*[F.struct(F.lit(f"{field}\n{name.lower()}"), F.array(*[F.lit(n.lower()) for n in _other_script(name, names)]).cast("array<string>")) for field, names in labels.items() for name in dict.fromkeys(names)]))
+        end = F.col("at") + F.col("length")
+        between = lambda c: F.regexp_replace(F.substring(low, end, c["at"] - end), f"{edge}+", "") == ""
+        theirs = F.element_at(other, F.concat("field", F.lit("\n"), "name"))
+        beside = F.filter("labels", lambda c: (c["ratio"] < 1) & (c["field"] == F.col("field")) & F.array_contains(theirs, c["name"]) & (c["at"] >= end) & (c["at"] <= end + CHAIN) & between(c))
+        nearest = F.get(F.array_sort(F.transform(beside, lambda c: F.struct((-F.length(c["name"])).alias("longest"), (c["at"] + c["length"]).alias("end")))), F.lit(0))["end"]
+        met = met.withColumn("_next", nearest)
+        stepped = F.when((stepped == rest) & F.col("_next").isNotNull(), F.substring(F.col("text"), F.col("_next"), F.length("text"))).otherwise(stepped)
     met = met.withColumn("rest", stepped)
     separated = F.col("rest").rlike(f"^\\s*[{SEPARATORS}/|]") | (F.col("rest") != rest)
     under = F.lower("next_text")

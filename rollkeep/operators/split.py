@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rollkeep.functions.text import bound
+from rollkeep.operators.likeness import damaged_names
+
+#: The weight of a phrase that is a title, and how long a line must be to hold a damaged one.
+TITLE, SHORTEST_TITLE = 3.0, 8
 
 # Titles of certificates and labels of their numbers.
 HEADINGS = ("(?i)\\bcertificate\\s+of\\s+(birth|death|marriage)\\b", "(?i)\\b(birth|death|marriage|nikah)\\s+certificate\\b", "(?i)\\bnikah\\s*nama\\b", "(?i)\\bcertificate\\s+of\\s+registration\\s+of\\s+(birth|death|marriage)\\b", "سرٹیفکیٹ", "نکاح نامہ|نکاحنامہ")
@@ -111,23 +115,56 @@ def pages_of_units(units: DataFrame, pages: DataFrame) -> DataFrame:
     return unrolled.join(pages, ["document_id", "page_number"])
 
 
-def classify(text: Column, keywords: dict[str, dict[str, float]] = KEYWORDS, strong: float = 10.0, margin: float = 1.5, most: float = 0.98) -> Column:
+def classify(text: Column, keywords: dict[str, dict[str, float]] = KEYWORDS, strong: float = 10.0, margin: float = 1.5, most: float = 0.98, title: Column | None = None) -> Column:
     """struct(type, confidence, top, second) by weighted phrases; those in the heading count twice.
 
-    The first type in order wins a tie; without a clear winner the type is OTHER.
+    The first type in order wins a tie; without a clear winner the type is OTHER. ``title`` may give the
+    struct(type, name) of a title that the heading holds damaged; it counts if the text doesn't hold it as it is.
     """
-    return bound(F.lower(text), lambda low: _classified(low, keywords, strong, margin, most))
+    return bound(F.lower(text), lambda low: _classified(low, keywords, strong, margin, most, title))
 
 
-def _classified(low: Column, keywords: dict[str, dict[str, float]], strong: float, margin: float, most: float) -> Column:
+def title_lines(low: Column) -> Column:
+    """The top third of a text's lines, six at most; none of a text of under three lines."""
     rows = lines(low)
-    top_lines = F.array_join(F.slice(rows, F.lit(1), F.greatest(F.lit(1), F.least(F.lit(6), F.floor(F.size(rows) / 3).cast("int")))), "\n")
-    heading = F.when(F.size(rows) >= 3, top_lines).otherwise("")
+    return F.when(F.size(rows) >= 3, F.slice(rows, F.lit(1), F.greatest(F.lit(1), F.least(F.lit(6), F.floor(F.size(rows) / 3).cast("int"))))).otherwise(F.array().cast("array<string>"))
+
+
+def damaged_titles(headings: DataFrame, keywords: dict[str, dict[str, float]], least: float) -> DataFrame:
+    """(_heading, _title) of different headings (heading: an array of lines): the struct(type, name) of the title most like one of their lines.
+
+    Titles are the phrases of full weight. Of equals the one of the earlier line, then of the earlier type
+    and phrase counts; lines of under eight characters don't.
+    """
+    titles = [(kind, name) for kind, phrases in keywords.items() for name, weight in phrases.items() if weight >= TITLE]
+    rows = headings.select("heading").distinct().select("heading", F.posexplode("heading").alias("_at", "_line")).withColumn("low", F.trim("_line")).where(F.length("low") >= SHORTEST_TITLE)
+    place = F.map_from_entries(F.array(*[F.struct(F.lit(n), F.lit(min(i for i, t in enumerate(titles) if t[1] == n))) for n in dict.fromkeys(n for _, n in titles)]))
+    like = damaged_names(rows.select("low"), [n for _, n in titles], least, exact=True)
+    best = rows.join(like, "low").groupBy("heading").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "_at", F.element_at(place, F.col("name")).alias("t"))).alias("_b"))
+    named = F.element_at(F.array(*[F.struct(F.lit(k).alias("type"), F.lit(n).alias("name")) for k, n in titles]), F.col("_b.t") + 1)
+    return best.select(F.col("heading").alias("_heading"), named.alias("_title"))
+
+
+def classified(pages: DataFrame, keywords: dict[str, dict[str, float]] = KEYWORDS, damaged: float = 85.0) -> DataFrame:
+    """Adds to rows with a ``text`` the struct ``class`` of :func:`classify`, with titles as poor scans leave them.
+
+    What a heading holds is worked out once for all texts that share it.
+    """
+    top = pages.withColumn("_top", title_lines(F.lower("text")))
+    titled = damaged_titles(top.select(F.col("_top").alias("heading")), keywords, damaged)
+    joined = top.join(titled, F.col("_top") == F.col("_heading"), "left")
+    return joined.withColumn("class", classify(F.col("text"), keywords, title=F.col("_title"))).select(*pages.columns, "class")
+
+
+def _classified(low: Column, keywords: dict[str, dict[str, float]], strong: float, margin: float, most: float, title: Column | None) -> Column:
+    heading = F.array_join(title_lines(low), "\n")
 
     def scores(head: Column) -> Column:
         found = []
         for rank, (kind, phrases) in enumerate(keywords.items()):
             total = sum((F.when(F.instr(head, p) > 0, 2 * w).when(F.instr(low, p) > 0, w).otherwise(0.0) for p, w in phrases.items()), F.lit(0.0))
+            if title is not None:
+                total = total + F.when((title["type"] == kind) & ~F.contains(low, title["name"]), 2 * TITLE).otherwise(0.0)
             found.append(F.struct(total.alias("score"), F.lit(-rank).alias("rank"), F.lit(kind).alias("type")))
         return F.reverse(F.array_sort(F.array(*found)))
 

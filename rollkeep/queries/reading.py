@@ -152,9 +152,24 @@ def page_layout(spark: SparkSession, d: str) -> DataFrame:
     return layout.lines(placed)
 
 
+#: Documents with licence lines as poor scans leave them.
+SCANNED = """SELECT doc_id AS document_id, 1 AS page_number, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, 'Licensed under', 'Licens3d undor') WHEN 2 THEN replace(replace(text, 'Licensed', 'icensed'), 'License, Version', 'Licence. Versi0n') ELSE replace(text, 'the', 'thc') END
+ || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Licensed under the' || chr(10) || 'terms of ' || source WHEN doc_id % 3 = 1 THEN chr(10) || 'anguage - ' || lang ELSE '' END AS text FROM {documents}"""
+LABELS = {"licence": ("licensed under the", "licensed under"), "licence_version": ("license, version",), "language": ("language",), "article": ("the",)}
+
+
 def labelled_fields(spark: SparkSession, d: str) -> DataFrame:
-    lines = extract.lines_of(as_pages(spark, d))
-    return extract.labelled(lines, {"licence": ("licensed under the", "licensed under"), "licence_version": ("license, version",)}, {"licence_version": "number"}).select("document_id", "field", "value", "confidence")
+    lines = extract.lines_of(frame(spark, d, SCANNED))
+    return extract.labelled(lines, LABELS, {"licence_version": "number"}, damaged=85.0).select("document_id", "field", "value", "confidence")
+
+
+#: Documents under titles as poor scans leave them.
+TITLED = """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Certificate of Birth' WHEN 1 THEN 'Office 12' || chr(10) || 'Certif1cate of Birth' WHEN 2 THEN 'Cert1ficate 0f Deat' WHEN 3 THEN 'ertificate of Marriage No. 7' WHEN 4 THEN 'NIKAH NAMA, cause of death' WHEN 5 THEN 'Certificate' ELSE '' END
+ || chr(10) || coalesce(text, '') AS text FROM {documents}"""
+
+
+def classify_titles(spark: SparkSession, d: str) -> DataFrame:
+    return split.classified(frame(spark, d, TITLED)).select("doc_id", "class.*")
 
 
 def extra_fields(spark: SparkSession, d: str) -> DataFrame:
@@ -253,7 +268,7 @@ def accuracy_scoreboard(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "date_normalise": date_normalise, "time_normalise": time_normalise, "cnic_normalise": cnic_normalise, "number_normalise": number_normalise, "sex_normalise": sex_normalise, "age_years": age_years,
     "language_tag": language_tag, "normal_text": normal_text, "name_keys": name_keys, "shared_names": shared_names, "redacted_documents": redacted_documents, "text_quality": text_quality,
-    "form_fingerprints": fingerprints, "page_lines": page_lines, "page_layout": page_layout, "labelled_fields": labelled_fields, "extra_fields": extra_fields, "template_fields": template_fields, "learned_rules": learned_rules,
+    "form_fingerprints": fingerprints, "page_lines": page_lines, "page_layout": page_layout, "labelled_fields": labelled_fields, "classify_titles": classify_titles, "extra_fields": extra_fields, "template_fields": template_fields, "learned_rules": learned_rules,
     "split_boundaries": boundaries, "page_range_join": page_range_join, "unit_renumber": unit_renumber, "classify_keywords": classify, "unit_reading": unit_reading, "ocr_selection": ocr_selection,
     "merge_layers": merge_layers, "verified_answers": verified_answers, "row_score_route": row_score_route, "row_issues": row_issues, "register_draft": register_draft, "dates_exploded": dates_exploded,
     "row_correction": row_correction, "schema_problems": schema_problems, "accuracy_scoreboard": accuracy_scoreboard,
@@ -301,19 +316,47 @@ _WEIGHTED = " + ".join(f"CASE WHEN {n} <> '' THEN {3.0 if f.required else 1.0}::
 _TOTAL = sum(3.0 if f.required else 1.0 for f in SCHEMA.fields)
 
 
-def _class_sql() -> str:
-    scores = []
-    for kind, phrases in WORDS.items():
-        scores.append(" + ".join(f"CASE WHEN contains(head, '{p}') THEN {2 * w} WHEN contains(low, '{p}') THEN {w} ELSE 0.0 END" for p, w in phrases.items()))
-    structs = ", ".join(f"{{'score': CAST({s} AS DOUBLE), 'rank': {-i}, 'type': '{k}'}}" for i, (k, s) in enumerate(zip(WORDS, scores, strict=True)))
-    return f"""WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS low, {_LINES.format("lower(coalesce(text, ''))")} AS l FROM documents),
-h AS (SELECT doc_id, low, CASE WHEN len(l) >= 3 THEN array_to_string(l[1:CAST(greatest(1, least(6, len(l) // 3)) AS INT)], chr(10)) ELSE '' END AS head FROM t),
-s AS (SELECT doc_id, list_reverse_sort([{structs}]) AS r FROM h),
+def _class_sql(words: dict[str, dict[str, float]] = WORDS, source: str = "(SELECT doc_id, coalesce(text, '') AS text FROM documents)", damaged: bool = False) -> str:
+    """Classes by weighted phrases; with ``damaged`` also by titles that the heading's lines are like."""
+    scores, titles = [], [(k, p) for k, phrases in words.items() for p, w in phrases.items() if w >= split.TITLE]
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    for kind, phrases in words.items():
+        added = f" + CASE WHEN kind = '{kind}' AND NOT contains(low, name) THEN 6.0 ELSE 0.0 END" if damaged else ""
+        scores.append(" + ".join(f"CASE WHEN contains(head, {q(p)}) THEN {2 * w} WHEN contains(low, {q(p)}) THEN {w} ELSE 0.0 END" for p, w in phrases.items()) + added)
+    structs = ", ".join(f"{{'score': CAST({s} AS DOUBLE), 'rank': {-i}, 'type': '{k}'}}" for i, (k, s) in enumerate(zip(words, scores, strict=True)))
+    named = ", ".join(f"({i}, '{k}', {q(p)})" for i, (k, p) in enumerate(titles))
+    like = f"""tl AS (SELECT doc_id, unnest(range(len(hl))) AS pos, trim(unnest(hl), ' ') AS low FROM h WHERE head <> ''), tw AS (SELECT * FROM tl WHERE length(low) >= 8),
+{S.likeness("tw", [p for _, p in titles], 85)},
+tn AS (SELECT * FROM (VALUES {named}) t(i, kind, name)), tb AS (SELECT doc_id, kind, name, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN contains(low, name) THEN 1 ELSE ratio END DESC, tw.pos, i) AS place FROM tw JOIN lk USING (low) JOIN tn USING (name)),
+hh AS (SELECT h.*, kind, name FROM h LEFT JOIN (SELECT * FROM tb WHERE place = 1) USING (doc_id)),""" if damaged else "hh AS (SELECT * FROM h),"
+    return f"""WITH t AS (SELECT doc_id, lower(text) AS low, {_LINES.format("lower(text)")} AS l FROM {source}),
+h AS (SELECT *, array_to_string(hl, chr(10)) AS head FROM (SELECT doc_id, low, CASE WHEN len(l) >= 3 THEN l[1:CAST(greatest(1, least(6, len(l) // 3)) AS INT)] ELSE [] END AS hl FROM t)),
+{like}
+s AS (SELECT doc_id, list_reverse_sort([{structs}]) AS r FROM hh),
 x AS (SELECT doc_id, r[1] AS a, r[2] AS b FROM s)
 SELECT doc_id, CASE WHEN a.score > 0 AND a.score - b.score >= 1.5 THEN a.type ELSE 'OTHER' END AS type,
  CASE WHEN a.score > 0 AND a.score - b.score >= 1.5 THEN least(0.98, round(least(1.0, a.score / 10.0) * (2 * a.score / (a.score + b.score) - 1), 4)) ELSE 0.0 END AS confidence, a.score AS top, b.score AS second FROM x"""
 
 
+def _labelled_sql() -> str:
+    """Labelled values: the label that explains most of a line, at its last place or most like; the rest of the line or the next one; the best reading of each field."""
+    held = ", ".join(f"('{f}', '{n}', {len(n)})" for f, names in LABELS.items() for n in names)
+    sep, under = ":=.\\-–—", " OR ".join(f"contains(lower(next_text), '{n}')" for names in LABELS.values() for n in names)
+    tidy = lambda x: f"regexp_replace(regexp_replace(regexp_replace({x}, '^[\\s{sep}/|]+', ''), '[\\s{sep}/|]+$', ''), '^(?:[^0-9\\s]\\s+)+', '')"
+    return f"""WITH p AS (SELECT document_id, {_LINES.format("text")} AS l FROM {view(SCANNED)} s),
+t AS (SELECT document_id, line, l[line + 1] AS text, l[line + 2] AS next_text, lower(l[line + 1]) AS low FROM (SELECT document_id, l, unnest(range(len(l))) AS line FROM p)),
+{S.likeness("t", [n for names in LABELS.values() for n in names], 85)},
+f AS (SELECT * FROM (VALUES {held}) t(field, name, n)),
+m AS (SELECT t.*, field, name, n, length(low) - position(reverse(name) IN reverse(low)) - n + 2 AS pos, n AS length, 1.0::DOUBLE AS ratio FROM t, f WHERE contains(low, name)
+ UNION ALL SELECT t.*, field, f.name, n, pos, length, ratio FROM t JOIN lk ON t.low = lk.low JOIN f ON f.name = lk.name WHERE NOT contains(t.low, f.name)),
+o AS (SELECT *, row_number() OVER (PARTITION BY document_id, line, field ORDER BY ratio * n DESC, pos, name) AS place FROM m WHERE n > 7 OR trim(regexp_replace(substr(low, 1, pos - 1), '[\\s{sep}/|()\\[\\]]+', '', 'g'), ' ') = ''),
+r AS (SELECT *, substr(text, pos + length) AS rest FROM o WHERE place = 1),
+v AS (SELECT *, {tidy("rest")} AS here, {tidy("coalesce(next_text, '')")} AS below FROM r),
+w AS (SELECT *, CASE WHEN here <> '' THEN here WHEN below <> '' AND NOT ({under}) THEN below END AS value, round(CASE WHEN here = '' THEN 0.8::DOUBLE WHEN regexp_matches(rest, '^\\s*[{sep}/|]') THEN 1.0::DOUBLE ELSE 0.85::DOUBLE END * ratio, 4) AS confidence FROM v),
+k AS (SELECT * REPLACE (CASE WHEN field = 'licence_version' THEN nullif(trim(regexp_extract(value, '([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), ' '), '') ELSE value END AS value) FROM w)
+SELECT document_id, field, value, confidence FROM (SELECT *, row_number() OVER (PARTITION BY document_id, field ORDER BY ratio >= 1 DESC, ratio * n DESC, confidence DESC, line) AS best FROM k WHERE value IS NOT NULL) WHERE best = 1"""
+
+
 _SUMMARY = f"""p AS (SELECT document_id, page_number, {_LINES.format('text')} AS l, text FROM {view(PAGES)} q),
 hd AS (SELECT *, array_to_string(l[1:CAST(greatest(1, least(6, round_even(len(l) * 0.35, 0))) AS INT)], chr(10)) AS top FROM p),
 s AS (SELECT document_id, page_number, regexp_matches(top, '(?i)^[a-z]*th') AS heading,
@@ -363,6 +406,11 @@ SELECT doc_id AS document_id, CAST(n AS BIGINT) AS char_count, CASE WHEN v > 0 T
     "page_range_join": f"WITH {_SUMMARY} SELECT u.document_id, ordinal, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS chars FROM u JOIN p ON u.document_id = p.document_id AND p.page_number BETWEEN page_start AND page_end GROUP BY 1, 2",
     "unit_renumber": f"WITH p AS (SELECT * FROM {view(PAGES)} q WHERE role = 'user') SELECT document_id, row_number() OVER w - 1 AS ordinal, page_number AS page_start, coalesce(lead(page_number) OVER w - 1, max(page_number) OVER (PARTITION BY document_id)) AS page_end FROM p WINDOW w AS (PARTITION BY document_id ORDER BY page_number)",
     "classify_keywords": _class_sql(),
+    "classify_titles": _class_sql(split.KEYWORDS, view(TITLED) + " titled", damaged=True),
+    "labelled_fields": _labelled_sql(),
+    "verified_answers": """WITH a AS (SELECT doc_id, lower(text) AS t, lower(array_to_string(string_split(text, ' ')[1:2], ' ') || CASE WHEN doc_id % 3 = 0 THEN ' zzz' ELSE '' END) AS a FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(a, '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS wa, list_filter(regexp_split_to_array(t, '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS wt FROM a)
+SELECT doc_id, contains(t, a) OR (len(wa) > 0 AND len(list_intersect(wa, wt)) = len(list_distinct(wa))) AS verified FROM w""",
     "page_layout": """WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ \\t\\n]+'), lambda x: x <> '') AS w FROM conversations),
 k AS (SELECT conv_id, turn, k, k // 6 AS r, k % 6 AS s, k % 6 // 3 AS c, CASE (k + turn) % 5 WHEN 0 THEN 'نام' WHEN 3 THEN 'علی' WHEN 4 THEN CAST(k AS VARCHAR) ELSE word END AS word
  FROM (SELECT conv_id, turn, unnest(range(len(w))) AS k, unnest(w) AS word FROM w)),

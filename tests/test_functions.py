@@ -64,7 +64,8 @@ def test_normal_form(spark):
 
 def test_best_window():
     assert best_window("date of birth", "the date of birth: 1 May") == 100.0
-    assert round(best_window("mother's name", "father's name"), 1) == 84.6
+    assert round(best_window("mother's name", "father's name: x"), 1) == 84.6
+    assert round(best_window("order", "rder: x"), 1) == 88.9
 
 
 def test_partial_ratio_column(spark):

@@ -44,3 +44,8 @@ def test_next_line_is_no_label(spark):
 
 def test_scans_are_less_sure(spark):
     assert read(spark, "Name of child: Omar", ocr=50.0)["child"] == ("Omar", 0.8)
+
+
+def test_other_script_is_stepped_over_when_damaged(spark):
+    assert read(spark, "Name of child / بچے کا نا۔ علی", damaged=85.0)["child"] == ("علی", 1.0)
+    assert read(spark, "Date f birth\n14-03-2018", damaged=85.0)["born"] == ("14-03-2018", round(0.8 * 22 / 24, 4))
