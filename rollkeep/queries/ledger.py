@@ -10,6 +10,8 @@ from rollkeep.functions.text import slug
 from rollkeep.operators import export, extract, publish, review
 from rollkeep.sources import delimited, readers
 from rollkeep.sources.adapter import ENTRIES, frame, view
+from rollkeep.sources.scratch import fresh_dir
+from rollkeep.streaming import stages
 
 LINKS = "SELECT DISTINCT l_orderkey AS certificate_id, l_orderkey * 10 + l_linenumber AS document_id, l_linenumber AS page_start, l_linenumber + 2 AS page_end, 'PRIMARY' AS state FROM {lineitem}"
 UNITS = "SELECT DISTINCT o_orderkey AS document_id, CAST(1 AS BIGINT) AS page_start, 1 + o_orderkey % 9 AS page_end FROM {orders}"
@@ -125,7 +127,24 @@ def table_cells(spark: SparkSession, d: str) -> DataFrame:
     return extract.applied_cells(cells, frame(spark, d, rules))
 
 
+def stage_states(spark: SparkSession, d: str) -> DataFrame:
+    """Documents through two stages whose deliveries overlap and come again late."""
+    docs = frame(spark, d, "SELECT doc_id AS document_id, CASE WHEN doc_id % 10 = 7 THEN '' ELSE text END AS text FROM {documents}")
+    words = F.size(F.split("text", " "))
+    read = stages.Stage("read", ("QUEUED",), "READ", lambda df: df.select("document_id", words.cast("long").alias("words"), F.when(F.col("text") == "", "no_text").alias("code")))
+    seal = stages.Stage("seal", ("READ",), "SEALED", lambda df: df.select("document_id", F.lit(0).cast("long").alias("words"), F.lit(None).cast("string").alias("code")))
+    root = fresh_dir(spark)
+    stages.register(docs, root, "all")
+    stages.advance(docs.where("document_id % 2 = 0"), "even", read, root)
+    stages.advance(docs, "all", read, root)
+    stages.advance(docs.where("document_id % 3 = 0"), "third", seal, root)
+    stages.advance(docs.where("document_id % 2 = 0"), "even", read, root)
+    gave = stages.results(spark, root, read, "document_id long, words long, code string").select("document_id", "words")
+    return stages.states(stages.moves(spark, root)).join(gave, "document_id", "left")
+
+
 QUERIES = {
+    "stage_states": stage_states,
     "import_second_numbers": import_second_numbers,
     "table_cells": table_cells,
     "units_split": units_split,
@@ -152,6 +171,9 @@ _TYPED = f"""t AS (SELECT q.*, coalesce(b.pinned_type, k.type_id) AS type_id FRO
 LEFT JOIN (SELECT class_key, min(type_id) AS type_id FROM {view(TYPES)} x WHERE active GROUP BY 1) k USING (class_key))"""
 
 SQL = {
+    "stage_states": """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 10 = 7 THEN '' ELSE text END AS text FROM documents)
+SELECT doc_id AS document_id, CASE WHEN text <> '' AND doc_id % 3 = 0 THEN 3 ELSE 2 END AS version, CASE WHEN text = '' THEN 'FAILED' WHEN doc_id % 3 = 0 THEN 'SEALED' ELSE 'READ' END AS status,
+ CASE WHEN text = '' THEN 'no_text' END AS code, len(string_split(text, ' ')) AS words FROM t""",
     "table_cells": """WITH l AS (SELECT l_orderkey AS document_id, l_linenumber AS row, min(l_partkey) AS part FROM lineitem GROUP BY 1, 2)
 SELECT document_id, 'total' AS field, 'no ' || part AS value, 0.95::DOUBLE AS confidence FROM l WHERE row = 2
 UNION ALL SELECT document_id, 'part', CAST(arg_min(part, row) AS VARCHAR), 0.95::DOUBLE FROM l GROUP BY 1 HAVING arg_min(part, row) <> 0""",

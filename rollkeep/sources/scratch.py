@@ -24,6 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
+def fresh_dir(spark: SparkSession) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/rollkeep-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` as a checkpoint, which survives lost executors."""
     shared_dir(df.sparkSession)
@@ -36,7 +41,6 @@ def materialize(df: DataFrame) -> DataFrame:
     Unlike a checkpoint the copy is columnar and compressed, its size is known to the
     planner, and later readers take only the columns they need.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/rollkeep-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, fresh_dir(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

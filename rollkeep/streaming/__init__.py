@@ -19,39 +19,103 @@ def first_uploads(stream: DataFrame, within: str = "48 hours") -> DataFrame:
     return stream.withWatermark("ts", within).dropDuplicatesWithinWatermark(["batch_id", "sha256"])
 
 
-def progress_changes(stream: DataFrame) -> DataFrame:
-    """(batch_id, done, total, percent) whenever a batch's percent changes; the state is two counters a batch."""
+def progress_changes(stream: DataFrame, idle: str = "1 hour") -> DataFrame:
+    """(batch_id, done, total, percent) whenever a batch's percent changes.
+
+    The state is two counters a batch, and goes when nothing of the batch has come for ``idle``; what comes later counts from nought.
+    """
+    wait = _milliseconds(idle)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         done, total, said = state.get if state.exists else (0, 0, -1.0)
         for f in frames:
             done, total = done + int(f["finished"].sum()), total + len(f)
         percent = round(100.0 * done / total, 1) if total else 0.0
         state.update((done, total, percent))
+        state.setTimeoutDuration(wait)
         if percent != said:
             yield pd.DataFrame({"batch_id": [key[0]], "done": [done], "total": [total], "percent": [percent]})
 
     kind = stream.schema["batch_id"].dataType.simpleString()
-    return stream.groupBy("batch_id").applyInPandasWithState(step, f"batch_id {kind}, done long, total long, percent double", "done long, total long, percent double", "update", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("batch_id").applyInPandasWithState(step, f"batch_id {kind}, done long, total long, percent double", "done long, total long, percent double", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
 
+def _milliseconds(length: str) -> int:
+    return int(pd.Timedelta(length).total_seconds() * 1000)
 
-def limited(stream: DataFrame, most: int = 5, seconds: int = 60) -> DataFrame:
-    """(user_id, ts, accepted): requests under a sliding limit; refused ones don't count. State is at most ``most`` times a user."""
+
+def limited(stream: DataFrame, most: int = 5, seconds: int = 60, late: str = "1 minute") -> DataFrame:
+    """(user_id, ts, accepted): requests under a sliding limit; refused ones don't count.
+
+    The requests of a user that come together are judged in the order of their times. State is at most ``most``
+    times a user and goes once the watermark, ``late`` behind the newest request, has passed the last by ``seconds``.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
-        for f in frames:
-            times, accepted = sorted(f["ts"].astype("int64") // 1000), []
-            for t in times:
-                held = [h for h in held if h > t - seconds * 1_000_000]
-                accepted.append(len(held) < most)
-                if accepted[-1]:
-                    held.append(t)
-            yield pd.DataFrame({"user_id": [key[0]] * len(times), "ts_us": times, "accepted": accepted})
+        times, accepted = sorted(t for f in frames for t in f["ts"].astype("datetime64[us]").astype("int64")), []
+        for t in times:
+            held = [h for h in held if h > t - seconds * 1_000_000]
+            accepted.append(len(held) < most)
+            if accepted[-1]:
+                held.append(t)
         state.update((held,))
+        state.setTimeoutTimestamp(max(max([*held, *times]) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]] * len(times), "ts_us": times, "accepted": accepted})
 
     kind = stream.schema["user_id"].dataType.simpleString()
-    return stream.groupBy("user_id").applyInPandasWithState(step, f"user_id {kind}, ts_us long, accepted boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
+    timed = stream.withWatermark("ts", late)
+    return timed.groupBy("user_id").applyInPandasWithState(step, f"user_id {kind}, ts_us long, accepted boolean", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def completions(stream: DataFrame, wait: str = "30 minutes", late: str = "10 minutes", keep: str = "1 hour") -> DataFrame:
+    """(document_id, status, pages, failed, missing): one row when a document's pages are all in, or time is up.
+
+    ``stream`` has document_id, page_number, pages (how many the document has), failed and ts; a page may
+    come more than once, its first row counts. The status is COMPLETED or COMPLETED_WITH_ERRORS as
+    :func:`rollkeep.operators.counts.closure` has it, or TIMED_OUT where the watermark, ``late`` behind the newest
+    page, has passed the document's newest page by ``wait``; ``missing`` counts the pages that haven't come by
+    then. Pages of a closed document change nothing for ``keep``; then its state goes. State is a page
+    number for each page seen of an open document, and a mark for a closed one.
+    """
+    open_for, closed_for = _milliseconds(wait), _milliseconds(keep)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, failed, total, newest, closed = state.get if state.exists else ([], 0, 0, 0, False)
+        now = state.getCurrentWatermarkMs()
+        out = None
+        if state.hasTimedOut:
+            if closed:
+                state.remove()
+                return
+            out = ("TIMED_OUT", len(seen), failed, max(total - len(seen), 0))
+        else:
+            seen = list(seen)
+            for f in frames:
+                for page, pages, bad, ts in zip(f["page_number"], f["pages"], f["failed"], f["ts"].astype("datetime64[ms]").astype("int64"), strict=True):
+                    newest, total = max(newest, int(ts)), max(total, int(pages))
+                    if not closed and int(page) not in seen:
+                        seen.append(int(page))
+                        failed += int(bool(bad))
+            if not closed and len(seen) >= total:
+                out = ("COMPLETED_WITH_ERRORS" if failed else "COMPLETED", len(seen), failed, 0)
+        closed = closed or out is not None
+        state.update(([] if closed else seen, failed, total, newest, closed))
+        state.setTimeoutTimestamp(max((max(newest, now) + closed_for) if closed else newest + open_for, now + 1))
+        if out:
+            yield pd.DataFrame([(key[0], *out)], columns=["document_id", "status", "pages", "failed", "missing"])
+
+    kind = stream.schema["document_id"].dataType.simpleString()
+    timed = stream.select("document_id", "page_number", "pages", "failed", "ts").withWatermark("ts", late)
+    return timed.groupBy("document_id").applyInPandasWithState(
+        step, f"document_id {kind}, status string, pages long, failed long, missing long", "seen array<long>, failed long, total long, newest long, closed boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def windowed(stream: DataFrame, length: str = "10 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:

@@ -92,8 +92,8 @@ def run(df, name, mode, spark, tmp_path):
 
 
 def test_limiter(spark, tmp_path):
-    s = stream_of(spark, tmp_path, [(1, t) for t in range(10)] + [(1, 61)], "user_id long, s long").select("user_id", F.timestamp_seconds("s").alias("ts"))
-    got = sorted((r["ts_us"] // 1_000_000, r["accepted"]) for r in run(streaming.limited(s, most=3), "limited", "append", spark, tmp_path))
+    s = stream_of(spark, tmp_path, [(1, t) for t in range(10)] + [(1, 61)], "user_id long, s long").select("user_id", F.timestamp_seconds(F.col("s") + 1000).alias("ts"))
+    got = sorted((r["ts_us"] // 1_000_000 - 1000, r["accepted"]) for r in run(streaming.limited(s, most=3), "limited", "append", spark, tmp_path))
     assert [t for t, ok in got if ok] == [0, 1, 2, 61]
 
 
@@ -143,3 +143,49 @@ def test_import_folder_delivers_a_batch_again(spark, tmp_path):
     assert once == [(2, '{"number":"A-1","name":"two\\nlines"}', "created"), (3, '{"number":"A-2","name":"x"}', "skipped")]
     go("another")  # without the first checkpoint the batch comes again
     assert held() == once
+
+
+def batches(spark, folder, parts, schema):
+    """A stream that gives one part at a time."""
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder / f"in/part={i}"))
+    return spark.readStream.schema(schema + ", part int").option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+
+
+def test_completions_equal_the_batch_closure(spark, tmp_path):
+    # document, page, pages, failed, second; the third document never gets its page 2, the fourth too late.
+    parts = [
+        [(1, 1, 2, False, 0), (2, 1, 1, True, 10), (3, 1, 2, False, 20), (1, 1, 2, False, 30), (4, 1, 2, True, 40)],
+        [(1, 2, 2, False, 60), (2, 1, 1, False, 70), (5, 1, 1, False, 80)],
+        [(6, 1, 1, False, 90_000)],
+        [(6, 1, 1, False, 90_010)],
+        [(7, 1, 1, False, 90_020)],
+    ]
+    s = batches(spark, tmp_path, parts, "document_id long, page_number long, pages long, failed boolean, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1000))
+    got = run(streaming.completions(s), "completions", "append", spark, tmp_path)
+    told = {r["document_id"]: (r["status"], r["pages"], r["failed"], r["missing"]) for r in got}
+    assert len(told) == len(got) and told == {1: ("COMPLETED", 2, 0, 0), 2: ("COMPLETED_WITH_ERRORS", 1, 1, 0), 3: ("TIMED_OUT", 1, 0, 1), 4: ("TIMED_OUT", 1, 1, 1), 5: ("COMPLETED", 1, 0, 0), 6: ("COMPLETED", 1, 0, 0), 7: ("COMPLETED", 1, 0, 0)}
+    from rollkeep.operators.counts import closure
+
+    pages = spark.createDataFrame([(d, bad, p < n and d in (3, 4)) for part in parts for d, p, n, bad, _ in part], "document_id long, failed boolean, open boolean")
+    in_one = {r["document_id"]: r["status"] for r in closure(pages.where("document_id <> 2 or failed"), "document_id", "open", "failed").collect()}
+    assert {d: s for d, (s, *_) in told.items() if s != "TIMED_OUT"} == {d: s for d, s in in_one.items() if s != "OPEN"}
+
+
+def test_closed_documents_ignore_late_pages_and_lose_their_state(spark, tmp_path):
+    hour = 3600
+    parts = [[(1, 1, 1, False, 0)], [(1, 2, 2, True, 60)], [(9, 1, 2, False, 3 * hour)], [(9, 1, 2, False, 3 * hour + 1)], [(9, 2, 2, False, 3 * hour + 2)]]
+    s = batches(spark, tmp_path, parts, "document_id long, page_number long, pages long, failed boolean, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1000))
+    q = streaming.completions(s).writeStream.outputMode("append").format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r["document_id"], r["status"]) for r in spark.table("late").collect()) == [(1, "COMPLETED"), (9, "COMPLETED")]
+    assert q.lastProgress.stateOperators[0].numRowsTotal == 1  # document 9's mark only
+
+
+def test_limiter_judges_by_time_and_forgets(spark, tmp_path):
+    parts = [[(1, 30), (1, 0), (1, 20), (1, 10)], [(2, 5000)], [(2, 5001)], [(2, 5002)]]
+    s = batches(spark, tmp_path, parts, "user_id long, s long").select("user_id", F.timestamp_seconds(F.col("s") + 1000).alias("ts"))
+    q = streaming.limited(s, most=2).writeStream.outputMode("append").format("memory").queryName("limits").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r["ts_us"] // 1_000_000 - 1000 for r in spark.table("limits").where("accepted and user_id = 1").collect()) == [0, 10]
+    assert q.lastProgress.stateOperators[0].numRowsTotal == 1
