@@ -36,10 +36,14 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def plain(text: Column) -> Column:
+    """Whether a text is ASCII: its normal form has the same words."""
+    return F.octet_length(text) == F.length(text)
+
+
 def nfkc(text: Column) -> Column:
     """Unicode normal form KC."""
-    plain = text.rlike("^[\\x00-\\x7F]*$")
-    return F.coalesce(F.when(plain, text), _nfkc(F.when(~plain, text)))
+    return F.coalesce(F.when(plain(text), text), _nfkc(F.when(~plain(text), text)))
 
 
 def fold_script(text: Column) -> Column:
@@ -72,13 +76,15 @@ def western_digits(text: Column) -> Column:
 
 def number_key(number: Column) -> Column:
     """What two printings of one certificate number share: its letters and digits."""
-    folded = F.lower(western_digits(normalize_text(F.coalesce(number, F.lit("")))))
+    held = F.coalesce(number, F.lit(""))
+    folded = F.lower(F.when(plain(held), held).otherwise(western_digits(normalize_text(held))))
     return F.substring(F.regexp_replace(folded, f"[^{KEY_LETTERS}]+", ""), 1, KEY_LENGTH)
 
 
 def name_tokens(name: Column) -> Column:
     """The words of a name without the titles in front."""
-    words = word_tokens(F.lower(western_digits(normalize_text(F.coalesce(name, F.lit(""))))))
+    held = F.coalesce(name, F.lit(""))
+    words = word_tokens(F.lower(F.when(plain(held), held).otherwise(western_digits(normalize_text(held)))))
     titles = F.array(*[F.lit(t) for t in TITLES])
     # Drop words while all so far are titles: keep from the first that isn't one.
     state = F.aggregate(

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rollkeep.functions.text import name_key, number_key, similarity, trigrams
+from rollkeep.sources.scratch import materialize
 
 SIMILAR = 0.35
 SHORTEST_PREFIX = 3
@@ -43,25 +44,35 @@ def filtered(entries: DataFrame, workspace: int | None = None, type_id: str | No
     return reduce(lambda df, t: df.where(t), tests, entries)
 
 
+def asked(spark: SparkSession, text: str) -> tuple[str, str]:
+    """The number key and the name key of what is searched for."""
+    keys = spark.range(1).select(number_key(F.lit(text)).alias("n"), name_key(F.lit(text)).alias("m")).first()  # of a literal
+    return keys["n"], keys["m"]
+
+
 def tiered(keyed: DataFrame, names: DataFrame, text: str) -> DataFrame:
     """The first tier that finds anything for ``text``: exact number, number prefix, exact name in any role, similar name.
 
     All tiers are judged in one pass; ``tier`` and ``similarity`` are added. The tier is
     chosen on all hits, so that a page past the end doesn't fall through to the next one.
+    Names are compared once for each different key. This reads the whole register; for repeated searches
+    keep a :mod:`rollkeep.operators.index`.
     """
-    spark = keyed.sparkSession
-    keys = spark.range(1).select(number_key(F.lit(text)).alias("n"), name_key(F.lit(text)).alias("m")).first()  # of a literal
-    n, m = keys["n"], keys["m"]
+    n, m = asked(keyed.sparkSession, text)
     exact = (F.col("number_key") == n) | (F.col("registration_key") == n) if n else F.lit(False)
     prefix = F.col("number_key").startswith(n) | F.col("registration_key").startswith(n) if len(n) >= SHORTEST_PREFIX else F.lit(False)
-    roles = names.where(name_key(F.col("value")) == m).select(F.col("certificate_id").alias("id")).distinct().withColumn("by_role", F.lit(True))
-    near = similarity(F.col("name_key"), F.lit(m)) if m else F.lit(0.0)
-    joined = keyed.join(roles, "id", "left").withColumn("similarity", near)
-    named = ((F.col("name_key") == m) | F.col("by_role")) if m else F.lit(False)
-    tier = F.when(exact, 1).when(prefix, 2).when(F.coalesce(named, F.lit(False)), 3).when(F.col("similarity") >= SIMILAR, 4)
-    hits = joined.withColumn("tier", tier).where("tier is not null").drop("by_role")
+    tier = F.when(exact, 1).when(prefix, 2)
+    if m:
+        roles = names.select("value", F.col("certificate_id").alias("id"))
+        meant = roles.select("value").distinct().where(name_key(F.col("value")) == m)
+        by_role = roles.join(meant, "value", "left_semi").select("id").distinct().withColumn("by_role", F.lit(True))
+        near = keyed.select(F.col("name_key").alias("_key")).distinct().withColumn("_near", similarity(F.col("_key"), F.lit(m))).where((F.col("_near") >= SIMILAR) & (F.col("_key") != ""))
+        keyed = keyed.join(by_role, "id", "left").join(near, F.col("name_key") == F.col("_key"), "left")
+        tier = tier.when((F.col("name_key") == m) | F.coalesce("by_role", F.lit(False)), 3).when(F.col("_near").isNotNull(), 4)
+    hits = materialize(keyed.withColumn("tier", tier).where("tier is not null").drop("by_role", "_key", "_near"))
     best = hits.agg(F.min("tier").alias("best"))
-    return hits.join(F.broadcast(best), F.col("tier") == F.col("best")).drop("best")  # one row
+    found = hits.join(F.broadcast(best), F.col("tier") == F.col("best")).drop("best")  # one row
+    return found.withColumn("similarity", similarity(F.col("name_key"), F.lit(m)) if m else F.lit(0.0))
 
 
 def page(hits: DataFrame, offset: int = 0, limit: int = 25, similar: bool = False) -> DataFrame:

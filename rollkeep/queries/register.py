@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollkeep.operators import counts, duplicates, search
+from rollkeep.operators import counts, duplicates, index, search
 from rollkeep.queries import sqltext as S
 from rollkeep.sources.adapter import ENTRIES, NAMES, frame, view
+from rollkeep.sources.scratch import fresh_dir
 
 KEYED = f"(SELECT *, {S.number_key('number')} AS number_key, {S.number_key('registration_number')} AS registration_key, {S.name_key('primary_name')} AS name_key FROM {view(ENTRIES)} e)"
 NAME, NEAR = "Mr Red  Widget", "redd widgets"
@@ -29,6 +30,17 @@ def _search(text: str):
     return run
 
 
+def search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The register put into a stored index in two appends, the second of which replaces a tenth of the first, and a similar name looked up."""
+    e, names, root = entries(spark, d), frame(spark, d, NAMES), fresh_dir(spark)
+    old = e.where("id % 10 = 0 or id % 3 = 0").withColumn("primary_name", F.when(F.col("id") % 10 == 0, F.lit("redd widget")).otherwise(F.col("primary_name")))
+    index.append(old, names.join(old.select(F.col("id").alias("certificate_id")), "certificate_id", "left_semi"), root, 0)
+    new = e.where("id % 10 = 0 or id % 3 <> 0")
+    index.append(new, names.join(new.select(F.col("id").alias("certificate_id")), "certificate_id", "left_semi"), root, 1)
+    hits = index.lookup(spark, root, NEAR, search.filtered)
+    return hits.select("id", "number", "primary_name", F.col("tier").cast("long").alias("tier"), F.round("similarity", 4).alias("similarity"))
+
+
 def _search_sql(text: str) -> str:
     n, m = S.number_key(f"'{text}'"), S.name_key(f"'{text}'")
     return f"""
@@ -193,6 +205,7 @@ QUERIES = {
     "search_number_prefix": _search("REG/NATION_3/1996"),
     "search_name_exact": _search(NAME),
     "search_name_similar": _search(NEAR),
+    "search_indexed": search_indexed,
     "search_filtered_browse": filtered_browse,
     "search_page_total": page_total,
     "keyset_page": keyset,
@@ -241,6 +254,7 @@ SQL = {
     "search_number_prefix": _search_sql("REG/NATION_3/1996"),
     "search_name_exact": _search_sql(NAME),
     "search_name_similar": _search_sql(NEAR),
+    "search_indexed": _search_sql(NEAR),
     "search_filtered_browse": f"SELECT id, event_date, primary_name FROM {E} e WHERE workspace_id = 1 AND status <> 'VOID' AND NOT needs_review AND event_date BETWEEN DATE '1995-01-01' AND DATE '1997-12-31' ORDER BY event_date DESC NULLS LAST, created_at DESC, id DESC LIMIT 30 OFFSET 20",
     "search_page_total": f"SELECT count(*) AS total FROM {E} e WHERE workspace_id = 2 AND status <> 'VOID' AND duplicate_status <> 'NONE'",
     "keyset_page": f"SELECT id, number FROM {E} e WHERE created_at > TIMESTAMP '1995-06-01' OR (created_at = TIMESTAMP '1995-06-01' AND id > 40) ORDER BY created_at, id LIMIT 51",
