@@ -34,8 +34,9 @@ from rollkeep.llm.words import LOWER, NOT_SPACE, VALUES, Block, blocks, mix, pre
 BYTES_A_SLOT, LEAST_SLOTS, MOST_SLOTS = 1, 16, 21
 #: Slots of a chunk in which counts are summed.
 CHUNK_BITS = 16
-#: States of the last short word and its longest length in bytes.
-STATES, SHORT = 32, 3
+#: Short words tell what kind of text (which language, say) a word stands in: their longest length in bytes, the hashed states they
+#: have, the classes these fall into by which follow each other, and how many before a word are asked.
+SHORT, STATES, CLASSES, ASKED = 3, 256, 12, 6
 #: Words whose counts are handed to every task: the most frequent ones, at most so many; other counts are joined. Those seen CODED times have a code, all others are spelled.
 FREQUENT, CODED = 1 << 19, 2
 #: Bits of a lane; tokens of a piece of a text, in which lanes are cut; tokens that are read together; bytes of a block of texts.
@@ -83,10 +84,27 @@ class Tokens:
 
     text: np.ndarray
     token: np.ndarray
-    state: np.ndarray
+    short: np.ndarray  # the state of a short word, 0 for other tokens
     word: np.ndarray  # number of the word in the block, -1 for END
     first: np.ndarray
 
+    def pairs(self) -> np.ndarray:
+        """(states, states): how often one short word is the next after another."""
+        at = np.flatnonzero(self.short)
+        near = self.text[at[1:]] == self.text[at[:-1]]
+        return np.bincount(self.short[at[:-1]][near] * STATES + self.short[at[1:]][near], minlength=STATES * STATES)
+
+    def kinds(self, classes: np.ndarray) -> np.ndarray:
+        """The class that most of the last short words before each token have, 0 where there are none."""
+        at = np.flatnonzero(self.short)
+        seen = np.zeros((len(at) + 1, CLASSES + 1), dtype=np.int32)
+        seen[np.arange(1, len(at) + 1), classes[self.short[at]]] = 1
+        total = np.cumsum(seen, axis=0, dtype=np.int32)
+        upto = np.searchsorted(at, np.arange(len(self.token)))
+        begin = np.searchsorted(at, self.first[:-1])[self.text] if len(self.token) else upto
+        votes = 2 * (total[upto] - total[np.maximum(upto - ASKED, begin)]) + seen[upto] * (upto > begin)[:, None]
+        return np.where(upto > begin, votes.argmax(axis=1), 0)
+
 
 def tokens(b: Block) -> Tokens:
     n = len(b.start) + b.n
@@ -99,13 +117,35 @@ def tokens(b: Block) -> Tokens:
     word[is_word] = np.arange(len(b.start))
     first = np.concatenate([[0], ends + 1])
     text = np.repeat(np.arange(b.n), np.diff(first))
-    # The state before each token: of the last short word before it in the text, 0 at the start.
-    short = np.zeros(n, dtype=bool)
-    short[is_word] = (b.end - b.start) <= SHORT
-    last = np.maximum.accumulate(np.where(short, np.arange(n), -1))
-    before = np.concatenate([[-1], last[:-1]]) if n else last
-    state = np.where(before >= first[text], (token.view(_U)[np.maximum(before, 0)] >> _U(40)).astype(np.int64) % (STATES - 1) + 1, 0)
-    return Tokens(text, token, state, word, first)
+    short = np.zeros(n, dtype=np.int64)
+    brief = token.view(_U)[is_word] >> _U(40)
+    short[is_word] = np.where((b.end - b.start) <= SHORT, brief.astype(np.int64) % (STATES - 1) + 1, 0)
+    return Tokens(text, token, short, word, first)
+
+
+def classes_of(pairs: np.ndarray) -> np.ndarray:
+    """A class from 1 for each state: the two groups that follow each other most, for their sizes, are joined until CLASSES are left or none do more than by chance."""
+    link = (pairs + pairs.T).astype(float)
+    mass, total = link.sum(axis=1), max(link.sum(), 1.0)
+    group, alive = np.arange(len(link)), mass > 0
+    link[~alive], link[:, ~alive] = 0, 0
+    while alive.sum() > 1:
+        many = alive.sum() > CLASSES
+        tie = link * total / np.maximum(np.outer(mass, mass), 1e-9)
+        np.fill_diagonal(tie, -1)
+        # Small groups first: their links say little, and joining them loses little.
+        tie *= np.where(np.minimum.outer(mass, mass) < total * 1e-3, 2.0, 1.0)
+        i, j = np.unravel_index(int(tie.argmax()), tie.shape)
+        if tie[i, j] <= (0 if many else 1):
+            break
+        i, j = min(i, j), max(i, j)
+        group[group == j] = i
+        link[i] += link[j]
+        link[:, i] += link[:, j]
+        link[j], link[:, j] = 0, 0
+        mass[i], mass[j], alive[j] = mass[i] + mass[j], 0, False
+    largest = sorted(np.flatnonzero(alive), key=lambda g: (-mass[g], g))[:CLASSES]
+    return np.array([largest.index(g) + 1 if g in largest else 0 for g in group])
 
 
 def _spellings(b: Block, word: np.ndarray) -> pa.Array:
@@ -143,9 +183,10 @@ class Counts:
     code_length: np.ndarray
     escape: int
     escape_length: int
+    classes: np.ndarray
 
     @staticmethod
-    def of(word: np.ndarray, count: np.ndarray, total: float) -> Counts:
+    def of(word: np.ndarray, count: np.ndarray, total: float, pairs: np.ndarray) -> Counts:
         """Codes by rank: a prefix code of the number of bits of the rank or an escape, then the rank's other bits."""
         rank = np.empty(len(word), dtype=np.int64)
         rank[np.lexsort((word, -count))] = np.arange(1, len(word) + 1)
@@ -155,7 +196,7 @@ class Counts:
         code, length = prefix_code(mass)
         bits = np.minimum(bits, len(mass) - 2)  # beyond are only words without a code
         known = np.where(coded, (code[bits] << bits) | (rank - (1 << bits)), code[-1])
-        return Counts(word, count, total, known, np.where(coded, length[bits] + bits, length[-1]), int(code[-1]), int(length[-1]))
+        return Counts(word, count, total, known, np.where(coded, length[bits] + bits, length[-1]), int(code[-1]), int(length[-1]), classes_of(pairs))
 
     def look_up(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each word is frequent, and its place."""
@@ -218,6 +259,7 @@ class Reading:
     last: np.ndarray
     run: np.ndarray
     spelled: np.ndarray
+    kind: np.ndarray
 
     @staticmethod
     def of(b: Block, counts: Counts) -> Reading:
@@ -225,7 +267,8 @@ class Reading:
         n = len(t.token)
         at, begin = np.arange(n), t.first[t.text]
         before = np.where(at > begin, np.concatenate([[0], t.token[:-1]])[:n], 1).view(_U)
-        contexts = _short([np.zeros(n, dtype=_U), mix(t.state.astype(_U) + _U(99)), before])
+        kind = t.kinds(counts.classes)
+        contexts = _short([np.zeros(n, dtype=_U), mix(kind.astype(_U) + _U(99)), before])
         # The token that followed the same token last time in the text.
         key = before * _M1 + t.text.astype(_U) * _M2
         order = np.argsort(key, kind="stable")
@@ -235,7 +278,7 @@ class Reading:
         misses = np.maximum.accumulate(np.where(hit, -1, at))
         run = np.where(at == begin, 0, np.concatenate([[0], (at - misses)[:-1]])) if n else at
         code, length = counts.codes(t.token)
-        return Reading(b, t, code, length, contexts, last, np.digitize(run, [1, 3, 8]), (code == counts.escape) & (length == counts.escape_length))
+        return Reading(b, t, code, length, contexts, last, np.digitize(run, [1, 3, 8]), (code == counts.escape) & (length == counts.escape_length), kind)
 
     def bits(self, lo: int, hi: int, slot_bits: int, guesses: bool) -> Bits:
         """The bits of the tokens lo..hi - 1."""
@@ -280,7 +323,7 @@ class Reading:
                 byte = np.zeros(len(data), dtype=_U)
                 byte[k:] = data[:-k]
                 recent = (recent << _U(8)) | np.where(place >= k, byte, _U(0))
-            state = mix(self.t.state[lo + spelled].astype(_U) + _U(99))
+            state = mix(self.kind[lo + spelled].astype(_U) + _U(99))
             contexts = _short([so_far, so_far ^ state[word], recent + (np.minimum(place, 3).astype(_U) << _U(56))])
             which, i = _runs(byte_bits)
             c, left = CODE[data[which]], byte_bits[which] - i
@@ -315,11 +358,16 @@ def parts(n: int) -> Iterator[tuple[int, int]]:
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, n): how often each word stands in some texts."""
+    """(pair, token, n): how often each word stands in some texts, and of each pair of states (token: their number) how often one follows the other."""
+    pairs = np.zeros(STATES * STATES, dtype=np.int64)
     for batch in batches:
         for b in blocks(batch.column("text"), NOT_SPACE, BLOCK):
-            token, n = np.unique(tokens(b).token, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], names=["token", "n"])
+            t = tokens(b)
+            token, n = np.unique(t.token, return_counts=True)
+            pairs += t.pairs()
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(token), dtype=bool)), pa.array(token), pa.array(n)], names=["pair", "token", "n"])
+    token = np.flatnonzero(pairs)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), dtype=bool)), pa.array(token), pa.array(pairs[token])], names=["pair", "token", "n"])
 
 
 def count_bits(counts_of, slot_bits: int):
@@ -608,12 +656,15 @@ def score_texts(docs: DataFrame) -> DataFrame:
     learned = docs.where(part != 1).select(text.alias("text"))
     size = learned.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slot_bits = min(max(int(size // BYTES_A_SLOT).bit_length(), LEAST_SLOTS), MOST_SLOTS)
-    vocabulary = materialize(learned.mapInArrow(count_words, "token long, n long").groupBy("token").agg(F.sum("n").alias("count")))
+    counted = materialize(learned.mapInArrow(count_words, "pair boolean, token long, n long").groupBy("pair", "token").agg(F.sum("n").alias("count")))
+    vocabulary, pairs = counted.where("not pair").drop("pair"), np.zeros(STATES * STATES, dtype=np.int64)
+    for r in counted.where("pair").collect():  # STATES squared at most
+        pairs[r["token"]] = r["count"]
     word, word_count, sizes = most_frequent(vocabulary, "token", "count")
     n_train, n_words = sum(r["n"] for r in sizes), sum(r["rows"] for r in sizes)
     total = float(n_train + 0.5 * (n_words + 1))
 
-    counts = spark.sparkContext.broadcast(Counts.of(word, word_count, total))  # of FREQUENT words at most
+    counts = spark.sparkContext.broadcast(Counts.of(word, word_count, total, pairs.reshape(STATES, STATES)))  # of FREQUENT words at most
     model = spark.sparkContext.broadcast(fit(learned, counts, slot_bits))  # of MOST_SLOTS at most
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"))
     form = f"row long, doc_id {doc_type}, n_tokens long, frequent long, frequent_base double, score double, bits_per_byte double, rare array<struct<token: long, times: long>>"
