@@ -3,17 +3,18 @@
 A text is a sequence of lower-cased words and one end, each spelled in bits: a frequent
 word by the bucket of its rank and its place there, any other by an escape and its bytes.
 Three predictors guess each bit from counts under hashed contexts: for frequent words none,
-the last short word (which tells the language), the last word; for spelled ones the word so
-far, the same with the last short word, the last three bytes. A fourth expects the word that followed the same word last time in this text, with
+the class of the short words before (which tells the language), the last word; for spelled ones the word so
+far, the same with that class, the last three bytes. A fourth expects the word that followed the same word last time in this text, with
 odds that adapt as the text is read. The stretched guesses are mixed by weights that a gate
 selects (the place in the code, how often the third context was seen, whether a word is
-expected); after each bit the weights follow the error. A last stage refines the
-mixed probability by what came of such probabilities before.
+expected); the weights follow the error of each bit, after each word code or byte. A last stage refines the
+mixed probability by what came of such probabilities before. Words of over ``LONGEST`` bytes are spelled in parts.
 
 Counts and starting weights come from all learned documents. The counts of words have no
 bound; the slots of the bit counts grow with the corpus up to ``MOST_SLOTS``.
-Texts are read in lanes of ``LANE`` bits, side by side: contexts and expected words reach
-over the whole text, what adapts (weights, odds, refinement) starts anew in each lane.
+Texts are read in lanes of ``LANE`` words, side by side: contexts and expected words reach
+over the whole text, what adapts (weights, odds, refinement) starts anew in each lane. What is read
+together is bounded in bits, so that memory doesn't grow with words or texts.
 """
 
 from __future__ import annotations
@@ -39,8 +40,10 @@ CHUNK_BITS = 16
 SHORT, STATES, CLASSES, ASKED = 3, 256, 12, 6
 #: Words whose counts are handed to every task: the most frequent ones, at most so many; other counts are joined. Those seen CODED times have a code, all others are spelled.
 FREQUENT, CODED = 1 << 19, 2
-#: Bits of a lane; tokens of a piece of a text, in which lanes are cut; tokens that are read together; bytes of a block of texts.
-LANE, PIECE, TOGETHER, BLOCK = 4096, 4096, 1 << 16, 2 << 20
+#: Tokens of a lane; bits and lanes that are read together; bytes of a block of texts; bytes after which a word goes on as another token.
+LANE, TOGETHER, LANES, BLOCK, LONGEST = 1024, 3 << 20, 4096, 2 << 20, 64
+#: What ends a spelled word, and a spelled part that goes on (no word holds a tab).
+ENDS, GOES_ON = 0x20, 0x09
 N_CONTEXTS = 3
 _U = np.uint64
 _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
@@ -66,12 +69,12 @@ def _codes() -> tuple[np.ndarray, np.ndarray]:
 
 CODE, CODE_LENGTH = _codes()
 #: Kinds of bits: the first of a word's code and all later ones; of spelled bytes by place in the word and in the byte's code.
-WORD_BITS, BYTE_PLACES, BYTE_BITS = 10, 4, 5
+WORD_BITS, BYTE_PLACES, BYTE_BITS = 32, 4, 11
 N_KINDS = WORD_BITS + BYTE_PLACES * BYTE_BITS
 #: Gates: kind of the bit, how often the third context was seen (never, once or twice, more often), and whether a word is expected.
 N_GATES = 3 * N_KINDS
-#: How fast the mixing weights and the refinement follow, and the share of the refined probability.
-RATE, REFINE, SHARE = 0.03, 0.02, 0.5
+#: How fast the mixing weights and the refinement follow, and the share of the refinement that is used.
+RATE, REFINE, SHARE = 0.03, 0.002, 1.0
 #: Refinement: steps of the stretched probability, from -REACH to REACH.
 STEPS, REACH = 24, 12.0
 #: Pseudo-counts of hits and misses of an expected word by the run of hits before, and starting weight of that guess.
@@ -97,13 +100,17 @@ class Tokens:
     def kinds(self, classes: np.ndarray) -> np.ndarray:
         """The class that most of the last short words before each token have, 0 where there are none."""
         at = np.flatnonzero(self.short)
-        seen = np.zeros((len(at) + 1, CLASSES + 1), dtype=np.int32)
-        seen[np.arange(1, len(at) + 1), classes[self.short[at]]] = 1
-        total = np.cumsum(seen, axis=0, dtype=np.int32)
+        mine = classes[self.short[at]]
         upto = np.searchsorted(at, np.arange(len(self.token)))
         begin = np.searchsorted(at, self.first[:-1])[self.text] if len(self.token) else upto
-        votes = 2 * (total[upto] - total[np.maximum(upto - ASKED, begin)]) + seen[upto] * (upto > begin)[:, None]
-        return np.where(upto > begin, votes.argmax(axis=1), 0)
+        since, any_ = np.maximum(upto - ASKED, begin), upto > begin
+        newest = np.where(any_, np.append(mine, 0)[upto - 1], 0)
+        best, kind = np.zeros(len(upto), dtype=np.int64), np.zeros(len(upto), dtype=np.int64)
+        for c in range(CLASSES + 1):
+            total = np.concatenate([[0], np.cumsum(mine == c)])
+            votes = np.where(any_, 2 * (total[upto] - total[since]) + (newest == c), 0)
+            kind[votes > best], best = c, np.maximum(best, votes)
+        return kind
 
 
 def tokens(b: Block) -> Tokens:
@@ -213,6 +220,15 @@ class Counts:
         return np.where(found, self.code[at], self.escape)[back], np.where(found, self.code_length[at], self.escape_length)[back]
 
 
+def cut_long(b: Block) -> tuple[Block, np.ndarray, np.ndarray]:
+    """The block with words of over LONGEST bytes cut into parts, and of each word whether it is such a part and whether it goes on."""
+    n = np.maximum(-(-(b.end - b.start) // LONGEST), 1)
+    which, i = _runs(n)
+    start = b.start[which] + i * LONGEST
+    first = np.concatenate([[0], np.cumsum(n)])[b.first]
+    return Block(b.offset, b.data, b.bounds, start, np.minimum(start + LONGEST, b.end[which]), first), n[which] > 1, i < n[which] - 1
+
+
 @dataclass
 class Bits:
     """The bits of some tokens in order: slots by context, kind, value, and of each token the first bit (one entry more)."""
@@ -221,6 +237,7 @@ class Bits:
     kind: np.ndarray
     bit: np.ndarray
     first: np.ndarray
+    unit: np.ndarray  # the word code or the byte that a bit belongs to, counted from 0
     guess: np.ndarray | None  # the bit that is expected: 1, -1, or 0 for none
     run: np.ndarray | None
 
@@ -260,9 +277,11 @@ class Reading:
     run: np.ndarray
     spelled: np.ndarray
     kind: np.ndarray
+    more: np.ndarray  # of each token: whether its word goes on
 
     @staticmethod
-    def of(b: Block, counts: Counts) -> Reading:
+    def of(whole: Block, counts: Counts) -> Reading:
+        b, part, more = cut_long(whole)
         t = tokens(b)
         n = len(t.token)
         at, begin = np.arange(n), t.first[t.text]
@@ -278,19 +297,40 @@ class Reading:
         misses = np.maximum.accumulate(np.where(hit, -1, at))
         run = np.where(at == begin, 0, np.concatenate([[0], (at - misses)[:-1]])) if n else at
         code, length = counts.codes(t.token)
-        return Reading(b, t, code, length, contexts, last, np.digitize(run, [1, 3, 8]), (code == counts.escape) & (length == counts.escape_length), kind)
-
-    def bits(self, lo: int, hi: int, slot_bits: int, guesses: bool) -> Bits:
-        """The bits of the tokens lo..hi - 1."""
-        code, length = self.code[lo:hi], self.length[lo:hi]
-        spelled = np.flatnonzero(self.spelled[lo:hi])
-        words = _spellings(self.b, self.t.word[lo + spelled])
+        parted = np.append(part, False)[t.word]
+        code, length = np.where(parted, counts.escape, code), np.where(parted, counts.escape_length, length)
+        return Reading(b, t, code, length, contexts, last, np.digitize(run, [1, 3, 8]), (code == counts.escape) & (length == counts.escape_length), kind, np.append(more, False)[t.word])
+
+    def sizes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bits and units of each token."""
+        bits = np.concatenate([[0], np.cumsum(CODE_LENGTH[LOWER[self.b.data]])])
+        start, end = np.append(self.b.start, 0)[self.t.word], np.append(self.b.end, 0)[self.t.word]
+        is_end = self.t.word < 0
+        body = np.where(is_end, CODE_LENGTH[0], bits[end] - bits[start])
+        return self.length + np.where(self.spelled, body + np.where(self.more, CODE_LENGTH[GOES_ON], CODE_LENGTH[ENDS]), 0), 1 + np.where(self.spelled, np.where(is_end, 1, end - start) + 1, 0)
+
+    def parts(self) -> Iterator[np.ndarray]:
+        """All tokens in order, so many at a time that their bits stay within bounds."""
+        upto = np.cumsum(self.sizes()[0])
+        lo = 0
+        while lo < len(upto):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + TOGETHER, side="right")))
+            yield np.arange(lo, hi)
+            lo = hi
+
+    def bits(self, some: np.ndarray, slot_bits: int, guesses: bool) -> Bits:
+        """The bits of some tokens, one after another."""
+        code, length = self.code[some], self.length[some]
+        spelled = np.flatnonzero(self.spelled[some])
+        names = some[spelled]
+        words = _spellings(self.b, self.t.word[names])
         offsets = np.frombuffer(words.buffers()[1], dtype=np.int32)[: len(words) + 1].astype(np.int64)
-        size = np.diff(offsets) + 1  # a blank after each
+        size = np.diff(offsets) + 1  # what ends each
         first = offsets + np.arange(len(offsets))
-        data = np.full(int(first[-1]), 0x20, dtype=np.uint8)
+        data = np.empty(int(first[-1]), dtype=np.uint8)
         inner = np.ones(len(data), dtype=bool)
         inner[first[1:] - 1] = False
+        data[~inner] = np.where(self.more[names], GOES_ON, ENDS)
         data[inner] = np.frombuffer(words.buffers()[2], dtype=np.uint8)[: offsets[-1]]
         word, place = _runs(size)
         byte_bits = CODE_LENGTH[data]
@@ -299,6 +339,10 @@ class Reading:
         total = length.copy()
         total[spelled] += bits_before[first[1:]] - bits_before[first[:-1]]
         start = np.concatenate([[0], np.cumsum(total)])
+        units = np.ones(len(some), dtype=np.int64)
+        units[spelled] += size
+        own = np.cumsum(units) - units
+        unit = np.empty(start[-1], dtype=np.int32)
         slots = np.empty((N_CONTEXTS, start[-1]), dtype=np.int32)
         kind, bit = np.empty(start[-1], dtype=np.int16), np.empty(start[-1], dtype=np.int8)
         guess, run = (np.zeros(start[-1], dtype=np.int8), np.empty(start[-1], dtype=np.int8)) if guesses else (None, None)
@@ -307,15 +351,16 @@ class Reading:
         at, left = start[which] + i, length[which] - i
         c = code[which]
         path = ((c >> left) | (1 << i)).astype(np.uint32)
-        slots[:, at] = _slots(self.contexts[:, lo:hi][:, which], path, slot_bits)
+        slots[:, at] = _slots(self.contexts[:, some[which]], path, slot_bits)
+        unit[at] = own[which]
         kind[at], bit[at] = np.minimum(i, WORD_BITS - 1), (c >> (left - 1)) & 1
-        last = self.last[lo:hi]
+        last = self.last[some]
         if guesses:
             wanted = np.maximum(last, 0)[which]
             rest = self.length[wanted] - i
             agrees = (last[which] >= 0) & (rest > 0) & (self.code[wanted] >> np.maximum(rest, 0) == c >> left)
             guess[at] = np.where(agrees, 2 * ((self.code[wanted] >> np.maximum(rest - 1, 0)) & 1) - 1, 0)
-            run[at] = self.run[lo:hi][which]
+            run[at] = self.run[some[which]]
         if len(spelled):
             so_far = span_hash(prefix_hash(VALUES[data]), first[:-1][word], np.arange(len(data)))
             recent = np.zeros(len(data), dtype=_U)
@@ -323,14 +368,15 @@ class Reading:
                 byte = np.zeros(len(data), dtype=_U)
                 byte[k:] = data[:-k]
                 recent = (recent << _U(8)) | np.where(place >= k, byte, _U(0))
-            state = mix(self.kind[lo + spelled].astype(_U) + _U(99))
+            state = mix(self.kind[names].astype(_U) + _U(99))
             contexts = _short([so_far, so_far ^ state[word], recent + (np.minimum(place, 3).astype(_U) << _U(56))])
             which, i = _runs(byte_bits)
             c, left = CODE[data[which]], byte_bits[which] - i
             mine = spelled[word[which]]
             at = start[mine] + length[mine] + np.arange(len(which)) - bits_before[first[:-1]][word[which]]
             slots[:, at] = _slots(contexts[:, which], ((c >> left) | (1 << i)).astype(np.uint32) | np.uint32(1 << 31), slot_bits)
-            kind[at] = WORD_BITS + np.minimum(place, BYTE_PLACES - 1)[which] * BYTE_BITS + np.minimum(i // 2, BYTE_BITS - 1)
+            kind[at] = WORD_BITS + np.minimum(place, BYTE_PLACES - 1)[which] * BYTE_BITS + i
+            unit[at] = own[mine] + 1 + place[which]
             bit[at] = (c >> (left - 1)) & 1
             if guesses:
                 # The spelled word that is expected, as far as it agrees: its byte at each place.
@@ -339,7 +385,7 @@ class Reading:
                 begin, end = np.append(self.b.start, 0)[text], np.append(self.b.end, 0)[text]
                 there = begin[word] + place
                 ends = there == end[word]
-                byte = np.where(ends, 0x20, LOWER[self.b.data[np.minimum(there, len(self.b.data) - 1)]])
+                byte = np.where(ends, ENDS, LOWER[self.b.data[np.minimum(there, len(self.b.data) - 1)]])
                 fits = (last[spelled] >= 0) & (text >= 0) & self.spelled[wanted]
                 has = fits[word] & (there <= end[word])
                 wrong = np.concatenate([[0], np.cumsum(~has | (byte != data))])
@@ -348,13 +394,8 @@ class Reading:
                 rest = CODE_LENGTH[byte[which]] - i
                 agrees = alive[which] & (rest > 0) & (g >> np.maximum(rest, 0) == c >> left)
                 guess[at] = np.where(agrees, 2 * ((g >> np.maximum(rest - 1, 0)) & 1) - 1, 0)
-                run[at] = self.run[lo:hi][mine]
-        return Bits(slots, kind, bit, start, guess, run)
-
-
-def parts(n: int) -> Iterator[tuple[int, int]]:
-    for lo in range(0, n, TOGETHER):
-        yield lo, min(n, lo + TOGETHER)
+                run[at] = self.run[some[mine]]
+        return Bits(slots, kind, bit, start, unit, guess, run)
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,8 +420,8 @@ def count_bits(counts_of, slot_bits: int):
         for batch in batches:
             for b in blocks(batch.column("text"), NOT_SPACE, BLOCK):
                 r = Reading.of(b, counts_of.value)
-                for lo, hi in parts(len(r.t.token)):
-                    bits = r.bits(lo, hi, slot_bits, False)
+                for some in r.parts():
+                    bits = r.bits(some, slot_bits, False)
                     for slot in bits.slots:
                         np.add.at(flat, 2 * slot + bits.bit, np.int32(1))
         width = 1 << min(CHUNK_BITS, slot_bits)
@@ -427,8 +468,8 @@ def newton_sums(counts_of, held, slot_bits: int, width: int):
         for batch in batches:
             for b in blocks(batch.column("text"), NOT_SPACE, BLOCK):
                 r = Reading.of(b, counts_of.value)
-                for lo, hi in parts(len(r.t.token)):
-                    bits = r.bits(lo, hi, slot_bits, False)
+                for some in r.parts():
+                    bits = r.bits(some, slot_bits, False)
                     one = bits.bit.astype(np.float32)
                     both = counts.take(bits.slots, axis=0)
                     zeros, ones = np.maximum(both[..., 0] - (1 - one), 0), np.maximum(both[..., 1] - one, 0)
@@ -508,83 +549,103 @@ def fit(texts: DataFrame, counts_of, slot_bits: int) -> Model:
 
 
 def read(model: Model, r: Reading) -> np.ndarray:
-    """The natural log of the probability of each text of a block. Where lanes are cut depends on the text alone."""
-    pieces = -(-np.diff(r.t.first) // PIECE)
-    text, k = _runs(pieces)
-    begin = r.t.first[:-1][text] + k * PIECE
-    ends = np.append(begin[1:], len(r.t.token))
-    out = np.zeros(len(begin))
-    lo = 0
-    while lo < len(begin):
-        hi = max(lo + 1, int(np.searchsorted(ends, begin[lo] + TOGETHER, side="right")))
-        bits = r.bits(int(begin[lo]), int(ends[hi - 1]), model.slot_bits, True)
-        first = bits.first[np.append(begin[lo:hi], ends[hi - 1]) - begin[lo]]
-        piece, k = _runs(-(-np.diff(first) // LANE))
-        cut = first[:-1][piece] + k * LANE
-        out[lo:hi] = np.bincount(piece, read_lanes(model, bits, np.append(cut, first[-1])), minlength=hi - lo)
+    """The natural log of the probability of each text of a block. Where lanes are cut depends on the text alone.
+
+    Lanes of like length are read together, so that their steps are full.
+    """
+    text, k = _runs(-(-np.diff(r.t.first) // LANE))
+    begin = r.t.first[:-1][text] + k * LANE
+    end = np.minimum(begin + LANE, r.t.first[1:][text])
+    bits, units = (np.concatenate([[0], np.cumsum(x)]) for x in r.sizes())
+    order = np.argsort(units[begin] - units[end], kind="stable")  # longest first
+    upto = np.cumsum((bits[end] - bits[begin])[order])
+    out, lo = np.zeros(len(begin)), 0
+    while lo < len(order):
+        hi = max(lo + 1, min(lo + LANES, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + TOGETHER, side="right"))))
+        mine = order[lo:hi]
+        lane, k = _runs((end - begin)[mine])
+        out[mine] = read_lanes(model, r.bits(begin[mine][lane] + k, model.slot_bits, True), np.concatenate([[0], np.cumsum((end - begin)[mine])]))
         lo = hi
-    return np.bincount(text, out, minlength=len(pieces))
+    return np.bincount(text, out, minlength=len(r.t.first) - 1)
 
 
 def read_lanes(model: Model, bits: Bits, first: np.ndarray) -> np.ndarray:
-    """The natural log of the probability of each lane, the bits first[i]..first[i + 1], one bit of every lane at a time."""
-    size = np.diff(first)
-    rank = np.empty(len(size), dtype=np.int64)
-    rank[np.argsort(-size, kind="stable")] = np.arange(len(size))
-    lane, step = _runs(size)
-    longest = int(size.max(initial=0))
-    active = np.bincount(size, minlength=longest + 1)[::-1].cumsum()[::-1][1:]  # lanes that are longer than each step
+    """The natural log of the probability of each lane, the tokens first[i]..first[i + 1], one unit (word code or byte) of every lane at a time.
+
+    The bits of a unit have gates of their own, so their weights don't wait for each other;
+    odds and refinement follow after the unit.
+    """
+    cut = bits.first[first]
+    n_lanes, n_bits = len(first) - 1, len(bits.bit)
+    opens = np.ones(n_bits, dtype=bool)
+    opens[1:] = bits.unit[1:] != bits.unit[:-1]
+    head = np.flatnonzero(opens)  # the first bit of each unit
+    lane_of = np.searchsorted(cut, head, side="right") - 1
+    units = np.bincount(lane_of, minlength=n_lanes)
+    rank = np.empty(n_lanes, dtype=np.int64)
+    rank[np.argsort(-units, kind="stable")] = np.arange(n_lanes)
+    step = np.arange(len(head)) - (np.cumsum(units) - units)[lane_of]
+    longest = int(units.max(initial=0))
+    active = np.bincount(units, minlength=longest + 1)[::-1].cumsum()[::-1][1:]  # lanes that have each step
     at = np.concatenate([[0], np.cumsum(active)])
-    to = at[step] + rank[lane]  # bits by step, the longest lanes first
+    place = at[step] + rank[lane_of]  # units by step, the longest lanes first
+    n_unit = np.diff(np.append(head, n_bits))
+    sizes = np.empty(len(head), dtype=np.int64)
+    sizes[place] = n_unit
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    at = begin[at]
+    which = np.repeat(np.arange(len(head)), n_unit)
+    to = (begin[place] - head)[which] + np.arange(n_bits)
     width = N_CONTEXTS + 2
-    x_all = np.ones((len(to), width), dtype=np.float32)
+    x_all = np.ones((n_bits, width), dtype=np.float32)
     for k in range(N_CONTEXTS):
         found = model.stretch.take(bits.slots[k])
         x_all[to, k] = found
     seen = found.view(np.uint32) & np.uint32(3)
-    gate_all, guess, bit, odds_all = (np.empty(len(to), dtype=d) for d in (np.int16, np.int8, np.float32, np.int8))
-    gate_all[to] = _gates(bits.kind, seen) + (bits.guess != 0) * N_GATES
-    guess[to], bit[to], odds_all[to] = bits.guess, bits.bit, bits.run
-
-    lanes = np.arange(len(size))
-    weight = np.tile(model.weight, (len(size), 1))
+    lane = rank[lane_of][which]
+    here_all, row_all, odds_all = (np.empty(n_bits, dtype=np.int32) for _ in range(3))
+    here_all[to] = lane * (2 * N_GATES) + _gates(bits.kind, seen) + (bits.guess != 0) * N_GATES
+    row_all[to] = (lane * 3 + np.where(bits.guess == 0, 0, np.where(bits.run >= 2, 2, 1))) * (STEPS + 1)
+    odds_all[to] = lane * len(HITS) + bits.run
+    guess, one_all = (np.empty(n_bits, dtype=np.float32) for _ in range(2))
+    guess[to], one_all[to] = bits.guess, bits.bit
+
+    weight = np.tile(model.weight, (n_lanes, 1))
     whole = weight.view(f"V{4 * width}").reshape(-1)  # the same, a row as one item
-    odds = np.tile(np.stack([HITS, MISSES], axis=1).astype(np.float32), (len(size), 1))
-    steps = np.linspace(-REACH, REACH, STEPS + 1)
-    refined = np.tile((1 / (1 + np.exp(-steps))).astype(np.float32), len(size) * 3)
-    cost = np.empty(len(to), dtype=np.float32)
+    odds = np.tile(np.stack([HITS, MISSES], axis=1).astype(np.float32), (n_lanes, 1))
+    refined = np.zeros(n_lanes * 3 * (STEPS + 1), dtype=np.float32)
+    cost = np.empty(n_bits, dtype=np.float32)
     half, rate, slow, share = np.float32(STEPS / (2 * REACH)), np.float32(RATE), np.float32(REFINE), np.float32(SHARE)
-    gate_lane, row_lane, odds_lane = lanes * (2 * N_GATES), lanes * (3 * (STEPS + 1)), lanes * len(HITS)
-    row_all = (np.where(guess == 0, 0, np.where(odds_all >= 2, 2, 1)) * (STEPS + 1)).astype(np.int8)
     for s in range(longest):
         now = slice(at[s], at[s + 1])
-        n = at[s + 1] - at[s]
-        x, one, said = x_all[now], bit[now], guess[now]
+        x, one, here, row = x_all[now], one_all[now], here_all[now], row_all[now]
+        said = guess[now]
         some = np.flatnonzero(said)
         x[:, N_CONTEXTS] = 0
         if len(some):
-            mine = odds_lane.take(some) + odds_all[now].take(some)
+            mine = odds_all[now].take(some)
             known = odds.take(mine, axis=0)
             x[some, N_CONTEXTS] = said.take(some) * np.log(known[:, 0] / known[:, 1])
-        here = gate_lane[:n] + gate_all[now]
         w = weight.take(here, axis=0)
         z = np.minimum(np.maximum(np.einsum("ij,ij->i", w, x), -REACH), REACH)
         p = 1 / (1 + np.exp(-z))
         w += (rate * (one - p))[:, None] * x
         whole[here] = w.view(whole.dtype).reshape(-1)
-        # Refinement: between two steps of the stretched probability, by whether a word is expected.
-        place = (z + np.float32(REACH)) * half
-        low = np.minimum(place.astype(np.int64), STEPS - 1)
-        part = place - low
-        row = row_lane[:n] + row_all[now] + low
+        # Refinement: what to add to the stretched probability, between two of its steps, by whether a word is expected.
+        point = (z + np.float32(REACH)) * half
+        low = np.minimum(point.astype(np.int32), STEPS - 1)
+        part = point - low
+        row = row + low
         below, above = refined.take(row), refined.take(row + 1)
-        cost[now] = p + share * (below + part * (above - below) - p)
-        refined[row] = below + slow * (1 - part) * (one - below)
-        refined[row + 1] = above + slow * part * (one - above)
+        final = 1 / (1 + np.exp(-(z + share * (below + part * (above - below)))))
+        cost[now] = final
+        off = slow * (one - final)
+        refined[row] = below + (1 - part) * off
+        refined[row + 1] = above + part * off
         if len(some):
             right = (said.take(some) > 0) == (one.take(some) > 0)
             odds.reshape(-1)[2 * mine + ~right] += np.float32(0.25)
-    return np.bincount(lane, np.log(np.abs(1 - bit - cost, dtype=np.float64)).take(to), minlength=len(size))
+    return np.bincount(np.repeat(np.arange(n_lanes), np.diff(cut)), np.log(np.abs(1 - one_all - cost, dtype=np.float64)).take(to), minlength=n_lanes)
 
 
 def score_batches(model_of, counts_of):
@@ -594,8 +655,7 @@ def score_batches(model_of, counts_of):
         model, c = model_of.value, counts_of.value
         for batch in batches:
             for b in blocks(batch.column("text"), NOT_SPACE, BLOCK):
-                r = Reading.of(b, c)
-                t, cost = r.t, read(model, r)
+                t, cost = tokens(b), read(model, Reading.of(b, c))
                 token, back = np.unique(t.token, return_inverse=True)
                 found, at = c.look_up(token)
                 base = np.log10((c.word_count[at] + 0.5) / c.total) if len(c.word) else np.zeros(len(token))
