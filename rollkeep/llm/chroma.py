@@ -21,6 +21,9 @@ FILTERS = [(k, c, h, w) for k, c, h, w in ((0, 0, 6, 8), (0, 3, 6, 4), (0, 6, 6,
 SPAN = 8
 #: What counts as the same recording: votes for one offset, frames that overlap, and the share of bits that differ.
 VOTES, OVERLAP, ERRORS = 3, 16, 0.15
+#: A landmark is a code and the one a span later; keys are these many bits of its 64, in so many choices. A query also asks for the keys
+#: with its least certain bits turned, all ways of so many. Where a landmark repeats, a recording is found by one in so many.
+KEY_BITS, TABLES, TURNED, REPEATED = 42, 3, 4, 8
 #: A query is fingerprinted from these samples on, so that one of them falls near the frames of a recording cut anywhere.
 PHASES = (0, 64, 128, 192)
 
@@ -63,10 +66,15 @@ def pitch_classes(samples: np.ndarray, rate: int) -> np.ndarray:
 
 def fingerprint(samples: np.ndarray, rate: int) -> np.ndarray:
     """One 32-bit number for each place of the filters: 16 filters of 2 bits, over an integral image."""
+    return fingerprint_margins(samples, rate)[0]
+
+
+def fingerprint_margins(samples: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes, and how far each of their bits (the lowest first) is from turning."""
     image = pitch_classes(samples, rate)
     n = len(image) - SPAN + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.uint32)
+        return np.zeros(0, dtype=np.uint32), np.zeros((0, 32))
     total = np.zeros((len(image) + 1, 13))
     total[1:, 1:] = image.cumsum(axis=0).cumsum(axis=1)
     t = np.arange(n)
@@ -74,8 +82,8 @@ def fingerprint(samples: np.ndarray, rate: int) -> np.ndarray:
     def area(t0: int, t1: int, c0: int, c1: int) -> np.ndarray:
         return total[t + t1, c1] - total[t + t0, c1] - total[t + t1, c0] + total[t + t0, c0]
 
-    out = np.zeros(n, dtype=np.uint32)
-    for k, c, h, w in FILTERS:
+    out, margin = np.zeros(n, dtype=np.uint32), np.zeros((n, 32))
+    for f, (k, c, h, w) in enumerate(FILTERS):
         whole = area(0, w, c, c + h)
         if k == 0:
             part = area(0, w, c, c + h // 2)
@@ -88,7 +96,8 @@ def fingerprint(samples: np.ndarray, rate: int) -> np.ndarray:
         value = np.log((part + 0.02) / (whole - part + 0.02))
         level = np.digitize(value, (-0.4, 0.4, 1.6))  # empty areas, at 0, lie well within a level
         out = (out << np.uint32(2)) | (level ^ (level >> 1)).astype(np.uint32)  # neighbouring levels differ in one bit
-    return out
+        margin[:, 31 - 2 * f], margin[:, 30 - 2 * f] = np.abs(value - 0.4), np.minimum(np.abs(value + 0.4), np.abs(value - 1.6))
+    return out, margin
 
 
 def fingerprints(audio: str, phases: tuple[int, ...] = (0,)):
@@ -112,14 +121,78 @@ def bit_errors(a: Column, b: Column, offset: Column) -> tuple[Column, Column]:
     return frames, F.aggregate(pairs, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def landmarks(codes: Column) -> Column:
-    """Each code with the one a filter's span later, as one 64-bit key.
+def key_places() -> list[np.ndarray]:
+    """The bits of a landmark that each choice keeps: the same in every run."""
+    rng = np.random.default_rng(1)
+    return [np.sort(rng.choice(64, KEY_BITS, replace=False)) for _ in range(TABLES)]
+
+
+def landmarks(codes: np.ndarray) -> np.ndarray:
+    """Each code with the one a filter's span later, as one 64-bit number.
 
     One code alone is shared by chance so often that such meetings would grow with the
     square of the recordings; two codes over different frames seldom are.
     """
-    n = F.size(codes) - SPAN
-    return F.when(n > 0, F.transform(F.slice(codes, F.lit(1), F.greatest(n, F.lit(0))), lambda x, i: F.shiftleft(x, 32).bitwiseOR(F.get(codes, i + SPAN))))
+    c = codes.astype(np.uint64)
+    return (c[:-SPAN] << np.uint64(32)) | c[SPAN:] if len(c) > SPAN else np.zeros(0, dtype=np.uint64)
+
+
+def _rows(names: tuple[str, str, str, str], owner: list, at: list, table: list, key: list) -> pa.RecordBatch:
+    columns = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (owner, at, table, key)]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].astype(np.int32)), pa.array(columns[3])], names=list(names))
+
+
+def held_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class_id, j, t, key): the keys of recordings with codes. Of a run of equal landmarks each REPEATED-th counts, so that a
+    constant stretch doesn't meet another at all places."""
+    places = key_places()
+    for batch in batches:
+        for lo in range(0, len(batch), 256):
+            owner, at, table, key = [], [], [], []
+            part = batch.slice(lo, 256)
+            for i, codes in zip(part.column("class_id").to_pylist(), part.column("codes").to_pylist(), strict=True):
+                marks = landmarks(np.array(codes, dtype=np.int64))
+                new = np.ones(len(marks), dtype=bool)
+                new[1:] = marks[1:] != marks[:-1]
+                place = np.arange(len(marks))
+                kept = np.flatnonzero((place - np.maximum.accumulate(np.where(new, place, 0))) % REPEATED == 0)
+                for t, bits in enumerate(places):
+                    owner.append(np.full(len(kept), i))
+                    at.append(kept)
+                    table.append(np.full(len(kept), t))
+                    key.append((marks[kept] & np.bitwise_or.reduce(np.uint64(1) << bits.astype(np.uint64))).view(np.int64))
+            yield _rows(("class_id", "j", "t", "key"), owner, at, table, key)
+
+
+def asked_keys(audio: str, phases: tuple[int, ...]):
+    """Arrow function: (asked_id, phase, i, t, key): the keys of queries, with their least certain bits as they are and turned."""
+    places = key_places()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in zip(batch.column("id").to_pylist(), batch.column(audio), strict=True):
+                samples, rate = read_wave(x.as_py())
+                for phase in phases:
+                    codes, margin = fingerprint_margins(samples[phase:], rate)
+                    marks = landmarks(codes)
+                    owner, at, table, key = [], [], [], []
+                    both = np.concatenate([margin[SPAN:], margin[:-SPAN]], axis=1) if len(marks) else np.zeros((0, 64))
+                    for t, bits in enumerate(places):
+                        least = bits[np.argsort(both[:, bits], axis=1, kind="stable")[:, :TURNED]].astype(np.uint64)
+                        plain = marks & np.bitwise_or.reduce(np.uint64(1) << bits.astype(np.uint64))
+                        for way in range(1 << TURNED):
+                            turned = np.zeros(len(marks), dtype=np.uint64)
+                            for b in range(TURNED):
+                                if way >> b & 1:
+                                    turned |= np.uint64(1) << least[:, b]
+                            owner.append(np.full(len(marks), i))
+                            at.append(np.arange(len(marks)))
+                            table.append(np.full(len(marks), t))
+                            key.append((plain ^ turned).view(np.int64))
+                    rows = _rows(("asked_id", "i", "t", "key"), owner, at, table, key)
+                    yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(len(rows), phase, dtype=np.int32)), *rows.columns[1:]], names=["asked_id", "phase", "i", "t", "key"])
+
+    return run
 
 
 def _aligned(recordings: DataFrame, queries: Column, audio: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -134,11 +207,12 @@ def _aligned(recordings: DataFrame, queries: Column, audio: str) -> tuple[DataFr
     mine = materialize(found.where(queries).select("id", "key").distinct().join(classes.select("key", "class_id"), "key").join(sounds, "id").select(F.col("id").alias("query_id"), F.col("class_id").alias("query_class"), "key", "sound"))
     one = materialize(mine.groupBy("query_class", "sound").agg(F.min("query_id").alias("id")))
     asked = mine.join(one.withColumnRenamed("id", "asked_id"), ["query_class", "sound"])
-    phased = recordings.where(queries).select("id", F.sha2(audio, 256).alias("sound"), audio).join(one, ["id", "sound"]).dropDuplicates(["id", "sound"]).select("id", audio).mapInArrow(fingerprints(audio, PHASES), form)
+    heard = materialize(recordings.where(queries).select("id", F.sha2(audio, 256).alias("sound"), audio).join(one, ["id", "sound"]).dropDuplicates(["id", "sound"]).select("id", audio))
+    phased = heard.mapInArrow(fingerprints(audio, PHASES), form)
     wanted = materialize(phased.join(one.select("id", "query_class"), "id").select(F.col("id").alias("asked_id"), "query_class", "phase", F.col("codes").alias("query_codes")))
-    at = wanted.select("asked_id", "query_class", "phase", F.posexplode(landmarks(F.col("query_codes"))).alias("i", "code"))
-    among = classes.select("class_id", F.posexplode(landmarks(F.col("codes"))).alias("j", "code"))
-    votes = at.join(among, "code").where("query_class <> class_id").groupBy("asked_id", "class_id", "phase", (F.col("j") - F.col("i")).alias("offset")).agg(F.count("*").alias("votes"))
+    at = heard.mapInArrow(asked_keys(audio, PHASES), "asked_id long, phase int, i int, t int, key long").join(one.select(F.col("id").alias("asked_id"), "query_class"), "asked_id")
+    among = classes.select("class_id", "codes").mapInArrow(held_keys, "class_id long, j int, t int, key long")
+    votes = at.join(among, ["t", "key"]).where("query_class <> class_id").groupBy("asked_id", "class_id", "phase", (F.col("j") - F.col("i")).alias("offset")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("asked_id", "class_id").agg(F.max(F.struct("votes", -F.abs("offset"), "offset", "phase")).alias("b")).where(F.col("b.votes") >= VOTES)
     pairs = best.select("asked_id", "class_id", F.col("b.offset").alias("offset"), F.col("b.phase").alias("phase"), F.col("b.votes").alias("votes")).join(wanted, ["asked_id", "phase"]).join(classes.select("class_id", "codes"), "class_id")
     frames, errors = bit_errors(F.col("query_codes"), F.col("codes"), F.col("offset"))

@@ -354,6 +354,50 @@ def test_integral_image_filters_are_stable():
     assert np.bitwise_count(a ^ b).mean() < 1
 
 
+def brute_matches(queries, recordings):
+    """(query, recording, least bit error) of all pairs that any phase and offset brings within ERRORS."""
+    out = {}
+    for q, x in queries.items():
+        for r, b in recordings.items():
+            for p in chroma.PHASES:
+                a = chroma.fingerprint(x[p:], chroma.RATE)
+                for off in range(-30, 4):
+                    lo, hi = max(0, -off), min(len(a), len(b) - off)
+                    if hi - lo >= chroma.OVERLAP:
+                        rate = float(np.bitwise_count(a[lo:hi] ^ b[lo + off : hi + off]).sum()) / (32 * (hi - lo))
+                        if rate <= chroma.ERRORS and rate < out.get((q, r), 1.0):
+                            out[q, r] = rate
+    return out
+
+
+def test_chroma_recall(spark):
+    """Of what brute force finds among noisy cut copies at least 0.9 is found, nearly all under a tenth of bits in error."""
+    rng = np.random.default_rng(9)
+    base = {50 * i: chroma.melody(rng.normal(size=64)) for i in range(25)}
+    heard = {i: chroma.read_wave(chroma.write_wave(x, chroma.RATE))[0] for i, x in base.items()}
+    rows, codes, want = [(i, chroma.write_wave(x, chroma.RATE)) for i, x in base.items()], {}, {}
+    for i, x in base.items():
+        for k, noise in enumerate((0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4)):
+            cut = x[int(rng.integers(0, 6000)) :]
+            rows.append((10_001 + i + k, chroma.write_wave(cut + rng.normal(0, noise, len(cut)), chroma.RATE)))
+            codes[rows[-1][0]] = chroma.fingerprint(*chroma.read_wave(rows[-1][1]))
+            want |= brute_matches({i: heard[i]}, {rows[-1][0]: codes[rows[-1][0]]})
+    got = {(r["query_id"], r["id"]) for r in chroma.align_members(spark.createDataFrame(rows, "id long, audio binary"), chroma.F.expr("id < 10000")).collect()}
+    assert len(want) > 100 and len(got & set(want)) >= 0.9 * len(want)
+    near = {k for k, rate in want.items() if rate < 0.1}
+    assert len(got & near) >= 0.95 * len(near)
+
+
+def test_chroma_of_nothing_and_of_stillness(spark):
+    empty = spark.createDataFrame([], "id long, audio binary, key string")
+    assert chroma.align_members(empty, chroma.F.expr("id % 50 = 0")).count() == 0
+    still = [(i, chroma.write_wave(np.zeros(40000 + 300 * i), chroma.RATE), "k") for i in (0, 1, 2)]
+    got = chroma.align_members(spark.createDataFrame(still, "id long, audio binary, key string"), chroma.F.expr("id % 50 = 0")).collect()
+    assert {r["id"] for r in got} == {1, 2} and all(r["error_rate"] == 0 for r in got)
+    marks = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([[5] * 108], pa.list_(pa.int64()))], names=["class_id", "codes"])
+    assert sum(len(b) for b in chroma.held_keys(iter([marks]))) == chroma.TABLES * -(-100 // chroma.REPEATED)
+
+
 def test_chroma_names_every_copy(spark):
     rng = np.random.default_rng(4)
     base = {i: chroma.write_wave(chroma.melody(rng.normal(size=64)), chroma.RATE) for i in (0, 7, 50)}
