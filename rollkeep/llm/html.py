@@ -25,7 +25,7 @@ SHARE, LEAST_PAGES, MANY_PAGES = 0.01, 3, 100
 
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe textarea title svg math canvas object select option button audio video".split())
+RAW = set("script style noscript template iframe textarea title svg canvas select option button audio video".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table caption tbody thead tfoot tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "thead": {"caption"}, "tfoot": {"tr", "td", "th", "tbody"}}
 KEEPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}}
@@ -33,6 +33,8 @@ KEEPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 #: What the contract excludes, as tags, ARIA roles, and words of class and id: menus, footers, sidebars, notices, adverts, forms and reader comments.
 ASIDE = set("head nav footer aside form menu dialog fieldset".split()) | RAW
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Some of these words are common in articles too: within an article or main element those alone exclude nothing.
+AMBIGUOUS = set("menu notice notices ad".split())
 LABELS = set("nav navbar navigation menu breadcrumb breadcrumbs footer sidebar notice notices cookie cookies consent ad ads advert adverts advertisement advertising sponsored comment comments".split())
 #: Parts of other elements: never counted by themselves.
 PIECES = set("li dt dd tr td th tbody thead tfoot caption option col colgroup".split())
@@ -52,31 +54,33 @@ class Element:
 
     __slots__ = ("tag", "aside", "children", "parent", "digest", "text", "counted")
 
-    def __init__(self, tag: str, aside: bool, parent: Element | None) -> None:
+    def __init__(self, tag: str, aside: int, parent: Element | None) -> None:
         self.tag, self.aside, self.parent = tag, aside, parent
         self.children: list[Element | str] = []
         self.digest, self.text, self.counted = 0, False, False
 
 
-def set_aside(tag: str, attributes: str) -> bool:
-    """Whether an element's tag, role, class or id marks it as no main text."""
+def set_aside(tag: str, attributes: str) -> int:
+    """Whether an element's tag, role, class or id marks it as no main text: 2, or 1 if only an ambiguous word does and it may be text of an article."""
     if tag in ASIDE:
-        return True
+        return 2
     if tag in ROOTS and "comment" not in attributes.lower():
-        return False
+        return 0
+    found = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         kind = name.lower()
         if kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "role" and value in ROLES:
-            return True
-        if kind in ("class", "id") and not LABELS.isdisjoint(_LABEL.findall(value)):
-            return True
-    return False
+            return 2
+        if kind in ("class", "id"):
+            words = LABELS.intersection(_LABEL.findall(value))
+            found = max(found, 2 if words - AMBIGUOUS else 1 if words else 0)
+    return found
 
 
 def parse(page: str) -> list[Element]:
     """The elements in page order, the root first; unclosed elements end with their parent or the page."""
-    root = Element("", False, None)
+    root = Element("", 0, None)
     order, stack = [root], [root]
     held: Counter[str] = Counter()  # open elements by tag, so that the stack is searched only for what is there
 
@@ -118,7 +122,7 @@ def parse(page: str) -> list[Element]:
                     break
         if tag == "body" and held["head"] > 0:
             close(next(i for i in range(1, len(stack)) if stack[i].tag == "head"))
-        element = Element(tag, set_aside(tag, attributes) if attributes else tag in ASIDE, stack[-1])
+        element = Element(tag, set_aside(tag, attributes) if attributes else 2 * (tag in ASIDE), stack[-1])
         stack[-1].children.append(element)
         order.append(element)
         if tag in VOID or attributes.endswith("/") and tag in ("svg", "math"):
@@ -140,8 +144,10 @@ def annotate(order: list[Element]) -> set[int]:
     text. Returns the hashes of what holds that text.
     """
     longest, home, away = 0, order[0], {id(order[0]): False}
+    inside = {id(order[0]): False}
     for e in order[1:]:  # parents come first
-        away[id(e)] = e.aside or away[id(e.parent)]
+        inside[id(e)] = inside[id(e.parent)] or e.parent.tag in ("article", "main")
+        away[id(e)] = e.aside > inside[id(e)] or away[id(e.parent)]
         if not away[id(e)]:
             n = max((len(c) for c in e.children if isinstance(c, str)), default=0)
             if n > longest:
@@ -153,10 +159,9 @@ def annotate(order: list[Element]) -> set[int]:
         e = e.parent
     while home.tag in TEXT:
         home = home.parent
-    inside, around = {id(order[0]): False}, {id(order[0]): order[0]}
+    around = {id(order[0]): order[0]}
     for e in order[1:]:
         up = e.parent
-        inside[id(e)] = inside[id(up)] or up.tag in ("article", "main")
         around[id(e)] = around[id(up)] if up.tag in TEXT else up
         e.text = e.tag in TEXT and (inside[id(e)] or around[id(e)] is home)
         e.counted = not (e.text or e.tag in PIECES or e.tag in INLINE or e.tag in ROOTS or e.tag in RAW or e.tag in VOID or e.tag == "head")
@@ -171,7 +176,8 @@ def annotate(order: list[Element]) -> set[int]:
 def main_text(order: list[Element], template: frozenset[int] | set[int], exclusions: bool = True) -> str:
     """The blocks of the whole page without its template and, unless told otherwise, without what tags and labels exclude.
 
-    A header outside an article or main element is excluded, within one it is text.
+    A header outside an article or main element is excluded, within one it is text; so is what
+    only an ambiguous word of its class or id sets aside.
     """
     blocks: list[str] = []
     words: list[str] = []
@@ -194,7 +200,7 @@ def main_text(order: list[Element], template: frozenset[int] | set[int], exclusi
             words.append(child)
         elif child.digest in template and not child.text and child.tag not in ROOTS:
             continue
-        elif child.tag in RAW or child.tag == "head" or exclusions and (child.aside or child.tag == "header" and not inside):
+        elif child.tag in RAW or child.tag == "head" or exclusions and (child.aside > inside or child.tag == "header" and not inside):
             continue
         else:
             if child.tag in ("br", "td", "th"):
@@ -258,7 +264,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page.
 
     Null html counts as empty and gives an empty text; pages without a URL share the empty
-    host; broken markup is read as far as it goes, however deep. Repeated rows and ids give
+    host; scripts, styles, frames, drawings, form fields, and audio and video with what stands in
+    for them give no text, formulas and the text that stands in for objects do; broken markup is read as far as it goes, however deep. Repeated rows and ids give
     a row each and count once as pages; an empty table gives no rows; other columns are ignored.
     """
     lean_batches(pages.sparkSession)

@@ -40,8 +40,8 @@ CHUNK_BITS = 16
 SHORT, STATES, CLASSES, ASKED = 3, 256, 12, 6
 #: Words whose counts are handed to every task: the most frequent ones, at most so many; other counts are joined. Those seen CODED times have a code, all others are spelled.
 FREQUENT, CODED = 1 << 19, 2
-#: Tokens of a lane; bits and lanes that are read together; bytes of a block of texts; bytes after which a word goes on as another token.
-LANE, TOGETHER, LANES, BLOCK, LONGEST = 1024, 3 << 20, 4096, 2 << 20, 64
+#: Tokens of a lane; bits that are read together, and counted together; lanes that are read together; bytes of a block of texts; bytes after which a word goes on as another token.
+LANE, TOGETHER, COUNTED, LANES, BLOCK, LONGEST = 1024, 2 << 20, 1 << 19, 4096, 1 << 20, 64
 #: What ends a spelled word, and a spelled part that goes on (no word holds a tab).
 ENDS, GOES_ON = 0x20, 0x09
 N_CONTEXTS = 3
@@ -314,7 +314,7 @@ class Reading:
         upto = np.cumsum(self.sizes()[0])
         lo = 0
         while lo < len(upto):
-            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + TOGETHER, side="right")))
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + COUNTED, side="right")))
             yield np.arange(lo, hi)
             lo = hi
 

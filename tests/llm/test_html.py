@@ -98,3 +98,31 @@ def test_deep_and_long_pages(spark):
     long = "".join(f"<p>para {i}</p>" for i in range(50_000))
     got = texts(spark, [(1, "u", deep), (2, "u", long), (3, "u", "<a title=\"" * 5000), (4, "u", "</p></div>" * 20_000 + "<li>" * 20_000 + "end")])
     assert got[1] == "deep" + "x" * 5000 and got[2].count("\n\n") == 49_999 and got[4] == "end"
+
+
+@pytest.mark.parametrize(
+    ("part", "kept"),
+    [
+        ('<div id="ad">AD 1066 began</div>', "AD 1066 began"),
+        ('<section class="menu">Soup of the day</section>', "Soup of the day"),
+        ('<div class="legal-notice">Notice of the vote</div>', "Notice of the vote"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", "so x=2 holds"),
+        ('<object data="a.swf"><p>in words</p></object>', "in words"),
+        ('<div class="comments">first!</div>', ""),
+        ('<div class="cookie-notice">we use them</div>', ""),
+        ("<nav>a b</nav>", ""),
+        ('<div role="dialog">sign up</div>', ""),
+        ("<form>name <input></form>", ""),
+        ("<aside>see also</aside>", ""),
+        ("<script>1</script><style>p{}</style><svg><text>t</text></svg>", ""),
+        ('<div hidden>not shown</div>', ""),
+    ],
+)
+def test_parts_of_an_article(part, kept):
+    page = f"<body><article><p>The text.</p>{part}</article></body>"
+    assert html.page_text(page, set()) == "\n\n".join(["The text."] + [kept] * bool(kept))
+
+
+@pytest.mark.parametrize("part", ['<div id="ad">buy</div>', '<div class="menu">home</div>', '<div class="notice">maintenance</div>', "<footer>c</footer>", '<div class="sidebar">s</div>', "<header>h</header>"])
+def test_parts_beside_an_article(part):
+    assert html.page_text(f"<body>{part}<article><p>The text.</p></article>{part}</body>", set()) == "The text."

@@ -203,7 +203,7 @@ def test_what_is_read_together_is_bounded_in_bits(fitted):
     bits, units = r.sizes()
     parts = list(r.parts())
     assert np.concatenate(parts).tolist() == list(range(len(bits)))
-    assert bits.max() < 1000 and max(int(bits[p].sum()) for p in parts) <= lm.TOGETHER
+    assert bits.max() < 1000 and max(int(bits[p].sum()) for p in parts) <= lm.COUNTED
     for p in parts[:2]:
         got = r.bits(p, model.slot_bits, True)
         assert (np.diff(got.first) == bits[p]).all() and got.unit[-1] + 1 == units[p].sum()
