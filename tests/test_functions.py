@@ -14,16 +14,16 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()[0]
 
 
-@pytest.mark.parametrize("printed", ["REG/LHR/2019/88213", "reg-lhr-2019-88213", "Reg LHR 2019 88213", "REG‐LHR‐2019‐88213", "REG/LHR/۲۰۱۹/۸۸۲۱۳"])
+@pytest.mark.parametrize("printed", ["Q/17-b.006", "q 17 B 006", "Q‐17‑B−006", "q_17b#006", "Q/۱۷/b/٠٠۶"])
 def test_spellings_of_a_number_share_a_key(spark, printed):
-    assert one(spark, T.number_key(F.lit(printed))) == "reglhr201988213"
+    assert one(spark, T.number_key(F.lit(printed))) == "q17b006"
 
 
 def test_key_is_bounded(spark):
     assert len(one(spark, T.number_key(F.lit("9" * 500)))) == 200
 
 
-@pytest.mark.parametrize(("name", "key"), [("Tariq Mahmood Malik", "tariq mahmood malik"), ("Malik Tariq Mahmood", "tariq mahmood"), ("Dr. Syed  Ali", "ali"), ("Malik", ""), ("", ""), (None, "")])
+@pytest.mark.parametrize(("name", "key"), [("Zoya Rehman Begum", "zoya rehman begum"), ("Begum Zoya Rehman", "zoya rehman"), ("Prof. Haji  Omar", "omar"), ("Sardar", ""), ("", ""), (None, "")])
 def test_titles_count_only_in_front(spark, name, key):
     assert one(spark, T.name_key(F.lit(name).cast("string"))) == key
 
@@ -50,8 +50,8 @@ def test_times(spark, printed, time):
 
 def test_other_values(spark):
     assert one(spark, V.read_sex(F.lit("Sex: FEMALE."))) == "female" or one(spark, V.read_sex(F.lit("a female"))) == "female"
-    assert one(spark, V.format_cnic(F.lit("3520212345671"))) == "35202-1234567-1"
-    assert one(spark, V.format_cnic(F.lit("352021234567"))) is None
+    assert one(spark, V.format_cnic(F.lit("4410398765432"))) == "44103-9876543-2"
+    assert one(spark, V.format_cnic(F.lit("441039876543"))) is None
     assert one(spark, V.read_number(F.lit("PKR 500,000"))) == "500000"
     assert one(spark, V.normalize_value("date", F.lit(" no  date "))) == "no date"
 
