@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -133,6 +137,28 @@ def file_kinds(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, head).select("event_id", files.file_kind(F.col("head").cast("binary"), F.lit("x.bin")).alias("kind"))
 
 
+def _packed(batches):
+    """(id, name, content): an archive of each text, with another archive and a member that leads out."""
+    for batch in batches:
+        rows = []
+        for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            inner, outer = io.BytesIO(), io.BytesIO()
+            with zipfile.ZipFile(inner, "w") as z:
+                z.writestr("id.txt", str(i))
+            with zipfile.ZipFile(outer, "w") as z:
+                for name, content in (("texts/a.txt", text or ""), ("in.zip", inner.getvalue()), ("../out.txt", "x")):
+                    z.writestr(name, content)
+            rows.append({"id": i, "name": f"{i}.zip", "content": outer.getvalue()})
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("id", pa.int64()), ("name", pa.string()), ("content", pa.binary())]))
+
+
+def archive_contents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents packed into archives within archives, and unpacked."""
+    texts = frame(spark, d, "SELECT doc_id AS id, text FROM {documents}")
+    found = files.expanded(texts.mapInArrow(_packed, "id long, name string, content binary"))
+    return found.where("kind <> 'zip' or problem is not null").select("root", "path", F.col("depth").cast("long").alias("depth"), "bytes", "digest", "problem")
+
+
 def upload_chunks(spark: SparkSession, d: str) -> DataFrame:
     c = frame(spark, d, "SELECT l_orderkey AS upload_id, CAST((l_linenumber - 1) * 10 AS BIGINT) AS at, CAST(10 AS BIGINT) AS length, CAST(40 AS BIGINT) AS total FROM {lineitem}").where("at < 40")
     return files.assembled(c, 10)
@@ -163,7 +189,7 @@ def revision_changes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "import_rows": import_rows, "import_records": import_records, "import_outcomes": import_outcomes, "import_counters": import_counters, "import_errors": import_errors, "formula_guard": formula_guarded, "export_rows": export_rows, "export_cells": export_cells, "export_json": export_json,
     "extra_keys": extra_keys, "audit_sanitise": audit_sanitised, "rate_window": rate_window, "event_windows": event_windows, "user_sessions": user_sessions, "content_dedupe": content_dedupe, "duplicate_fan_out": duplicate_fan_out,
-    "file_kinds": file_kinds, "upload_chunks": upload_chunks, "image_frames": image_frames, "answer_cache": answer_cache, "review_actions": review_actions, "revision_changes": revision_changes,
+    "file_kinds": file_kinds, "upload_chunks": upload_chunks, "archive_contents": archive_contents, "image_frames": image_frames, "answer_cache": answer_cache, "review_actions": review_actions, "revision_changes": revision_changes,
 }
 
 _ROWS = """r AS (SELECT s_suppkey + 2 AS row_number, s_suppkey % 17 = 0 AS blank, s_suppkey % 19 = 0 AS bare, s_suppkey % 23 = 0 AS more, 'S-' || s_suppkey % 60 AS number, s_name, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier),
@@ -193,6 +219,8 @@ SELECT row_number, number, nation, nullif(substr(name, 1, 4000), '') AS name, fa
     "content_dedupe": "SELECT doc_id, source, CASE WHEN first <> doc_id THEN first END AS duplicate_of FROM (SELECT doc_id, source, min(doc_id) OVER (PARTITION BY source, sha256(text)) AS first FROM documents)",
     "duplicate_fan_out": "SELECT doc_id AS document_id, o AS ordinal FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents), (SELECT unnest([0::BIGINT, 1::BIGINT]) AS o) WHERE first <> doc_id",
     "file_kinds": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'zip' WHEN 2 THEN 'bmp' WHEN 3 THEN 'gif' WHEN 4 THEN 'webp' ELSE 'unknown' END AS kind FROM events",
+    "archive_contents": """SELECT doc_id AS root, doc_id || '.zip!texts/a.txt' AS path, 1::BIGINT AS depth, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes, sha256(coalesce(text, '')) AS digest, NULL AS problem FROM documents
+UNION ALL SELECT doc_id, doc_id || '.zip!in.zip!id.txt', 2, strlen(CAST(doc_id AS VARCHAR)), sha256(CAST(doc_id AS VARCHAR)), NULL FROM documents UNION ALL SELECT doc_id, doc_id || '.zip!../out.txt', 1, 1, NULL, 'path' FROM documents""",
     "upload_chunks": "WITH c AS (SELECT DISTINCT l_orderkey AS upload_id, (l_linenumber - 1) * 10 AS p FROM lineitem WHERE l_linenumber <= 4), r AS (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY p) - 1 AS k FROM c) SELECT upload_id, CAST(sum(CASE WHEN p = k * 10 THEN 10 ELSE 0 END) AS BIGINT) AS received, sum(CASE WHEN p = k * 10 THEN 10 ELSE 0 END) = 40 AS complete FROM r GROUP BY 1",
     "image_frames": "SELECT n_nationkey AS id, p AS page_number, '' AS text, true AS needs_ocr FROM (SELECT n_nationkey, unnest(range(1, greatest(1, n_nationkey % 4) + 1)) AS p FROM nation)",
     "answer_cache": "WITH w AS (SELECT doc_id, sha256('model|' || coalesce(text, '')) AS key FROM documents) SELECT doc_id, CASE WHEN key IN (SELECT key FROM w WHERE doc_id % 3 = 0) THEN substr(key, 1, 8) END AS answer FROM w",

@@ -61,6 +61,33 @@ def test_archives(spark):
     assert got == {(1, "a.txt"): None, (1, "../b.txt"): "path", (2, None): "unreadable"}
 
 
+def packed(**members):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in members.items():
+            z.writestr(name.replace("__", "/"), content)
+    return buffer.getvalue()
+
+
+def test_archives_in_archives(spark, monkeypatch):
+    deep = packed(**{"d.txt": "deepest"})
+    for name in ("three.zip", "two.zip", "one.zip"):
+        deep = packed(**{name: deep, f"beside_{name}.txt": name})
+    files_ = [(1, "a.zip", packed(**{"in__b.txt": "bb", "..__x.txt": "no", "c.zip": packed(**{"e.txt": "e" * 10, "f.pdf": "%PDF-1.4"})})), (2, "deep.zip", deep), (3, "plain.txt", b"text"), (4, "bad.zip", b"PK\x03\x04nothing"), (5, "bomb.zip", packed(**{"zeros": b"\0" * 3_000_000})), (6, "none", None)]
+    df = spark.createDataFrame(files_, "id long, name string, content binary")
+    got = {(r["root"], r["path"]): (r["depth"], r["kind"], r["problem"]) for r in files.expanded(df).where("problem is not null or kind <> 'zip'").collect()}
+    assert got == {
+        (1, "a.zip!in/b.txt"): (1, "unknown", None), (1, "a.zip!../x.txt"): (1, None, "path"), (1, "a.zip!c.zip!e.txt"): (2, "unknown", None), (1, "a.zip!c.zip!f.pdf"): (2, "pdf", None),
+        (2, "deep.zip!beside_one.zip.txt"): (1, "unknown", None), (2, "deep.zip!one.zip!beside_two.zip.txt"): (2, "unknown", None), (2, "deep.zip!one.zip!two.zip!beside_three.zip.txt"): (3, "unknown", None),
+        (2, "deep.zip!one.zip!two.zip!three.zip"): (3, None, "too_deep"), (3, "plain.txt"): (0, "unknown", None), (4, "bad.zip"): (0, None, "unreadable"), (5, "bomb.zip"): (0, None, "ratio"), (6, "none"): (0, "unknown", None),
+    }
+    assert all(r["content"] is None for r in files.expanded(df).where("kind = 'zip'").collect())
+    monkeypatch.setattr(files, "LARGEST_TOTAL", 2 + len(packed(**{"e.txt": "e" * 10, "f.pdf": "%PDF-1.4"})))  # enough for the first round of the first file, not for both
+    held = {(r["path"]): r["problem"] for r in files.expanded(df.where("id = 1")).where("kind is null").collect()}
+    assert held == {"a.zip!../x.txt": "path", "a.zip!c.zip": "total"}
+    assert files.expanded(df.limit(0)).count() == 0
+
+
 def test_kinds(spark):
     df = spark.createDataFrame([(b"%PDF-1.4 /Type /Page \n%%EOF",), (b"zzz",)], "c binary")
     assert [r[0] for r in df.select(files.file_kind(F.col("c"), F.lit("x"))).collect()] == ["pdf", "unknown"]
