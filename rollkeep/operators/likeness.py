@@ -1,12 +1,11 @@
-"""Similarity join of lines with the names they may hold damaged."""
+"""Lines and the names they may hold damaged."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollkeep.functions.fuzzy import SHORTEST, grams, lost_grams, placed
-from rollkeep.sources.scratch import materialize
 
 
 def damaged_names(lines: DataFrame, names: list[str], least: float, exact: bool = False) -> DataFrame:
@@ -14,44 +13,29 @@ def damaged_names(lines: DataFrame, names: list[str], least: float, exact: bool
 
     A line that holds a name as it stands has no row for it, or with ``exact`` one of ratio 1. Of the pairs of
     neighbouring characters of a name (of a shorter line: of the line) a window that is like it
-    keeps a certain number at least. So a line can only hold the name if it has one of the name's
-    rarest pairs, which are joined, and enough of them all, which is counted before texts are
-    compared. Lines of three characters must stand in the name. No line that is that like is lost.
-    ``names`` is a list of the caller's, its pairs a small table.
+    keeps a certain number at least, which is counted before texts are compared. Lines of three
+    characters must stand in the name. No line that is that like is lost. Only the pairs of names are looked
+    for, so that a line is read once for each and nothing grows with its length but the line itself.
+    ``names`` is a list of the caller's.
     """
-    spark = lines.sparkSession
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - 1), lambda i: F.substring("low", i, F.lit(2))))
-    different = materialize(lines.select("low").where("low <> ''").distinct().withColumn("_n", F.length("low")).withColumn("_g", F.when(F.col("_n") > 1, pairs).otherwise(F.array().cast("array<string>"))))
     names = sorted({n for n in names if len(n) >= SHORTEST})
-    every = sorted({g for n in names for g in grams(n)})
-    form = "name string, n int, need int, gram string, earlier array<string>, all array<string>"
-    counted = {}
-    if every:
-        known = different.select(F.explode(F.filter("_g", lambda g: F.array_contains(F.array(*[F.lit(x) for x in every]), g))).alias("g")).groupBy("g").count()
-        counted = {r["g"]: r["count"] for r in known.collect()}  # a row for each pair of the names at most
-    index, free = [], []
-    for name in names:
-        rare, need = sorted(grams(name), key=lambda g: (counted.get(g, 0), g)), len(grams(name)) - lost_grams(len(name), least)
-        if need < 1:
-            free.append(name)
-            continue
-        index += [(name, len(name), need, g, rare[:i], rare) for i, g in enumerate(rare[: len(rare) - need + 1])]
-    met = different.select("low", "_n", "_g", F.explode("_g").alias("gram")).join(spark.createDataFrame(index, form), "gram")
-    # Each pair of line and name comes once, by the first of the name's rare pairs that the line has.
-    first = ~F.arrays_overlap("earlier", "_g")
-    enough = F.size(F.array_intersect("_g", "all")) >= F.col("need")
-    by_name = met.where((F.col("_n") >= F.col("n")) & first & enough).select("low", "name")
-
-    short = different.where(F.col("_n") < max(map(len, names), default=0))
-    keeps = F.element_at(F.array(*[F.lit(lost_grams(n, least)) for n in range(1, max(map(len, names), default=0) + 1)] or [F.lit(0)]), F.col("_n"))
-    of_name = F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.substring("name", i, F.lit(2)))
-    paired = short.withColumn("name", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>"))).where(F.col("_n") < F.length("name"))
-    fits = F.when(F.col("_n") <= SHORTEST, F.contains(F.col("name"), F.col("low"))).otherwise(F.size(F.array_intersect("_g", of_name)) >= F.size("_g") - keeps)
-    by_line = paired.where(fits).select("low", "name")
-    loose = different.withColumn("name", F.explode(F.array(*[F.lit(n) for n in free]).cast("array<string>"))).where(F.col("_n") >= F.length("name")).select("low", "name")
+    longest = max(map(len, names), default=0)
+    different = lines.select("low").where("low <> ''").distinct().withColumn("_n", F.length("low"))
+    # How many pairs a line shorter than a name may lose; only of such lines all pairs are made.
+    keeps = F.element_at(F.array(*[F.lit(lost_grams(n, least)) for n in range(1, longest + 1)] or [F.lit(0)]), F.col("_n"))
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_n") - 1), lambda i: F.substring("low", i, F.lit(2))))
+    short = different.withColumn("_g", F.when((F.col("_n") > SHORTEST) & (F.col("_n") < longest), pairs))
+
+    def may_hold(name: str) -> Column:
+        need = len(grams(name)) - lost_grams(len(name), least)
+        kept = sum((F.contains(F.col("low"), F.lit(g)).cast("int") for g in grams(name)), F.lit(0)) >= need if need > 0 else F.lit(True)
+        shared = F.size(F.array_intersect("_g", F.array(*[F.lit(g) for g in grams(name)]))) >= F.size("_g") - keeps
+        return F.when(F.col("_n") >= len(name), kept).when(F.col("_n") <= SHORTEST, F.contains(F.lit(name), F.col("low"))).otherwise(shared)
+
+    met = F.filter(F.array(*[F.when(may_hold(n), F.lit(n)) for n in names]).cast("array<string>"), lambda n: n.isNotNull())
+    asked = short.select("low", F.explode(met).alias("name"))
 
     held = F.contains(F.col("low"), F.col("name"))
-    asked = by_name.unionByName(by_line).unionByName(loose)
     found = asked.where(~held).withColumn("_p", placed("name", "low", F.lit(float(least)))).where("_p.at IS NOT NULL").select("low", "name", "_p.*")
     if not exact:
         return found

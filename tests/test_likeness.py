@@ -80,3 +80,10 @@ def test_titles_as_scans_leave_them(spark):
     texts = [(1, "Certif1cate of Birth\nx\ny"), (2, "Certificate of Birth\nx\ny"), (3, "x\ny\nz\nCertif1cate of Birth"), (4, "Certif1cate of Birth\nx\ny\ncertificate of birth"), (5, None), (6, ""), (7, "rtificate of Deat\nz\nz\nz")]
     got = {r["i"]: (r["class"]["type"], r["class"]["top"]) for r in split.classified(spark.createDataFrame(texts, "i int, text string")).where("text is not null").collect()}
     assert got == {1: ("BIRTH", 6.0), 2: ("BIRTH", 6.0), 3: ("OTHER", 0.0), 4: ("BIRTH", 3.0), 6: ("OTHER", 0.0), 7: ("DEATH", 6.0)}
+
+
+def test_a_line_is_not_repeated_for_its_pairs(spark):
+    line = "".join(chr(0x4E00 + i) for i in range(5000)) + " dat3 of birth"
+    found = damaged_names(spark.createDataFrame([(line,)], "low string"), NAMES, 85.0)
+    assert [(r["name"], r["at"]) for r in found.collect()] == [("date of birth", 5002)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
