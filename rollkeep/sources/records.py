@@ -133,8 +133,9 @@ def records(lines: DataFrame) -> DataFrame:
     ``LONGEST_RECORD`` characters, at the end of a line.
     """
     block = ["path", "block"]
-    first = lines.groupBy("path").agg(F.min(F.struct("block", "at")).alias("_first"))
-    led = lines.join(first, "path").withColumn("heading", F.struct("block", "at") == F.col("_first")).drop("_first")
+    # The heading is met by its block, so that the lines of a file stay spread over its blocks.
+    first = lines.groupBy("path").agg(F.min(F.struct("block", "at")).alias("_first")).select("path", F.col("_first.block").alias("block"), F.col("_first.at").alias("_first"))
+    led = lines.join(first, block, "left").withColumn("heading", F.coalesce(F.col("at") == F.col("_first"), F.lit(False))).drop("_first")
     cut = led.withColumn("_pieces", F.split("line", '"', -1))
     cut = cut.withColumn("step", F.when(F.col("heading"), SET_OUTSIDE).otherwise(line_step(F.col("_pieces"), F.col("delimiter")))).drop("_pieces", "heading")
     told = _stepped(cut, block, "at")

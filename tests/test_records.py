@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +95,16 @@ def test_files_together(spark, tmp_path):
     ]
     kept, _ = delimited.import_files(spark, str(tmp_path), SCHEMA, spark.createDataFrame([], "number_key string"), on_duplicate="record", refuse=False)
     assert kept.where("outcome = 'created'").count() == 7
+
+
+def test_lines_of_a_file_do_not_meet_in_one_task(spark, monkeypatch):
+    lines = spark.createDataFrame([("f", b, i, f"{b},{i}", ",") for b in range(4) for i in range(3)], "path string, block long, at long, line string, delimiter string")
+    seen, kept = [], records.materialize
+    monkeypatch.setattr(records, "materialize", lambda df: (seen.append(df._jdf.queryExecution().executedPlan().toString()), kept(df))[1])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert [r["record"] for r in records.records(lines).orderBy("row_number").collect()] == [f"{b},{i}" for b in range(4) for i in range(3)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(re.findall(r"Exchange hashpartitioning\(path#\d+, \d+\)", seen[0])) == 1  # of the heading's place only
