@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from rollkeep.operators import counts, duplicates, split
+from rollkeep.operators import counts, duplicates, search, split
 from rollkeep.sources import scratch
 
 FORM = "id long, workspace_id int, type_id string, name_key string, event_date string, number_key string, registration_key string, status string, created_at int"
@@ -80,3 +80,10 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.shared_dir(Session())
+
+
+def test_keys_are_made_once(spark):
+    entries = spark.createDataFrame([(i, 1, "t", "2020-01-01", f"N-{i % 3}", f"R {i}", "Ann Lee", "ACTIVE", i) for i in range(6)], "id long, workspace_id int, type_id string, event_date string, number string, registration_number string, primary_name string, status string, created_at int")
+    keyed = search.with_keys(entries)
+    for found, n in ((duplicates.same_number(keyed), 6), (duplicates.same_person(keyed), 24), (duplicates.classified(keyed), 30)):
+        assert "EvalPython" not in found._jdf.queryExecution().toString() and found.count() == n
