@@ -24,7 +24,7 @@ DISTANCE = 3
 #: (similarity 0.8 makes texts differ in 15% of the bits), and of three segments.
 SHINGLE, PARTS, APART, AHEAD = 5, 4, 40, 7
 #: Fingerprints of one chain key beyond this number are compared in blocks.
-HOT = 64
+HOT = 4
 BLOCK = 256
 
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -149,7 +149,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, ahead: int = 2) -> DataFra
     flips = [0, *(1 << k for k in range(WIDTH))]
     each = nodes.select("node", F.posexplode("marks").alias("part", "mark"))
     whose = lambda key: F.shiftleft(F.col("part").cast("long"), 2 * WIDTH + 2) + key
-    index = each.select("node", F.explode(F.array(*[whose(_chain(F.col("mark"), i)) for i in range(SEGMENTS)])).alias("key"))
+    index = materialize(each.select("node", F.explode(F.array(*[whose(_chain(F.col("mark"), i)) for i in range(SEGMENTS)])).alias("key")))
     probe = each.select(F.col("node").alias("probe"), F.explode(F.array(*[whose(_chain(F.col("mark"), i, f)) for i in range(SEGMENTS) for f in flips])).alias("key"))
     hot = materialize(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT))
     cool = index if hot.isEmpty() else index.join(hot, "key", "left_anti")
@@ -165,7 +165,9 @@ def links(nodes: DataFrame, distance: int = DISTANCE, ahead: int = 2) -> DataFra
     if hot.isEmpty():
         return edges
     # Each side is cut into blocks by its own count; every block of one side meets every block of the other.
-    probed = probe.select(F.col("probe").alias("node"), "key").join(hot.select("key"), "key")
+    # The few hot keys are turned instead of all fingerprints: who probes a key is indexed under it with the same bit flipped.
+    turned = hot.select("key", F.explode(F.array(*[F.col("key").bitwiseXOR(F.lit(f).cast("long")) for f in flips])).alias("_own"))
+    probed = materialize(index.withColumnRenamed("key", "_own").join(turned, "_own").select("node", "key"))
     hot = materialize(hot.join(probed.groupBy("key").agg(F.count("*").alias("m")), "key"))
     n_index, n_probe = (F.ceil(F.col(c) / BLOCK) for c in ("n", "m"))
     block = lambda n: F.pmod(F.xxhash64("node"), n)
