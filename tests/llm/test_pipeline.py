@@ -152,3 +152,17 @@ def test_run_applies_every_stage(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     ids = {r[0] for r in docs.select("doc_id").collect()}
     assert {r["doc_id"] for r in rows} <= ids and {r["shard"] for r in rows} == set(range(16))
+
+
+def test_a_group_of_near_copies_does_not_make_all_its_pairs(spark, monkeypatch):
+    nodes = spark.createDataFrame([(i, [5 | (1 << i - 1 if i else 0) << 16]) for i in range(17)], "node long, marks array<long>")
+    made, kept = [], simhash.materialize
+
+    def seen(df):
+        out = kept(df)
+        made.extend([out.count()] if df.columns == ["a", "b", "chain"] else [])
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", seen)
+    assert {r["root"] for r in simhash.roots(nodes).collect()} == {0}
+    assert sum(made) < 17 * 4
