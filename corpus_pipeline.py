@@ -17,9 +17,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+#: Documents that share so many of a hundred of their shingles are near-duplicates, found by their fingerprints or not.
+SIMILAR = 80
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of SimHash near-duplicates."""
-    return keep_one(docs)
+    """Keep one document of each group of near-duplicates: linked by SimHash, or by their shared shingles."""
+    return keep_one(docs, percent=SIMILAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollkeep.llm.graph import components
+from rollkeep.llm.overlap import similar_links
 from rollkeep.llm.storage import fresh, lean_batches, materialize
 from rollkeep.llm.words import NOT_SPACE, blocks, mix, prefix_hash, span_hash
 
@@ -203,12 +204,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(by_mark, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, parts: int = PARTS, distance: int = APART, ahead: int = AHEAD) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, parts: int = PARTS, distance: int = APART, ahead: int = AHEAD, percent: int | None = None) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
 
     Documents are linked whose fingerprints, ``parts`` of 64 bits over shingles of
-    ``shingle`` words, differ in at most ``distance`` bits: similarity 0.8 and more, as far
-    as a chain of segments stands in one of them (see the README for what is found).
+    ``shingle`` words, differ in at most ``distance`` bits, as far as a chain of segments
+    stands in one of them. With ``percent`` all documents are linked, too, that share so
+    many of a hundred of their different shingles (those of both among those of either),
+    whatever their fingerprints are: no such pair is left out.
     Texts without words, null included, are alike. A null doc_id comes last; of rows with
     equal ids, repeated rows included, the first read stays. An empty table gives no rows;
     other columns pass through, whatever their names.
@@ -218,5 +221,11 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, parts: int = PARTS, distan
     node = F.xxhash64(F.array_join(F.col(mark).cast("array<string>"), ","))
     narrow = marked.select(node.alias("node"), F.col(mark).alias("marks"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(row).alias("row"))
     firsts = materialize(narrow.groupBy("node").agg(F.first("marks").alias("marks"), F.min(F.struct("unnamed", "doc_id", "row")).alias("first")))
-    kept = firsts.select("node", "first").join(roots(firsts.select("node", "marks"), distance, ahead), "node").groupBy("root").agg(F.min("first").alias("first"))
+    rooted = roots(firsts.select("node", "marks"), distance, ahead)
+    if percent is not None:
+        rooted = materialize(rooted)
+        texts = marked.select(F.col(row).alias("row"), node.alias("node"), F.col("text"))
+        joined = components(similar_links(texts, rooted, shingle, percent)).select(F.col("a").alias("root"), F.col("root").alias("_to"))
+        rooted = rooted.join(joined, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    kept = firsts.select("node", "first").join(rooted, "node").groupBy("root").agg(F.min("first").alias("first"))
     return marked.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)

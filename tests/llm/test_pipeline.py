@@ -166,3 +166,34 @@ def test_a_group_of_near_copies_does_not_make_all_its_pairs(spark, monkeypatch):
     monkeypatch.setattr(simhash, "materialize", seen)
     assert {r["root"] for r in simhash.roots(nodes).collect()} == {0}
     assert sum(made) < 17 * 4
+
+
+def test_no_similar_pair_is_left_out(spark, docs, rows):
+    """The stage's groups hold every pair of texts that shares 80 of a hundred of its shingles, at the threshold itself and in crowds."""
+    rng = np.random.default_rng(5)
+    texts = [r[1] for r in rows]
+    for k in range(120):
+        w = [f"{'ab'[k % 2]}{x}" for x in rng.integers(0, 3000, int(rng.integers(5, 200)))]
+        v = w + [f"new{x}" for x in range(len(w) // int(rng.integers(4, 7)))]
+        texts += [" ".join(w), " ".join(v)]
+    texts += [" ".join(f"n{i}" for i in range(13)), " ".join(f"n{i}" for i in range(11)) + " x y", " ".join(f"m{i}" for i in range(14)), " ".join(f"m{i}" for i in range(12))]  # of 9 and 10 shingles; 8 of 10 shared
+    line = [f"often{i}" for i in range(60)]
+    texts += [" ".join(line[:at] + [f"own{at}"] + line[at + 1 :]) for at in range(60)]
+    texts += [" ".join(line * 2 + [f"end{i}" for i in range(k)]) for k in range(20)]
+
+    def shingles(t):
+        w = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(1, len(w))))}
+
+    sets, near = [shingles(t) for t in texts], []
+    for i, a in enumerate(sets):
+        near += [(i, j) for j in range(i) if 100 * len(a & sets[j]) >= 80 * len(a | sets[j])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    stage = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, SF).collect()}
+    by_marks = similar(simhash.similar_marks(pa.array(texts, pa.large_string()), simhash.SHINGLE, simhash.PARTS))
+    root = list(by_marks)
+    for a, b in near:
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = [new if r == old else r for r in root]
+    assert sum(by_marks[a] != by_marks[b] for a, b in near) > 20  # those that fingerprints leave out
+    assert stage == {min(i for i, r in enumerate(root) if r == g) for g in set(root)}
