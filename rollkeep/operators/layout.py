@@ -1,7 +1,8 @@
 """Lines, columns and blocks out of the words of a page, in reading order.
 
 Everything is windows over the words of a page and folds over short arrays: one shuffle by page,
-and only the sorts within a page differ.
+and only the sorts within a page differ. A task holds a copy of its words for each of these sorts, so
+pages are dealt by how many words there are, not by how small the shuffle is.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from rollkeep.functions.text import ARABIC, WHITESPACE, fold_script, nfkc, norma
 LOOK_BACK, OVERLAP = 3, 0.5
 #: Gaps that begin a block (in median line heights), a column (in heights of the line) and a space (in heights of the smaller word).
 BLOCK_GAP, COLUMN_GAP, SPACE_GAP = 1.6, 3.0, 0.08
+#: Words that a task lays out, about; a page is never parted.
+WORDS_A_TASK = 1 << 17
 PAGE = ["document_id", "page_number"]
 SIDES = ("x0", "y0", "x1", "y1")
 _RECENT = "array<struct<id:int,y0:double,y1:double>>"
@@ -73,7 +76,7 @@ def _direction(arabic: Column, letters: Column) -> Column:
 
 
 def reading_order(words: DataFrame) -> DataFrame:
-    """Adds to words of lines ``_at``, their place in the line as it is read, and ``_column``.
+    """Adds to words of lines ``_at``, their place in the line as it is read (in order of ``_r`` and ``_i``), and ``_column``.
 
     Words come in runs: those of one ``line_key`` in their ``order`` where every word of the page has
     one, else each word by itself. Runs from left to right are cut into columns at wide gaps. A
@@ -85,12 +88,12 @@ def reading_order(words: DataFrame) -> DataFrame:
     letters = F.regexp_replace("text", "[^\\p{L}]", "")
     height = F.when(F.col("y1") > F.col("y0"), F.col("y1") - F.col("y0"))
     told = words.withColumn("_letters", F.length(letters)).withColumn("_arabic", F.length(F.regexp_replace(letters, f"[^{ARABIC}]", "")))
-    told = told.withColumn("_height", F.coalesce(F.median(height).over(W.partitionBy(*line)), F.lit(1.0)))
     told = told.withColumn("_trusted", F.min(F.col("line_key").isNotNull()).over(W.partitionBy(*PAGE)))
     told = told.withColumn("_o", F.when(F.col("_trusted"), F.col("order").cast("double")).otherwise(F.col("x0")))
     engine = W.partitionBy(*line).orderBy("_o", "_key")
     same = F.col("_trusted") & (F.col("line_key") == F.lag("line_key").over(engine))
     told = told.withColumn("_new", 1 - F.coalesce(same, F.lit(False)).cast("int")).withColumn("_run", F.sum("_new").over(engine))
+    told = told.withColumn("_height", F.coalesce(F.median(height).over(W.partitionBy(*line)), F.lit(1.0)))
 
     held = F.sort_array(F.collect_list(F.struct("_o", "_key", "text", *SIDES))).alias("_held")
     runs = told.groupBy(*line, "_run", "_height", "_top", "_bottom").agg(F.min("x0").alias("_x0"), F.max("x1").alias("_x1"), _direction(F.sum("_arabic"), F.sum("_letters")).alias("_left"), held)
@@ -113,7 +116,7 @@ def reading_order(words: DataFrame) -> DataFrame:
     runs = runs.withColumn("_r", F.row_number().over(W.partitionBy(*line).orderBy("_column", "_stretch", F.when(F.col("_against"), -F.col("_s")).otherwise(F.col("_s")))))
     words = runs.select(*line, "_column", "_height", "_top", "_bottom", "_r", F.posexplode("_held").alias("_i", "_w"))
     placed = words.withColumn("_at", F.row_number().over(W.partitionBy(*line).orderBy("_r", "_i")) - 1)
-    return placed.select(*line, "_column", "_height", "_top", "_bottom", "_at", "_w.text", *[f"_w.{s}" for s in SIDES])
+    return placed.select(*line, "_column", "_height", "_top", "_bottom", "_r", "_i", "_at", "_w.text", *[f"_w.{s}" for s in SIDES])
 
 
 def placed_words(words: DataFrame) -> DataFrame:
@@ -128,10 +131,11 @@ def placed_words(words: DataFrame) -> DataFrame:
     key = F.col("line_key").cast("string") if "line_key" in words.columns else F.lit(None).cast("string")
     order = F.col("order").cast("long") if "order" in words.columns else F.lit(None).cast("long")
     usable = words.select(*PAGE, text.alias("text"), *[F.col(s).cast("double").alias(s) for s in SIDES], key.alias("line_key"), order.alias("order")).where("text <> ''")
+    usable = usable.repartition(max(1, -(-words.count() // WORDS_A_TASK)), *PAGE)
     # What tells words of equal place apart: the engine's order, then their boxes and texts.
     usable = usable.withColumn("_key", F.struct(F.coalesce("order", F.lit(0)).alias("o"), F.col("x1").alias("x"), F.col("y0").alias("y"), F.col("text").alias("t")))
     read = reading_order(visual_lines(usable))
-    line = W.partitionBy(*PAGE, "_line").orderBy("_at")
+    line = W.partitionBy(*PAGE, "_line").orderBy("_r", "_i")
     own = F.when(F.col("y1") > F.col("y0"), F.col("y1") - F.col("y0")).otherwise(F.col("_height"))
     near = F.lag(F.struct(F.col("x0").alias("a"), F.col("x1").alias("b"), own.alias("h"), F.col("_column").alias("c"))).over(line)
     read = read.withColumn("_own", own).withColumn("_near", near)
@@ -141,14 +145,16 @@ def placed_words(words: DataFrame) -> DataFrame:
 
 
 def with_blocks(read: DataFrame) -> DataFrame:
-    """Numbers blocks: one ends where the next line is further down than ``BLOCK_GAP`` median heights of the page's lines."""
-    lines = read.groupBy(*PAGE, "_line").agg(F.first("_top").alias("_top"), F.first("_bottom").alias("_bottom"))
-    height = F.median(F.when(F.col("_bottom") > F.col("_top"), F.col("_bottom") - F.col("_top"))).over(W.partitionBy(*PAGE))
-    down = W.partitionBy(*PAGE).orderBy("_line")
-    lines = lines.withColumn("_median", height).withColumn("_far", F.coalesce(F.col("_top") - F.lag("_bottom").over(down) > BLOCK_GAP * F.col("_median"), F.lit(False)).cast("int"))
-    lines = lines.select(*[F.col(c).alias(f"_{c}") for c in PAGE], F.col("_line").alias("_l"), F.sum("_far").over(down).alias("block"))
-    joined = read.join(lines, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PAGE] + [F.col("_line") == F.col("_l")])
-    return joined.select(*PAGE, F.col("_line").cast("long").alias("line"), F.col("block").cast("long").alias("block"), F.col("_at").cast("long").alias("position"), "before", "text", *SIDES)
+    """Numbers blocks: one ends where the next line is further down than ``BLOCK_GAP`` median heights of the page's lines.
+
+    The first word of a line stands for it, so that words needn't be joined with their lines.
+    """
+    opens = F.col("_at") == 0
+    height = F.median(F.when(opens & (F.col("_bottom") > F.col("_top")), F.col("_bottom") - F.col("_top"))).over(W.partitionBy(*PAGE))
+    down = W.partitionBy(*PAGE).orderBy("_line", "_r", "_i")
+    told = read.withColumn("_median", height).withColumn("_far", (opens & F.coalesce(F.col("_top") - F.lag("_bottom").over(down) > BLOCK_GAP * F.col("_median"), F.lit(False))).cast("int"))
+    told = told.withColumn("block", F.sum("_far").over(down.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return told.select(*PAGE, F.col("_line").cast("long").alias("line"), F.col("block").cast("long").alias("block"), F.col("_at").cast("long").alias("position"), "before", "text", *SIDES)
 
 
 def lines(words: DataFrame) -> DataFrame:

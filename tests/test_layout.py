@@ -120,6 +120,18 @@ def test_random_pages_as_plain_python(spark):
     assert got == {p: expected(w) for p, w in pages.items()}
 
 
+def test_tasks_are_bounded_in_words(spark, monkeypatch):
+    """Pages are dealt by the number of words, laid out where they are, and never joined with their lines."""
+    monkeypatch.setattr(layout, "WORDS_A_TASK", 50)
+    rows = [(7, page, f"w{k}", 20.0 * k, 0.0, 20.0 * k + 15, 10.0, None, None) for page in range(100) for k in range(10)]
+    placed = layout.placed_words(frame(spark, rows))
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert placed.rdd.getNumPartitions() == 20
+    assert max(len(part) for part in placed.rdd.glom().collect()) <= 150
+    assert layout.lines(frame(spark, rows)).count() == 100
+
+
 def test_empty(spark):
     assert layout.lines(frame(spark, [])).count() == 0
     assert layout.lines(frame(spark, [(None, None, "a", 0.0, 0.0, 1.0, 1.0, None, None), (None, None, None, 0.0, 0.0, 1.0, 1.0, None, None)])).count() == 1
