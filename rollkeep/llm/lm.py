@@ -242,16 +242,19 @@ class Bits:
     run: np.ndarray | None
 
 
-def _slots(contexts: np.ndarray, node: np.ndarray, slot_bits: int) -> np.ndarray:
-    """The slot of each context at a node of a code; each predictor has its own slots."""
-    h = contexts + node * np.uint32(0x9E3779B1)
-    h ^= h >> np.uint32(15)
-    h *= np.uint32(0x85EBCA6B)
-    h ^= h >> np.uint32(13)
-    h *= np.uint32(0xC2B2AE35)
-    h >>= np.uint32(32 - slot_bits)
-    h += (np.arange(N_CONTEXTS, dtype=np.uint32) << np.uint32(slot_bits))[:, None]
-    return h.astype(np.int32)
+def _put_slots(slots: np.ndarray, at: np.ndarray, contexts: np.ndarray, which: np.ndarray, node: np.ndarray, slot_bits: int) -> None:
+    """Writes the slot of each context at a node of a code; each predictor has its own slots. One predictor at a time, in place: what is worked on stays small."""
+    node = node * np.uint32(0x9E3779B1)
+    for k in range(N_CONTEXTS):
+        h = contexts[k].take(which)
+        h += node
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(13)
+        h *= np.uint32(0xC2B2AE35)
+        h >>= np.uint32(32 - slot_bits)
+        h += np.uint32(k << slot_bits)
+        slots[k][at] = h.view(np.int32)
 
 
 def _short(keys: list[np.ndarray]) -> np.ndarray:
@@ -351,7 +354,7 @@ class Reading:
         at, left = start[which] + i, length[which] - i
         c = code[which]
         path = ((c >> left) | (1 << i)).astype(np.uint32)
-        slots[:, at] = _slots(self.contexts[:, some[which]], path, slot_bits)
+        _put_slots(slots, at, self.contexts, some.take(which), path, slot_bits)
         unit[at] = own[which]
         kind[at], bit[at] = np.minimum(i, WORD_BITS - 1), (c >> (left - 1)) & 1
         last = self.last[some]
@@ -374,7 +377,7 @@ class Reading:
             c, left = CODE[data[which]], byte_bits[which] - i
             mine = spelled[word[which]]
             at = start[mine] + length[mine] + np.arange(len(which)) - bits_before[first[:-1]][word[which]]
-            slots[:, at] = _slots(contexts[:, which], ((c >> left) | (1 << i)).astype(np.uint32) | np.uint32(1 << 31), slot_bits)
+            _put_slots(slots, at, contexts, which, ((c >> left) | (1 << i)).astype(np.uint32) | np.uint32(1 << 31), slot_bits)
             kind[at] = WORD_BITS + np.minimum(place, BYTE_PLACES - 1)[which] * BYTE_BITS + i
             unit[at] = own[mine] + 1 + place[which]
             bit[at] = (c >> (left - 1)) & 1
@@ -464,6 +467,7 @@ def newton_sums(counts_of, held, slot_bits: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, weight = held.value
+        pairs = np.ascontiguousarray(counts).view(np.int64).reshape(-1)  # zeros and ones of a slot as one item
         total = np.zeros((N_GATES, width, width + 1))
         for batch in batches:
             for b in blocks(batch.column("text"), NOT_SPACE, BLOCK):
@@ -471,7 +475,7 @@ def newton_sums(counts_of, held, slot_bits: int, width: int):
                 for some in r.parts():
                     bits = r.bits(some, slot_bits, False)
                     one = bits.bit.astype(np.float32)
-                    both = counts.take(bits.slots, axis=0)
+                    both = pairs.take(bits.slots).view(np.float32).reshape(N_CONTEXTS, -1, 2)
                     zeros, ones = np.maximum(both[..., 0] - (1 - one), 0), np.maximum(both[..., 1] - one, 0)
                     gate = _gates(bits.kind, zeros[-1] + ones[-1])
                     order = np.argsort(gate, kind="stable")
@@ -573,7 +577,8 @@ def read_lanes(model: Model, bits: Bits, first: np.ndarray) -> np.ndarray:
     """The natural log of the probability of each lane, the tokens first[i]..first[i + 1], one unit (word code or byte) of every lane at a time.
 
     The bits of a unit have gates of their own, so their weights don't wait for each other;
-    odds and refinement follow after the unit.
+    odds and refinement follow after the unit. What a step doesn't need of the one before is worked
+    out for all bits at once: odds are counts of what came before, refinement reads the mixed guesses.
     """
     cut = bits.first[first]
     n_lanes, n_bits = len(first) - 1, len(bits.bit)
@@ -593,7 +598,7 @@ def read_lanes(model: Model, bits: Bits, first: np.ndarray) -> np.ndarray:
     sizes = np.empty(len(head), dtype=np.int64)
     sizes[place] = n_unit
     begin = np.concatenate([[0], np.cumsum(sizes)])
-    at = begin[at]
+    at = begin[at].tolist()
     which = np.repeat(np.arange(len(head)), n_unit)
     to = (begin[place] - head)[which] + np.arange(n_bits)
     width = N_CONTEXTS + 2
@@ -601,51 +606,79 @@ def read_lanes(model: Model, bits: Bits, first: np.ndarray) -> np.ndarray:
     for k in range(N_CONTEXTS):
         found = model.stretch.take(bits.slots[k])
         x_all[to, k] = found
+    x_all[to, N_CONTEXTS] = expected_guess(bits, head, lane_of, which)
     seen = found.view(np.uint32) & np.uint32(3)
     lane = rank[lane_of][which]
-    here_all, row_all, odds_all = (np.empty(n_bits, dtype=np.int32) for _ in range(3))
+    here_all, row_all = np.empty(n_bits, dtype=np.int64), np.empty(n_bits, dtype=np.int32)
     here_all[to] = lane * (2 * N_GATES) + _gates(bits.kind, seen) + (bits.guess != 0) * N_GATES
     row_all[to] = (lane * 3 + np.where(bits.guess == 0, 0, np.where(bits.run >= 2, 2, 1))) * (STEPS + 1)
-    odds_all[to] = lane * len(HITS) + bits.run
-    guess, one_all = (np.empty(n_bits, dtype=np.float32) for _ in range(2))
-    guess[to], one_all[to] = bits.guess, bits.bit
+    sign = np.empty(n_bits, dtype=np.float32)  # 1 or -1, so that the error of a guess z is sign / (1 + exp(sign * z))
+    sign[to] = 2 * bits.bit - 1
 
     weight = np.tile(model.weight, (n_lanes, 1))
     whole = weight.view(f"V{4 * width}").reshape(-1)  # the same, a row as one item
-    odds = np.tile(np.stack([HITS, MISSES], axis=1).astype(np.float32), (n_lanes, 1))
-    refined = np.zeros(n_lanes * 3 * (STEPS + 1), dtype=np.float32)
-    cost = np.empty(n_bits, dtype=np.float32)
-    half, rate, slow, share = np.float32(STEPS / (2 * REACH)), np.float32(RATE), np.float32(REFINE), np.float32(SHARE)
+    z_all, rate, one = np.empty(n_bits, dtype=np.float32), np.float32(RATE), np.float32(1)
     for s in range(longest):
         now = slice(at[s], at[s + 1])
-        x, one, here, row = x_all[now], one_all[now], here_all[now], row_all[now]
-        said = guess[now]
-        some = np.flatnonzero(said)
-        x[:, N_CONTEXTS] = 0
-        if len(some):
-            mine = odds_all[now].take(some)
-            known = odds.take(mine, axis=0)
-            x[some, N_CONTEXTS] = said.take(some) * np.log(known[:, 0] / known[:, 1])
+        x, here, z, signed = x_all[now], here_all[now], z_all[now], sign[now]
         w = weight.take(here, axis=0)
-        z = np.minimum(np.maximum(np.einsum("ij,ij->i", w, x), -REACH), REACH)
-        p = 1 / (1 + np.exp(-z))
-        w += (rate * (one - p))[:, None] * x
+        np.einsum("ij,ij->i", w, x, out=z)
+        np.maximum(z, -REACH, out=z)
+        np.minimum(z, REACH, out=z)
+        off = np.exp(signed * z)
+        off += one
+        np.divide(rate * signed, off, out=off)
+        w += off[:, None] * x
         whole[here] = w.view(whole.dtype).reshape(-1)
-        # Refinement: what to add to the stretched probability, between two of its steps, by whether a word is expected.
-        point = (z + np.float32(REACH)) * half
-        low = np.minimum(point.astype(np.int32), STEPS - 1)
-        part = point - low
-        row = row + low
-        below, above = refined.take(row), refined.take(row + 1)
-        final = 1 / (1 + np.exp(-(z + share * (below + part * (above - below)))))
-        cost[now] = final
-        off = slow * (one - final)
-        refined[row] = below + (1 - part) * off
-        refined[row + 1] = above + part * off
-        if len(some):
-            right = (said.take(some) > 0) == (one.take(some) > 0)
-            odds.reshape(-1)[2 * mine + ~right] += np.float32(0.25)
-    return np.bincount(np.repeat(np.arange(n_lanes), np.diff(cut)), np.log(np.abs(1 - one_all - cost, dtype=np.float64)).take(to), minlength=n_lanes)
+
+    del x_all, here_all, weight, whole
+    # Refinement: what to add to the stretched probability, between two of its steps, by whether a word is expected.
+    part_all = (z_all + np.float32(REACH)) * np.float32(STEPS / (2 * REACH))
+    low = np.minimum(part_all.astype(np.int32), STEPS - 1)
+    part_all -= low
+    row_all = (row_all + low).astype(np.int64)
+    above_all = row_all + 1
+    slow, share = np.float32(REFINE), np.float32(SHARE)
+    refined = np.zeros(n_lanes * 3 * (STEPS + 1), dtype=np.float32)
+    for s in range(longest):
+        now = slice(at[s], at[s + 1])
+        row, up, part, z, signed = row_all[now], above_all[now], part_all[now], z_all[now], sign[now]
+        below, above = refined.take(row), refined.take(up)
+        more = above - below
+        more *= part
+        more += below
+        more *= share
+        z += more
+        off = np.exp(signed * z)
+        off += one
+        np.divide(slow * signed, off, out=off)
+        rest = part * off
+        above += rest
+        off -= rest
+        below += off
+        refined[row] = below
+        refined[up] = above
+    cost = np.logaddexp(0.0, -(sign * z_all).astype(np.float64))
+    return -np.bincount(np.repeat(np.arange(n_lanes), np.diff(cut)), cost.take(to), minlength=n_lanes)
+
+
+def expected_guess(bits: Bits, head: np.ndarray, lane_of: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The stretched guess of the expected word at each bit: the odds of its run of hits, by the units with a hit and those with a miss before in the lane; 0 where none is expected."""
+    right = (bits.guess > 0) == (bits.bit > 0)
+    said = bits.guess != 0
+    asked = np.flatnonzero(np.add.reduceat(said, head, dtype=np.int32)) if len(head) else head  # units for which something is expected
+    key = lane_of[asked] * len(HITS) + bits.run[head[asked]]
+    order = np.argsort(key, kind="stable")
+    sorted_key = key[order]
+    begin = np.searchsorted(sorted_key, sorted_key)
+    log_odds = np.zeros(len(head), dtype=np.float32)
+    held = []
+    for start, kind in ((HITS, said & right), (MISSES, said & ~right)):
+        came = (np.add.reduceat(kind, head, dtype=np.int32) > 0)[asked[order]] if len(head) else np.zeros(0, dtype=bool)
+        before = np.cumsum(came) - came
+        held.append(start[bits.run[head[asked[order]]]] + 0.25 * (before - before[begin]))
+    log_odds[asked[order]] = np.log(held[0] / held[1])
+    return bits.guess * log_odds[which]
 
 
 def score_batches(model_of, counts_of):

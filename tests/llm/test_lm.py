@@ -144,6 +144,29 @@ def test_scores_equal_plain_mixing(fitted):
         assert math.isclose(lm.read(model, lm.Reading.of(alone, counts))[0], got[i], rel_tol=1e-5)
 
 
+def test_odds_are_counts_of_what_came_before(fitted):
+    """The guess of the expected word, worked out for all bits at once, is what following the odds unit by unit gives."""
+    counts, _, model, texts = fitted
+    (b,) = blocks(pa.array([texts[0], "a b c a b c a b d unseen unseen a b", "", "zq zq zr " * 90], pa.string()), NOT_SPACE, lm.BLOCK)
+    r = lm.Reading.of(b, counts)
+    bits = r.bits(np.arange(len(r.t.token)), model.slot_bits, True)
+    head = np.flatnonzero(np.diff(bits.unit, prepend=-1))
+    lane_of = np.searchsorted(bits.first[r.t.first], head, side="right") - 1
+    which = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(bits.bit))))
+    got = lm.expected_guess(bits, head, lane_of, which)
+    odds = {}
+    for u in range(len(head)):
+        mine = odds.setdefault((lane_of[u], bits.run[head[u]]), [lm.HITS[bits.run[head[u]]], lm.MISSES[bits.run[head[u]]]])
+        came = set()
+        for i in np.flatnonzero(which == u):
+            assert math.isclose(got[i], bits.guess[i] * math.log(mine[0] / mine[1]), rel_tol=1e-5, abs_tol=1e-6)
+            if bits.guess[i]:
+                came.add(0 if (bits.guess[i] > 0) == (bits.bit[i] > 0) else 1)
+        for w in came:
+            mine[w] += 0.25
+    assert (got != 0).any() and len(odds) > 4
+
+
 def test_every_bit_is_counted(fitted):
     counts, table, model, texts = fitted
     (b,) = blocks(pa.array(texts, pa.string()), NOT_SPACE, 1 << 30)
