@@ -252,3 +252,40 @@ def test_classes_follow_who_follows_whom():
     got = lm.classes_of(pairs)
     assert len(set(got[1:20])) == len(set(got[20:45])) == len(set(got[100:130])) == 1 and len(set(got)) == 4 and got[0] == 0
     assert (lm.classes_of(np.zeros_like(pairs)) == 0).all()
+
+
+def test_equal_tokens_are_counted_and_fitted_once(fitted):
+    """Word codes with equal contexts are one unit, and the sums are those of all bits, taken one by one."""
+    counts, table, model, texts = fitted
+    batch = lambda: iter([pa.RecordBatch.from_arrays([pa.array([*texts[:40], *texts[:40], "zq" * 90, None], pa.string())], names=["text"])])
+    some = list(lm.units_once(batch(), counts))
+    (b,) = blocks(next(batch()).column("text"), NOT_SPACE, 1 << 30)
+    r = lm.Reading.of(b, counts)
+    words = [(u, n) for u, n in some if u.most == lm.WORD_BITS]
+    assert sum(int(n.sum()) for _, n in words) == len(r.t.token) and sum(len(n) for _, n in words) <= len(r.t.token) // 2
+    assert sum(int((u.length * n).sum()) for u, n in some) == r.sizes()[0].sum()
+
+    weight = lm.first_weights()
+    width = weight.shape[1]
+    got, want = (np.zeros((lm.N_GATES, width, width + 1)) for _ in range(2))
+    for s in lm.newton_sums(Held(counts), Held((table, weight)), model.slot_bits, width)(batch()):
+        got.reshape(-1)[s.column("at").to_numpy()] += s.column("value").to_numpy()
+    bits = r.bits(np.arange(len(r.t.token)), model.slot_bits, False)
+    for i in range(len(bits.bit)):
+        one = int(bits.bit[i])
+        zeros, ones = np.maximum(table[bits.slots[:, i]].astype(float).T - [[1 - one], [one]], 0)
+        seen, x = zeros[-1] + ones[-1], np.append(lm.stretched(zeros, ones), 1.0)
+        gate = int(bits.kind[i]) * 3 + (0 if seen == 0 else 1 if seen < 3 else 2)
+        p = 1 / (1 + math.exp(-float(weight[gate] @ x)))
+        want[gate, :, :width] += np.outer(x, x) * max(p * (1 - p), 1e-4)
+        want[gate, :, width] += x * (one - p)
+    assert np.abs(got - want).max() < 1e-3 * np.abs(want).max() and (np.abs(got - want) < 1e-3 * np.abs(want) + 0.05).all()
+
+
+def test_long_codes_cost_what_their_bits_cost(fitted, monkeypatch):
+    """Products of probabilities are cut, so that no unit leaves the range of a number."""
+    counts, _, model, texts = fitted
+    (b,) = blocks(pa.array(texts[:9], pa.string()), NOT_SPACE, lm.BLOCK)
+    whole = lm.read(model, lm.Reading.of(b, counts))
+    monkeypatch.setattr(lm, "HALF", 8)
+    assert int(lm.Reading.of(b, counts).length.max()) > lm.HALF and np.allclose(lm.read(model, lm.Reading.of(b, counts)), whole, rtol=1e-9)
