@@ -156,7 +156,8 @@ def links(nodes: DataFrame, distance: int = DISTANCE, ahead: int = 2) -> DataFra
     cool = index if hot.isEmpty() else index.join(hot, "key", "left_anti")
     # Rows hold no more than key and node; the fingerprints of a candidate pair are looked up and count together.
     chain = F.shiftright("key", 2 * WIDTH).cast("int").alias("chain")
-    found = materialize(probe.join(cool, "key").where("probe < node").select(F.col("probe").alias("a"), F.col("node").alias("b"), chain).distinct())
+    # Spark sizes the probes by the nodes they are exploded from, 68 of them for each fingerprint: they must never be broadcast.
+    found = materialize(probe.hint("merge").join(cool, "key").where("probe < node").select(F.col("probe").alias("a"), F.col("node").alias("b"), chain).distinct())
     for side in ("a", "b"):
         found = found.join(nodes.select(F.col("node").alias(side), F.col("marks").alias(f"marks_{side}")), side)
     differ = found.select("a", "b", "chain", F.zip_with("marks_a", "marks_b", lambda x, y: x.bitwiseXOR(y)).alias("apart"))
@@ -167,7 +168,8 @@ def links(nodes: DataFrame, distance: int = DISTANCE, ahead: int = 2) -> DataFra
         return edges
     # Each side is cut into blocks by its own count; every block of one side meets every block of the other.
     # The few hot keys are turned instead of all fingerprints: who probes a key is indexed under it with the same bit flipped.
-    turned = hot.select("key", F.explode(F.array(*[F.col("key").bitwiseXOR(F.lit(f).cast("long")) for f in flips])).alias("_own"))
+    # They are written, so that Spark knows their size and not only that of the hot keys.
+    turned = materialize(hot.select("key", F.explode(F.array(*[F.col("key").bitwiseXOR(F.lit(f).cast("long")) for f in flips])).alias("_own")))
     probed = materialize(index.withColumnRenamed("key", "_own").join(turned, "_own").select("node", "key"))
     hot = materialize(hot.join(probed.groupBy("key").agg(F.count("*").alias("m")), "key"))
     n_index, n_probe = (F.ceil(F.col(c) / BLOCK) for c in ("n", "m"))

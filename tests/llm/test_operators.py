@@ -269,6 +269,37 @@ def test_simhash_blocks_are_bounded_on_both_sides(spark, monkeypatch):
     assert [got[m] for m in marks] == _components(marks, marks) and sizes.value == 0
 
 
+def _exploded_and_broadcast(plan):
+    """Whether rows are exploded below a broadcast of a plan's text."""
+    inside = None
+    for line in plan.splitlines():
+        depth = len(re.match(r"[\s:+\-*]*(\(\d+\))?\s*", line)[0])
+        if inside is not None and depth <= inside:
+            inside = None
+        if inside is not None and "Generate explode" in line:
+            return True
+        if inside is None and "BroadcastExchange" in line:
+            inside = depth
+    return False
+
+
+@pytest.mark.parametrize("parts", [4])
+def test_simhash_never_broadcasts_what_it_explodes(spark, monkeypatch, parts):
+    """Spark sizes an explode by what goes in: few fingerprints would be broadcast with all their probes."""
+    from rollkeep.llm import simhash
+
+    rng, seen = np.random.default_rng(3), []
+    base = 0x1234_5678_0000_0000
+    marks = [base + i for i in range(8)] + rng.integers(0, 1 << 62, 3000).tolist()  # the first eight share a hot key
+    kept = simhash.materialize
+    df = kept(spark.createDataFrame([(m, [m + k for k in range(parts)]) for m in marks], "node long, marks array<long>"))
+    monkeypatch.setattr(simhash, "materialize", lambda df: (seen.append(df._jdf.queryExecution().executedPlan().toString()), kept(df))[1])
+    out = simhash.links(df, 3 * parts)
+    seen.append(out._jdf.queryExecution().executedPlan().toString())
+    assert any("Generate explode" in x and "Join" in x for x in seen) and any("BlockLinks" in x or "FlatMapGroupsInPandas" in x for x in seen)
+    assert not any(map(_exploded_and_broadcast, seen))
+
+
 def test_toxicity(spark, docs, empty):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
