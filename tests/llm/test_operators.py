@@ -283,7 +283,7 @@ def _exploded_and_broadcast(plan):
     return False
 
 
-@pytest.mark.parametrize("parts", [4])
+@pytest.mark.parametrize("parts", [1, 4])
 def test_simhash_never_broadcasts_what_it_explodes(spark, monkeypatch, parts):
     """Spark sizes an explode by what goes in: few fingerprints would be broadcast with all their probes."""
     from rollkeep.llm import simhash
