@@ -7,16 +7,22 @@ they may be cut, as where a scan has lost the first letters of a label.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from math import ceil
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Shorter labels are only found undamaged.
 SHORTEST = 3
+#: In longer lines characters and pairs are counted before windows are compared.
+COUNTED = 64
+#: So many characters of lines are counted together.
+TOGETHER = 1 << 18
 
 
 def _masks(text: str) -> dict[str, int]:
@@ -53,11 +59,26 @@ def _windows(n: int, text: str, letters: set[str]) -> Iterator[tuple[int, int]]:
             yield start, len(text)
 
 
-def best_place(short: str, long: str, least: float = 0.0) -> tuple[int, int, float] | None:
-    """(start, end, likeness) of the first best window of the longer text; null under ``least`` or without a common character."""
+@lru_cache(maxsize=256)
+def _needs(short: str, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of a text's characters by code point (others: 0), which pairs of numbers it holds, and how many of either a window of each length must hold to be so like it."""
+    letters = sorted(set(short))
+    number = np.zeros(ord(letters[-1]) + 2, dtype=np.int32)
+    number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+    pairs = np.zeros((len(letters) + 1) ** 2, dtype=bool)
+    for a, b in grams(short):
+        pairs[number[ord(a)] * (len(letters) + 1) + number[ord(b)]] = True
+    n, length = len(short), range(len(short) + 1)
+    common = [ceil(least * (n + m) / 200 - 1e-9) for m in length]
+    kept = [len(grams(short)) - 2 * (n - c) - (m - c) if c <= m else n for m, c in zip(length, common, strict=True)]
+    return number, pairs, np.array(common), np.array(kept)
+
+
+def best_place(short: str, long: str, least: float = 0.0, windows: Iterable[tuple[int, int]] | None = None) -> tuple[int, int, float] | None:
+    """(start, end, likeness) of the first best window of the longer text (of ``windows``); null under ``least`` or without a common character."""
     n, masks = len(short), _masks(short)
     best, place = least, None
-    for start, end in _windows(n, long, set(masks)):
+    for start, end in _windows(n, long, set(masks)) if windows is None else windows:
         whole = n + end - start
         if 200.0 * min(n, end - start) / whole < best:
             continue
@@ -118,9 +139,57 @@ def grams(text: str) -> list[str]:
     return sorted({text[i : i + 2] for i in range(len(text) - 1)})
 
 
+def likely_windows(name: str, lines: list[str], least: float) -> dict[int, list[tuple[int, int]]]:
+    """By number of a line, none shorter than the name: those of :func:`_windows` with as many of the name's characters and pairs as one that is at least so like it keeps."""
+    number, pairs, common, kept = _needs(name, least)
+    n, gap = len(name), "\0" * len(name)
+    # Between lines there is room for a window, so that none holds two lines and a cut one is a whole one that begins or ends there.
+    sizes = np.array([len(x) for x in lines])
+    end = np.cumsum(sizes + n)
+    size = int(end[-1]) + n
+    inside = np.zeros(size, dtype=np.int8)
+    inside[end - sizes], inside[end] = 1, -1
+    inside = np.cumsum(inside, dtype=np.int8)
+    codes = np.frombuffer((gap + gap.join(lines) + gap).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    at = number.take(np.minimum(codes, len(number) - 1)) * inside
+    letters, chars, met = (np.zeros(size + 1, dtype=np.int32) for _ in range(3))
+    np.cumsum(at > 0, out=letters[1:])
+    np.cumsum(inside, out=chars[1:])
+    np.cumsum(pairs.take(at[:-1] * (int(number.max()) + 1) + at[1:]), out=met[1:-1])
+    length = chars[n:] - chars[:-n]
+    fit = np.flatnonzero((letters[n:] - letters[:-n] >= common.take(length)) & (met[n - 1 : size] - met[: size - n + 1] >= kept.take(length)))
+    line = np.searchsorted(end, fit, side="right")
+    tail = fit >= end[line] - n
+    good = at[np.where(tail, fit, fit + n - 1)] > 0
+    fit, line = fit[good], line[good]
+    first = end[line] - sizes[line]
+    out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for i, lo, hi in zip(line.tolist(), np.maximum(fit - first, 0).tolist(), np.minimum(fit + n - first, sizes[line]).tolist(), strict=True):
+        out[i].append((lo, hi))
+    return out
+
+
+def damaged_places(names: list[str], lines: list[str], least: list[float]) -> list[tuple[int, int, float] | None]:
+    """:func:`damaged_place` of each; the characters and pairs of a name's longer lines are counted together, so that few windows are compared."""
+    out: list[tuple[int, int, float] | None] = [None] * len(lines)
+    alike = defaultdict(list)
+    for i, (name, line, wanted) in enumerate(zip(names, lines, least, strict=True)):
+        if name and wanted > 0 and len(line) > max(COUNTED, len(name)):
+            alike[name, wanted].append(i)
+        else:
+            out[i] = damaged_place(name, line, wanted)
+    for (name, wanted), rows in alike.items():
+        parts = np.cumsum([len(lines[i]) + len(name) for i in rows]) // TOGETHER
+        for part in np.split(np.array(rows), np.flatnonzero(np.diff(parts)) + 1):
+            for k, windows in likely_windows(name, [lines[i] for i in part], wanted).items():
+                place = best_place(name, lines[part[k]], wanted, windows)
+                out[part[k]] = place and (place[0], place[1] - place[0], place[2] / 100)
+    return out
+
+
 @F.pandas_udf(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("ratio", T.DoubleType())]))
 def placed(name: pd.Series, line: pd.Series, least: pd.Series) -> pd.DataFrame:
     """Where a line holds a damaged name (at from 1), or nulls."""
-    found = [damaged_place(a, b, c) for a, b, c in zip(name, line, least, strict=True)]
+    found = damaged_places(name.tolist(), line.tolist(), least.tolist())
     rows = [(None, None, None) if p is None else (p[0] + 1, p[1], p[2]) for p in found]
     return pd.DataFrame(rows, columns=["at", "length", "ratio"]).astype({"at": "Int32", "length": "Int32", "ratio": "float64"})

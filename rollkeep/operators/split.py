@@ -24,7 +24,8 @@ KEYWORDS = {
 
 def lines(text: Column) -> Column:
     """The lines that hold more than blanks."""
-    return F.filter(F.split(text, "\\r\\n|[\\n\\r]"), lambda x: F.trim(x) != "")
+    # A split by one plain character needs no regular expression; of \r\n a blank line is left, which goes.
+    return F.filter(F.split(F.replace(text, F.lit("\r"), F.lit("\n")), "\n"), lambda x: F.trim(x) != "")
 
 
 def heading_area(text: Column) -> Column:
@@ -121,13 +122,13 @@ def classify(text: Column, keywords: dict[str, dict[str, float]] = KEYWORDS, str
     The first type in order wins a tie; without a clear winner the type is OTHER. ``title`` may give the
     struct(type, name) of a title that the heading holds damaged; it counts if the text doesn't hold it as it is.
     """
-    return bound(F.lower(text), lambda low: _classified(low, keywords, strong, margin, most, title))
+    return bound(F.lower(text), lambda low: _classified(low, title_lines(low), keywords, strong, margin, most, title))
 
 
 def title_lines(low: Column) -> Column:
     """The top third of a text's lines, six at most; none of a text of under three lines."""
-    rows = lines(low)
-    return F.when(F.size(rows) >= 3, F.slice(rows, F.lit(1), F.greatest(F.lit(1), F.least(F.lit(6), F.floor(F.size(rows) / 3).cast("int"))))).otherwise(F.array().cast("array<string>"))
+    top = lambda rows: F.slice(rows, F.lit(1), F.greatest(F.lit(1), F.least(F.lit(6), F.floor(F.size(rows) / 3).cast("int"))))
+    return bound(lines(low), lambda rows: F.when(F.size(rows) >= 3, top(rows)).otherwise(F.array().cast("array<string>")))
 
 
 def damaged_titles(headings: DataFrame, keywords: dict[str, dict[str, float]], least: float) -> DataFrame:
@@ -153,16 +154,17 @@ def classified(pages: DataFrame, keywords: dict[str, dict[str, float]] = KEYWORD
     top = pages.withColumn("_top", title_lines(F.lower("text")))
     titled = damaged_titles(top.select(F.col("_top").alias("heading")), keywords, damaged)
     joined = top.join(titled, F.col("_top") == F.col("_heading"), "left")
-    return joined.withColumn("class", classify(F.col("text"), keywords, title=F.col("_title"))).select(*pages.columns, "class")
+    found = bound(F.lower("text"), lambda low: _classified(low, F.col("_top"), keywords, 10.0, 1.5, 0.98, F.col("_title")))
+    return joined.withColumn("class", found).select(*pages.columns, "class")
 
 
-def _classified(low: Column, keywords: dict[str, dict[str, float]], strong: float, margin: float, most: float, title: Column | None) -> Column:
-    heading = F.array_join(title_lines(low), "\n")
+def _classified(low: Column, top: Column, keywords: dict[str, dict[str, float]], strong: float, margin: float, most: float, title: Column | None) -> Column:
+    heading = F.array_join(top, "\n")
 
     def scores(head: Column) -> Column:
         found = []
         for rank, (kind, phrases) in enumerate(keywords.items()):
-            total = sum((F.when(F.instr(head, p) > 0, 2 * w).when(F.instr(low, p) > 0, w).otherwise(0.0) for p, w in phrases.items()), F.lit(0.0))
+            total = sum((F.when(F.contains(head, F.lit(p)), 2 * w).when(F.contains(low, F.lit(p)), w).otherwise(0.0) for p, w in phrases.items()), F.lit(0.0))
             if title is not None:
                 total = total + F.when((title["type"] == kind) & ~F.contains(low, title["name"]), 2 * TITLE).otherwise(0.0)
             found.append(F.struct(total.alias("score"), F.lit(-rank).alias("rank"), F.lit(kind).alias("type")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 
 from rollkeep.functions import fuzzy
@@ -87,3 +88,34 @@ def test_a_line_is_not_repeated_for_its_pairs(spark):
     found = damaged_names(spark.createDataFrame([(line,)], "low string"), NAMES, 85.0)
     assert [(r["name"], r["at"]) for r in found.collect()] == [("date of birth", 5002)]
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def placed(names, lines, least):
+    found = fuzzy.placed.func(pd.Series(names), pd.Series(lines), pd.Series([least] * len(lines)))
+    return [None if pd.isna(r.at) else (int(r.at) - 1, int(r.length), float(r.ratio)) for r in found.itertuples(index=False)]
+
+
+def test_few_windows_of_a_long_line_are_compared(monkeypatch):
+    """Prose has the letters of a label everywhere; only what may be like it is compared."""
+    rng, calls, common = random.Random(5), [], fuzzy._common
+    prose = " ".join(rng.choice("the under issued licence of court date birth certified sentences language and in".split()) for _ in range(4000))
+    line = prose[:12000] + " licens3d undor the " + prose[12000:]
+    want = fuzzy.damaged_place("licensed under the", line, 85.0)
+    monkeypatch.setattr(fuzzy, "_common", lambda *a: (calls.append(1), common(*a))[1])
+    assert placed(["licensed under the"], [line], 85.0) == [want] and want[2] > 0.85
+    assert len(calls) < len(line) / 10
+
+
+def test_lines_counted_together_lose_no_window(monkeypatch):
+    monkeypatch.setattr(fuzzy, "COUNTED", 0)
+    monkeypatch.setattr(fuzzy, "TOGETHER", 300)
+    asked = [(n, x) for x in sorted(set(lines())) for n in [*NAMES, "na\0me", "aaaa"] if x] + [("name", "na\0me \U0001F600\ud800 nme"), ("name", "name"), ("name", "nam")]
+    for least in (100.0, 85.0, 66.7, 30.0):
+        assert placed([n for n, _ in asked], [x for _, x in asked], least) == [fuzzy.damaged_place(n, x, least) for n, x in asked]
+
+
+def test_classes_take_the_heading_that_was_cut(spark):
+    """A class doesn't cut its text into lines again, and no regular expression is needed to cut one."""
+    plan = split.classified(spark.createDataFrame([(1, "a\r\rb\r\n \nc")], "i int, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan.partition("Join")[0] and "split(" in plan and "|[" not in plan
+    assert spark.createDataFrame([("a\r\rb\r\n \nc\r",)], "text string").select(split.lines(split.F.col("text"))).first()[0] == ["a", "b", "c"]
