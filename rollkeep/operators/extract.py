@@ -27,7 +27,7 @@ SHAPES = {
 
 def lines_of(pages: DataFrame) -> DataFrame:
     """(document_id, page_number, line, text, next_text): the lines of each page that aren't blank."""
-    rows = F.filter(F.split("text", "\\r\\n|[\\n\\r]"), lambda x: F.trim(x) != "")
+    rows = F.filter(F.split(F.replace("text", F.lit("\r"), F.lit("\n")), "\n"), lambda x: F.trim(x) != "")
     arranged = pages.select("document_id", "page_number", rows.alias("rows")).select("document_id", "page_number", "rows", F.posexplode("rows").alias("line", "text"))
     return arranged.select("document_id", "page_number", F.col("line").cast("long").alias("line"), "text", F.get("rows", F.col("line") + 1).alias("next_text"))
 
